@@ -20,7 +20,6 @@ MULTICLASS_LABELS = (
 SCORE_SOURCES = ("logprobs", "hard", "parse_failure")
 
 # Corpus layout.
-CORPUS_FILE_GLOB = "folhasp*.parquet"
 CORPUS_COLUMNS = ("title", "text", "date", "category", "link", "label")
 CSV_REQUIRED_COLUMNS = ("title", "text", "date", "category", "link")
 SPLITS = ("train", "val", "test")

@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from lexsieve.functions import fixed
 from lexsieve.functions.text import empty_if_null, whitespace_tokens
 
-_N = F.count(F.lit(1))
+def _rows():
+    return F.count(F.lit(1))
 
 
 def split_summary(split: DataFrame) -> DataFrame:
     """One row per split and a total row, from one rollup."""
     base = split.rollup("split").agg(
-        _N.alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos_count"),
+        _rows().alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos_count"),
         F.min("date").alias("lo"), F.max("date").alias("hi"),
         F.count_if(F.col("text").isNull()).alias("n_null_text"), F.grouping("split").alias("g"))
     total = F.max(F.when(F.col("g") == 1, F.col("n"))).over(W.partitionBy())  # four rows
@@ -31,7 +32,7 @@ def split_summary(split: DataFrame) -> DataFrame:
 
 def _category_counts(split: DataFrame) -> DataFrame:
     """Counts per category and split, pivoted, with split totals alongside."""
-    counts = split.groupBy("category").pivot("split", list(fixed.SPLITS)).agg(_N)
+    counts = split.groupBy("category").pivot("split", list(fixed.SPLITS)).agg(_rows())
     # categories are a label set after the aggregate; the window over it yields the split totals
     whole = W.partitionBy()
     for s in fixed.SPLITS:
@@ -80,7 +81,7 @@ def text_length_stats(split: DataFrame, token_clip: int = 2000) -> DataFrame:
 
 def monthly_volume(split: DataFrame) -> DataFrame:
     return split.groupBy("split", F.date_format("date", "yyyy-MM").alias("ym")).agg(
-        _N.alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos"),
+        _rows().alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos"),
         F.avg("label").alias("pos_ratio"))
 
 
@@ -93,7 +94,7 @@ def densify(per_split: DataFrame, key: str) -> DataFrame:
 
 def weekday_distribution(split: DataFrame) -> DataFrame:
     """Rows per weekday (Monday is 0) and their share of the split."""
-    counts = split.groupBy("split", F.weekday("date").cast("bigint").alias("weekday")).agg(_N.alias("n"))
+    counts = split.groupBy("split", F.weekday("date").cast("bigint").alias("weekday")).agg(_rows().alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("split")))
 
 

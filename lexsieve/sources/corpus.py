@@ -55,9 +55,10 @@ def with_label(rows: DataFrame, positive: str = fixed.POSITIVE_CATEGORY) -> Data
     return rows.withColumn("label", binary_label("category", positive)).select(*fixed.CORPUS_COLUMNS)
 
 
-def load_corpus(spark: SparkSession, root: str, positive: str = fixed.POSITIVE_CATEGORY) -> DataFrame:
-    """All corpus parquet files below ``root``."""
-    return with_label(spark.read.parquet(f"{root.rstrip('/')}/{fixed.CORPUS_FILE_GLOB}"), positive)
+def load_corpus(spark: SparkSession, root: str, pattern: str = "*.parquet",
+                positive: str = fixed.POSITIVE_CATEGORY) -> DataFrame:
+    """All corpus parquet files below ``root`` whose name matches ``pattern``."""
+    return with_label(spark.read.option("pathGlobFilter", pattern).parquet(root), positive)
 
 
 def write_splits(split: DataFrame, path: str) -> None:
