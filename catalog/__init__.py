@@ -1,6 +1,6 @@
 """Registered queries over the test tables."""
 
-from catalog import corpus_queries  # noqa: F401
+from catalog import corpus_queries, text_queries  # noqa: F401
 from catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +11,6 @@ from lexsieve.functions import fixed
 
 def _complementary_error():
     """Arrow UDF for erfc, which Spark lacks; it sees one row per compared pair."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def erfc(x: pd.Series) -> pd.Series:
         import math

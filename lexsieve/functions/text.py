@@ -6,6 +6,7 @@ Arrow UDF which is handed only the strings it could change; all others reach it
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ def _col(c: Column | str) -> Column:
 
 def _normalizer(form: str, ascii_only: bool):
     """Arrow UDF for one Unicode normal form (nested, so that it ships by value)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normalize(values: pd.Series) -> pd.Series:
         import unicodedata
