@@ -98,6 +98,12 @@ def all_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def _long_ngrams(tokens: Column, n: int) -> Column:
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
+    joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    return F.coalesce(joined, F.array().cast("array<string>"))
+
+
 def ngrams(tokens: Column | str, low: int, high: int) -> Column:
     """All n-grams for low <= n <= high, each joined by one space."""
     if not 1 <= low <= high:
@@ -115,9 +121,5 @@ def ngrams(tokens: Column | str, low: int, high: int) -> Column:
                 lambda a, b: F.concat(a, F.lit(" "), b),
             ))
         else:
-            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-            parts.append(F.coalesce(
-                F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " ")),
-                F.array().cast("array<string>"),
-            ))
+            parts.append(_long_ngrams(tokens, n))
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -80,9 +80,14 @@ def first_rows(split: DataFrame, n: int, index: str = "index") -> DataFrame:
     return split.where(F.col(index) < n)
 
 
-def batch_logits(features: Column | str, make_predict: Callable, batch_size: int = 512) -> Column:
-    """Logits per row from an injected batch model, loaded once per Python worker."""
-    return predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)(features)
+def batch_logits(features: Column | str, make_predict: Callable, width: int, batch_size: int = 512) -> Column:
+    """Logits per row from an injected batch model, loaded once per Python worker.
+
+    ``make_predict`` returns a function from a (rows, width) array to a (rows, classes) array.
+    """
+    model = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                              input_tensor_shapes=[[width]])
+    return model(features)
 
 
 def latency_per_1k(scored: DataFrame, by: list[str], seconds: str = "latency_s") -> DataFrame:
