@@ -62,9 +62,9 @@ def naive_bayes_complement(spark, sf):
   SELECT term, round(x, 6) AS log_ratio, side FROM ((SELECT *, 'positive' AS side FROM r ORDER BY x DESC, term LIMIT 20)
   UNION ALL (SELECT *, 'negative' AS side FROM r ORDER BY x, term LIMIT 20))""")
 def top_terms(spark, sf):
-    model, _, _ = _fitted(spark, sf, "multinomial")
+    model, vocabulary, _ = _fitted(spark, sf, "multinomial")
     ratios = nb.term_log_ratios(model, 1).withColumn("log_ratio", F.round("log_ratio", 9))
-    return nb.top_terms(ratios, 20).withColumn("log_ratio", r6(F.col("log_ratio")))
+    return nb.top_terms(ratios, vocabulary.table, 20).withColumn("log_ratio", r6(F.col("log_ratio")))
 
 
 def _features(spark, sf, representation="tfidf"):

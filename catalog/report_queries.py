@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog.evaluation_queries import tested_sql
 from catalog.registry import query
-from catalog.views import RUN_IDS, RUNS, WITH_SUMMARY, decided, r6, run_id, variant
+from catalog.views import RUN_IDS, RUNS, WITH_SUMMARY, decided, r6, variant
 from lexsieve.operators import ranking, reports
 from lexsieve.operators.scoring import latency_per_1k
-from lexsieve.plans.scale import durable, new_folder
+from lexsieve.plans.scale import durable, local_table, new_folder
 from lexsieve.sources import runs as registry
 
 
@@ -20,9 +20,10 @@ def metadata(spark, sf, rows=None):
     metrics = ranking.compute_metrics(test, ["run_id"])
     facts = test.groupBy("run_id").agg(F.first("threshold").alias("cut"), F.count(F.lit(1)).alias("n_test"))
     per_run = metrics.join(facts, "run_id").join(latency_per_1k(test, ["run_id"]), "run_id")
-    fixed_part = spark.createDataFrame(
-        [(run_id(r), r[1], r[2], variant(r), r[3], "multiclass" if r[5] > 2 else "binary", r[5] if r[5] > 2 else None) for r in RUNS],
-        "run_id string, generation string, model string, variant string, representation string, mode string, classes bigint")
+    fixed_part = local_table(
+        spark, run_id=list(RUN_IDS), generation=[r[1] for r in RUNS], model=[r[2] for r in RUNS],
+        variant=[variant(r) for r in RUNS], representation=[r[3] for r in RUNS],
+        mode=["multiclass" if r[5] > 2 else "binary" for r in RUNS], classes=[r[5] if r[5] > 2 else None for r in RUNS])
     c = F.col
     return per_run.join(F.broadcast(fixed_part), "run_id").select(
         "run_id", F.lit(None).cast("string").alias("git_commit"), F.lit("2026-01-05T09:00:00+00:00").alias("started_at"),
@@ -137,7 +138,7 @@ def vs_champion(spark, sf):
        + tested_sql(_pair_counts("pairs", "run_a, run_b")) + f" SELECT run_a, run_b, {_TEST_COLUMNS}, {_WINNER.format(a='a', b='b')} FROM tested")
 def mcnemar_matrix(spark, sf):
     test = decided(spark, sf).where(F.col("split") == "test")
-    runs = spark.createDataFrame([(r,) for r in RUN_IDS], "run_id string")
+    runs = local_table(spark, run_id=list(RUN_IDS))
     return _tests(reports.mcnemar_matrix(test, runs), "run_a", "run_b")
 
 

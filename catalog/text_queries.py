@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import WITH_DOCS, docs_split, r6, table
+from catalog.views import WITH_DOCS, docs_split, documents, r6, table
 from lexsieve.functions import fixed
 from lexsieve.functions import text as tx
 from lexsieve.functions.responses import render_prompt
@@ -53,12 +53,12 @@ def mask_entities(spark, sf):
 
 @query("mask_documents", f"SELECT doc_id, {_mask_sql('text')} AS masked FROM documents")
 def mask_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.mask_entities("text").alias("masked"))
+    return documents(spark, sf).select("doc_id", tx.mask_entities("text").alias("masked"))
 
 
 @query("clean_raw", f"SELECT doc_id, trim(nfc_normalize(coalesce(text, '')), {_SPACES}) AS text FROM documents")
 def clean_raw(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean_raw("text").alias("text"))
+    return documents(spark, sf).select("doc_id", tx.clean_raw("text").alias("text"))
 
 
 # stop words and lemmas are user tables; here both come from the words of the benchmark texts
@@ -81,24 +81,24 @@ k AS (SELECT doc_id, string_agg(coalesce(lemma, p.token), ' ' ORDER BY pos) AS t
       WHERE NOT coalesce(is_stop, false) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(k.text, '') AS text FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""")
 def clean_aggressive(spark, sf):
-    return aggressive(table(spark, sf, "documents"), *_dictionary(spark, sf), "doc_id")
+    return aggressive(documents(spark, sf), *_dictionary(spark, sf), "doc_id")
 
 
 @query("vocabulary", f"SELECT DISTINCT unnest(regexp_extract_all(text, '{_NON_SPACE}')) AS token FROM documents")
 def vocabulary(spark, sf):
-    return vo.token_vocabulary(table(spark, sf, "documents"))
+    return vo.token_vocabulary(documents(spark, sf))
 
 
 @query("tokenize", f"WITH {_DOCS_TOKENS} SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tok) GROUP BY token")
 def tokenize(spark, sf):
-    tokens = table(spark, sf, "documents").select(F.explode(tx.word_tokens("text")).alias("token"))
+    tokens = documents(spark, sf).select(F.explode(tx.word_tokens("text")).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ngrams", f"WITH {_DOCS_TOKENS}, {_GRAMS} SELECT term, count(*) AS n FROM gram GROUP BY term")
 def ngrams(spark, sf):
-    terms = vo.with_terms(table(spark, sf, "documents"), "text", fixed.TFIDF_NGRAMS)
-    return terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = vo.with_terms(documents(spark, sf), "text", fixed.TFIDF_NGRAMS)
+    return vo.exploded(terms, "terms", "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TRAIN_TOKENS = f"tok AS (SELECT doc_id, split, regexp_extract_all(lower(text), '{_WORDS}') AS t FROM split)"

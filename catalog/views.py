@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexsieve.functions.labels import binary_label
 from lexsieve.operators.split import split_out_of_time
 from lexsieve.operators.threshold import apply_thresholds, fit_thresholds
+from lexsieve.plans.scale import spread
 
 ORDERS_POSITIVE = "BUILDING"
 DOCS_POSITIVE = "toxic"
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts, spread by id when the file arrives as fewer tasks than there are cores."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def r6(c: Column | str, name: str | None = None) -> Column:
     out = F.round(c, 6)
     return out.alias(name or c) if name or isinstance(c, str) else out
@@ -65,7 +71,7 @@ def docs_corpus(spark: SparkSession, sf: str, labelled: bool = False) -> DataFra
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
     day = F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("doc_id") / 10).cast("int"))
     category = F.when(F.col("toxic") == 1, DOCS_POSITIVE).otherwise(F.col("lang"))
-    return table(spark, sf, "documents").join(labels, "doc_id", "inner" if labelled else "left").select(
+    return documents(spark, sf).join(labels, "doc_id", "inner" if labelled else "left").select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("link"), "doc_id",
         day.cast("timestamp_ntz").alias("date"), category.alias("category"),
         binary_label(category, DOCS_POSITIVE).alias("label"), F.col("source").alias("title"), "text", "lang")

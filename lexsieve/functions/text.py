@@ -16,7 +16,7 @@ from lexsieve.functions import fixed
 # a neighbour: all below U+0300, general punctuation without two aliased spaces, currency signs.
 _NFC_UNSTABLE = r"[^\x00-\u02FF\u2002-\u205E\u20A0-\u20BF]"
 _NON_ASCII = r"[^\x00-\x7F]"
-_SPACE_RUN = f"[{fixed.WHITESPACE}]+"
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 MONEY_PATTERN = (
     r"(?iuU)(?:" + "|".join(fixed.CURRENCY_MARKS) + r")[\s\x1c-\x1f]*" + fixed.NUMBER_PATTERN

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from lexsieve.functions import fixed
 from lexsieve.plans.scale import global_index
@@ -108,23 +110,30 @@ def fit_sigmoid(margins: DataFrame, label: str = "y", margin: str = "margin") ->
 
 def train_calibrated_svc(train: DataFrame, classes: int = 2, code: int = 1, label: str = "y",
                          order: tuple[str, ...] = ("date", "link"), c: float = 1.0, folds: int = 3,
-                         max_iter: int = 5000) -> CalibratedSvc:
+                         max_iter: int = 5000, parallelism: int = 3) -> CalibratedSvc:
     """Linear SVM per fold, calibrated on the fold left out; one-vs-rest beyond two classes."""
     folded = assign_folds(train, label, order, folds).persist()
     try:
         targets = [code] if classes == 2 else list(range(classes))
-        members: dict[int, list] = {}
-        for cls in targets:
+
+        def fit_member(job: tuple[int, int]) -> tuple:
+            cls, f = job
             is_cls = (F.col(label) == cls).cast("double")
-            members[cls] = []
-            for f in range(folds):
-                fit = folded.where(F.col("fold") != f).withColumn("_y", is_cls)
-                n = fit.count()
-                svc = LinearSVC(labelCol="_y", regParam=1.0 / (c * n), standardization=False,
-                                maxIter=max_iter, tol=1e-4).fit(fit)
-                held = svc.transform(folded.where(F.col("fold") == f).withColumn("_y", is_cls)).select(
-                    F.col("_y").alias("y"), vector_to_array("rawPrediction")[1].alias("margin"))
-                members[cls].append((svc, *fit_sigmoid(held)))
+            fit = folded.where(F.col("fold") != f).withColumn("_y", is_cls)
+            n = fit.count()
+            svc = LinearSVC(labelCol="_y", regParam=1.0 / (c * n), standardization=False,
+                            maxIter=max_iter, tol=1e-4).fit(fit)
+            held = svc.transform(folded.where(F.col("fold") == f).withColumn("_y", is_cls)).select(
+                F.col("_y").alias("y"), vector_to_array("rawPrediction")[1].alias("margin"))
+            return (svc, *fit_sigmoid(held))
+
+        jobs = [(cls, f) for cls in targets for f in range(folds)]
+        # independent fits share the cached folds; a few are submitted side by side
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fitted = list(pool.map(inheritable_thread_target(folded.sparkSession)(fit_member), jobs))
+        members: dict[int, list] = {cls: [] for cls in targets}
+        for (cls, _), member in zip(jobs, fitted):
+            members[cls].append(member)
     finally:
         folded.unpersist()
     return CalibratedSvc(members, code)

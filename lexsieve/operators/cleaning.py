@@ -24,12 +24,13 @@ def clean_aggressive(docs: DataFrame, dictionary: DataFrame, dictionary_rows: in
     """(doc_id, text): lower-cased lemmas without stop words and punctuation, joined by a space.
 
     The token pattern keeps the underscore and drops brackets, so a mask survives as one token.
-    Documents are placed by id first: with a broadcast dictionary the regrouping is local.
+    Documents are placed by id before they are exploded: with a broadcast dictionary the regrouping
+    is local. Normalization comes before the placement, because Python evaluation forgets it.
     """
     prepared = nfc(empty_if_null(text))
     prepared = mask_entities(prepared) if mask else prepared
-    placed = docs.select(doc_id, text).repartition(doc_id)
-    tokens = placed.select(doc_id, F.posexplode_outer(all_tokens(prepared)).alias("pos", "token"))
+    placed = docs.select(doc_id, prepared.alias("_text")).repartition(doc_id)
+    tokens = placed.select(doc_id, F.posexplode_outer(all_tokens("_text")).alias("pos", "token"))
     joined = lookup(tokens, dictionary, "token", table_rows=dictionary_rows, row_bytes=80,
                     salt_on="pos", how="left", broadcast_bytes=broadcast_bytes)
     lemma = F.coalesce("lemma", "token")

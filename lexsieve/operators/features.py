@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexsieve.functions.text import whitespace_tokens
-from lexsieve.operators.vocabulary import Vocabulary, in_vocabulary, term_counts
+from lexsieve.operators.vocabulary import Vocabulary, exploded, term_counts
 from lexsieve.plans.scale import lookup
 
 MAX_VECTOR_SIZE = 1 << 27  # coefficients of a linear model are held by the driver
@@ -18,21 +18,19 @@ MAX_VECTOR_SIZE = 1 << 27  # coefficients of a linear model are held by the driv
 
 def bag_of_words(docs: DataFrame, vocabulary: Vocabulary, doc_id: str, carry: tuple[str, ...] = (),
                  text: str = "text", broadcast_bytes: int | None = None) -> DataFrame:
-    """(doc_id, *carry, term, term_id, value): term counts over the fitted vocabulary."""
-    counts = term_counts(docs, doc_id, carry, text, vocabulary.ngram_range)
-    joined = in_vocabulary(counts, vocabulary, doc_id, broadcast_bytes)
-    return joined.select(doc_id, *carry, "term", "term_id", F.col("n").cast("double").alias("value"))
+    """(doc_id, *carry, term_id, value): term counts over the fitted vocabulary."""
+    counts = term_counts(docs, vocabulary, doc_id, carry, text, broadcast_bytes)
+    return counts.select(doc_id, *carry, "term_id", F.col("n").cast("double").alias("value"))
 
 
 def tfidf(docs: DataFrame, vocabulary: Vocabulary, doc_id: str, carry: tuple[str, ...] = (),
           text: str = "text", broadcast_bytes: int | None = None) -> DataFrame:
-    """Sublinear tf, smoothed idf, rows scaled to unit length."""
-    counts = term_counts(docs, doc_id, carry, text, vocabulary.ngram_range)
-    joined = in_vocabulary(counts, vocabulary, doc_id, broadcast_bytes)
+    """(doc_id, *carry, term_id, value): sublinear tf, smoothed idf, rows scaled to unit length."""
+    counts = term_counts(docs, vocabulary, doc_id, carry, text, broadcast_bytes)
     idf = F.log((1.0 + vocabulary.n_docs) / (1.0 + F.col("df"))) + 1.0
-    weighted = joined.withColumn("w", (1.0 + F.log(F.col("n").cast("double"))) * idf)
+    weighted = counts.select(doc_id, *carry, "term_id", ((1.0 + F.log(F.col("n").cast("double"))) * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc_id)))  # one document's terms
-    return weighted.select(doc_id, *carry, "term", "term_id", (F.col("w") / norm).alias("value"))
+    return weighted.select(doc_id, *carry, "term_id", (F.col("w") / norm).alias("value"))
 
 
 def sparse_vectors(docs: DataFrame, long: DataFrame, size: int, doc_id: str,
@@ -58,7 +56,7 @@ def sparse_vectors(docs: DataFrame, long: DataFrame, size: int, doc_id: str,
 
 def hashed_terms(long: DataFrame, doc_id: str, size: int) -> DataFrame:
     """Fold the columns of a long feature table into ``size`` hashed columns, sums kept."""
-    return (long.withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int"))
+    return (long.withColumn("slot", F.pmod(F.xxhash64("term_id"), F.lit(size)).cast("int"))
             .groupBy(doc_id, "slot").agg(F.sum("value").alias("value")))
 
 
@@ -70,8 +68,8 @@ def embedding_average(docs: DataFrame, dictionary: DataFrame, dictionary_rows: i
     ``dictionary`` is (token, vec) with ``dictionary_rows`` counted rows.
     """
     placed = docs.select(doc_id, text).repartition(doc_id)
-    counts = placed.select(doc_id, F.explode(whitespace_tokens(F.coalesce(text, F.lit("")))).alias("token")
-                           ).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = placed.select(doc_id, whitespace_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    counts = exploded(tokens, "tokens", "token", doc_id).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("n"))
     vectors = dictionary.select("token", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
     joined = lookup(counts, vectors, "token", table_rows=dictionary_rows, row_bytes=16 + 8 * dim,
                     salt_on=doc_id, how="inner", broadcast_bytes=broadcast_bytes)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from lexsieve.functions import fixed
 from lexsieve.functions.pvalues import mcnemar_p, mcnemar_statistic
+from lexsieve.plans.scale import local_table
 
-MAX_RUNS = 10_000
+MAX_RUNS = 700
+MAX_PAIRS = 250_000
 
 
 def outcome_patterns(predictions: DataFrame, numbered: DataFrame, index: str = "index") -> DataFrame:
@@ -36,26 +38,27 @@ def compare_pairs(predictions: DataFrame, pairs: DataFrame, index: str = "index"
     runs disagree on the true label of a row raises. Pairs without a common row are left out unless
     ``keep_empty``.
     """
-    listed = pairs.select("run_a", "run_b").distinct()
-    members = listed.select(F.explode(F.array("run_a", "run_b")).alias("run_id")).distinct()
-    ids = sorted(r["run_id"] for r in members.limit(MAX_RUNS + 1).collect())
-    if len(ids) > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs to compare")
-    numbered = pairs.sparkSession.createDataFrame(
-        [(r, i) for i, r in enumerate(ids)], "run_id string, no int")
-    codes = (listed.join(F.broadcast(numbered).toDF("run_a", "no_a"), "run_a")
-             .join(F.broadcast(numbered).toDF("run_b", "no_b"), "run_b"))
+    listed = pairs.select("run_a", "run_b").distinct().limit(MAX_PAIRS + 1).collect()
+    if len(listed) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of runs to compare")
+    if not listed:
+        raise ValueError("no pair of runs to compare")
+    ids = {r: i for i, r in enumerate(sorted({r for pair in listed for r in pair}))}
+    spark = pairs.sparkSession
+    numbered = local_table(spark, run_id=list(ids), no=list(ids.values()))
+    codes = local_table(spark, run_a=[a for a, _ in listed], run_b=[b for _, b in listed],
+                        no_a=[ids[a] for a, _ in listed], no_b=[ids[b] for _, b in listed])
     patterns = outcome_patterns(predictions, numbered, index)
     entries = patterns.select("pattern", "rows", F.explode("pattern").alias("ea"))
-    matched = (entries.withColumn("no_a", F.floor(F.col("ea") / 4).cast("int"))
-               .join(F.broadcast(codes), "no_a")  # pairs of at most MAX_RUNS runs
-               .withColumn("eb", F.explode(F.expr("filter(pattern, x -> x div 4 = no_b)"))))
+    matched = (entries.withColumn("no_a", F.shiftright("ea", 2))
+               .join(F.broadcast(codes), "no_a")  # at most MAX_PAIRS rows
+               .withColumn("eb", F.explode(F.expr("filter(pattern, x -> shiftright(x, 2) = no_b)"))))
 
     def true(c: str) -> Column:
-        return F.floor(F.col(c) % 4 / 2)
+        return F.shiftright(c, 1).bitwiseAND(F.lit(1))
 
     def right(c: str) -> Column:
-        return true(c) == F.col(c) % 2
+        return true(c) == F.col(c).bitwiseAND(F.lit(1))
 
     rows, zero = F.col("rows"), F.lit(0)
     counts = matched.groupBy("run_a", "run_b").agg(
@@ -84,10 +87,10 @@ def run_pairs(runs: DataFrame) -> DataFrame:
     ids = sorted(r["run_id"] for r in runs.select("run_id").distinct().limit(MAX_RUNS + 1).collect())
     if len(ids) > MAX_RUNS:
         raise ValueError(f"more than {MAX_RUNS} runs")
-    table = runs.sparkSession.createDataFrame([(i, r) for i, r in enumerate(ids)], "i int, run_a string")
-    names = F.array(*[F.lit(r) for r in ids])
-    later = F.slice(names, F.col("i") + 2, len(ids))
-    return table.select("run_a", F.explode(later).alias("run_b"))
+    if len(ids) < 2:
+        raise ValueError("a comparison needs two runs")
+    both = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]]
+    return local_table(runs.sparkSession, run_a=[a for a, _ in both], run_b=[b for _, b in both])
 
 
 def mcnemar_columns(y_true: str, y_a: str, y_b: str) -> dict[str, Column]:

@@ -15,7 +15,7 @@ KINDS = ("multinomial", "complement")
 
 @dataclass(frozen=True)
 class NaiveBayes:
-    """Term weights (term, w array by class position) and class offsets."""
+    """Term weights (term_id, w array by class position) and class offsets."""
 
     kind: str
     classes: tuple
@@ -30,7 +30,7 @@ def fit_naive_bayes(long: DataFrame, docs: DataFrame, label: str, kind: str = "m
                     max_classes: int = 1000) -> NaiveBayes:
     """Fit from the long features of the training documents.
 
-    ``long`` carries ``label`` with (term, value); ``docs`` gives the class sizes. Terms of
+    ``long`` carries ``label`` with (term_id, value); ``docs`` gives the class sizes. Terms of
     ``vocabulary`` without a training occurrence still count for the smoothing.
     """
     if kind not in KINDS:
@@ -41,10 +41,10 @@ def fit_naive_bayes(long: DataFrame, docs: DataFrame, label: str, kind: str = "m
     classes = tuple(sorted(sizes))
     per_class = [F.sum(F.when(F.col(label) == c, F.col("value")).otherwise(0.0)).alias(f"c{i}")
                  for i, c in enumerate(classes)]
-    table = long.groupBy("term").agg(*per_class, F.count(F.lit(1)).alias("weight"))
+    table = long.groupBy("term_id").agg(*per_class, F.count(F.lit(1)).alias("weight"))
     cols = [f"c{i}" for i in range(len(classes))]
     if vocabulary is not None:
-        table = vocabulary.select("term").join(table, "term", "left").na.fill(0.0, cols).na.fill(0, ["weight"])
+        table = vocabulary.select("term_id").join(table, "term_id", "left").na.fill(0.0, cols).na.fill(0, ["weight"])
     table = durable(table)
     row = table.agg(F.count(F.lit(1)).alias("v"), F.sum("weight").alias("w"), *[F.sum(c).alias(c) for c in cols]).first()
     v, totals = row["v"], [row[c] or 0.0 for c in cols]
@@ -58,7 +58,7 @@ def fit_naive_bayes(long: DataFrame, docs: DataFrame, label: str, kind: str = "m
         weights = [-F.log((everything - F.col(c) + alpha) / (n_all - t + alpha * v))
                    for c, t in zip(cols, totals)]
         offsets = (0.0,) * len(classes)
-    return NaiveBayes(kind, classes, table.select("term", F.array(*weights).alias("w"), "weight"),
+    return NaiveBayes(kind, classes, table.select("term_id", F.array(*weights).alias("w"), "weight"),
                       offsets, v, row["w"] or 0)
 
 
@@ -68,7 +68,7 @@ def score_naive_bayes(model: NaiveBayes, long: DataFrame, docs: DataFrame, doc_i
     if positive not in model.classes:
         raise ValueError(f"positive class {positive!r} is not among {model.classes!r}")
     k = len(model.classes)
-    joined = lookup(long, model.weights, "term", table_rows=model.n_terms, row_bytes=64 + 8 * k,
+    joined = lookup(long, model.weights, "term_id", table_rows=model.n_terms, row_bytes=64 + 8 * k,
                     salt_on=doc_id, weight="weight", weight_total=max(model.total_weight, 1),
                     how="inner", broadcast_bytes=broadcast_bytes)
     sums = joined.groupBy(doc_id).agg(
@@ -83,14 +83,15 @@ def score_naive_bayes(model: NaiveBayes, long: DataFrame, docs: DataFrame, doc_i
 
 
 def term_log_ratios(model: NaiveBayes, positive) -> DataFrame:
-    """(term, log_ratio): weight of the positive class minus the mean weight of the others."""
+    """(term_id, log_ratio): weight of the positive class minus the mean weight of the others."""
     p = model.classes.index(positive)
     others = [F.col("w")[i] for i in range(len(model.classes)) if i != p]
-    return model.weights.select("term", (F.col("w")[p] - sum(others[1:], others[0]) / len(others)).alias("log_ratio"))
+    return model.weights.select("term_id", (F.col("w")[p] - sum(others[1:], others[0]) / len(others)).alias("log_ratio"))
 
 
-def top_terms(weights: DataFrame, k: int = 20, weight: str = "log_ratio") -> DataFrame:
-    """The k heaviest terms of each sign side; ties broken alphabetically."""
-    up = weights.orderBy(F.desc(weight), "term").limit(k).withColumn("side", F.lit("positive"))
-    down = weights.orderBy(F.asc(weight), "term").limit(k).withColumn("side", F.lit("negative"))
-    return up.unionByName(down)
+def top_terms(ratios: DataFrame, vocabulary: DataFrame, k: int = 20, weight: str = "log_ratio") -> DataFrame:
+    """The k heaviest terms of each side; equal weights follow the alphabet, which is the id order."""
+    up = ratios.orderBy(F.desc(weight), "term_id").limit(k).withColumn("side", F.lit("positive"))
+    down = ratios.orderBy(F.asc(weight), "term_id").limit(k).withColumn("side", F.lit("negative"))
+    best = F.broadcast(up.unionByName(down))  # 2k rows
+    return vocabulary.select("term_id", "term").join(best, "term_id").drop("term_id")

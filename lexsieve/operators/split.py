@@ -25,6 +25,13 @@ class SplitBounds:
         return (F.when(d <= F.lit(self.train_end), "train")
                 .when(d <= F.lit(self.val_end), "val").otherwise("test"))
 
+    def part(self, df: DataFrame, split: str, date: str = "date") -> DataFrame:
+        """One split alone, as a plain date range that reaches the scan."""
+        d = F.col(date)
+        ranges = {"train": d <= F.lit(self.train_end), "test": d > F.lit(self.val_end),
+                  "val": (d > F.lit(self.train_end)) & (d <= F.lit(self.val_end))}
+        return df.where(ranges[split]).withColumn("split", F.lit(split))
+
 
 def _check_fractions(train: float, val: float) -> None:
     if not 0 < train < 1 or not 0 < val < 1:

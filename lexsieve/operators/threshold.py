@@ -15,7 +15,9 @@ from pyspark.sql import Window as W
 
 from lexsieve.functions import fixed
 from lexsieve.operators.decision import f1_macro, f1_positive
+from lexsieve.plans.scale import local_table
 
+MAX_RUNS = 10_000
 GRID = tuple(i / 100 for i in range(fixed.GRID_FIRST, fixed.GRID_LAST + 1))
 
 
@@ -105,7 +107,25 @@ def decide(score: Column | str, cut: Column | float | ThresholdDecision) -> Colu
     return ((score >= cut) & ~F.isnan(score)).cast("int")
 
 
+def frozen(cuts: DataFrame, by: list[str]) -> DataFrame:
+    """The fitted cuts as literal rows: fitted once, never re-evaluated by a later plan.
+
+    One row per run, so their number is checked against MAX_RUNS and not against the data.
+    """
+    rows = cuts.select(*by, "threshold").limit(MAX_RUNS + 1).collect()
+    if len(rows) > MAX_RUNS:
+        raise ValueError(f"more than {MAX_RUNS} groups have a threshold of their own")
+    if not rows:
+        raise ValueError("no threshold was fitted")
+    return local_table(cuts.sparkSession, **{c: [r[c] for r in rows] for c in [*by, "threshold"]})
+
+
 def apply_thresholds(scored: DataFrame, cuts: DataFrame, by: list[str], y_score: str = "y_score") -> DataFrame:
-    """Recompute y_pred for all rows from the frozen cut of their run (one row per run)."""
-    return (scored.drop("y_pred").join(cuts.select(*by, "threshold"), by, "left")
-            .withColumn("y_pred", decide(F.col(y_score).cast("double"), F.col("threshold"))))
+    """Recompute y_pred for all rows from the frozen cut of their run.
+
+    The cuts are broadcast (see ``frozen``); joining on the run by shuffle would send each run to one
+    task.
+    """
+    table = F.broadcast(frozen(cuts, by))
+    joined = scored.drop("y_pred", "threshold").join(table, by, "left")
+    return joined.withColumn("y_pred", decide(F.col(y_score).cast("double"), F.col("threshold")))

@@ -110,7 +110,7 @@ def score_model(features: Features, model: str, mode: str = "binary", scheme=Non
         long = features.long.withColumn("y", target)
         fitted = fit_naive_bayes(long.where(F.col("split") == "train"), train.select("y"), "y",
                                  model.removesuffix("nb"), vocabulary=features.vocabulary.table)
-        return score_naive_bayes(fitted, long.where(F.col("split") != "train").select(key, "term", "value"),
+        return score_naive_bayes(fitted, long.where(F.col("split") != "train").select(key, "term_id", "value"),
                                  rest, key, code)
     if model == "lightgbm" and features.long is not None and features.vocabulary.n_terms > HASHED_COLUMNS:
         folded = hashed_terms(features.long, key, HASHED_COLUMNS)

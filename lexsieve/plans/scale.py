@@ -59,6 +59,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A driver-side table of a few rows, planned as literal rows without a job."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(columns))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute a scan that arrives in fewer partitions than there are cores.
+
+    Meant for plain scans right after reading: a file with one row group is one task otherwise. A
+    large table already has many partitions and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,8 +84,8 @@ def global_index(df: DataFrame, order: list[str], name: str = "row_index") -> Da
     """0-based position of each row in the total order ``order``.
 
     Range partitioning spreads any one leading value (a hot date) over many partitions as long as
-    later keys differ. The partition layout is checkpointed, because the offsets must describe the
-    very rows they are added to. Only one count per partition reaches the driver.
+    later keys differ. The laid-out rows are written once, because the offsets must describe the very
+    rows they are added to. Only one count per partition reaches the driver.
     """
     spark = df.sparkSession
     local = (
@@ -77,21 +94,18 @@ def global_index(df: DataFrame, order: list[str], name: str = "row_index") -> Da
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    fixed_rows = durable(local)
-    counts = sorted((r["_part"], r["count"]) for r in fixed_rows.groupBy("_part").count().collect())
-    offsets, total = [], 0
+    rows = written(local, "index")
+    counts = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
+    parts, offsets, total = [], [], 0
     for part, n in counts:
-        offsets.append((part, total))
+        parts.append(part)
+        offsets.append(total)
         total += n
-    schema = T.StructType([
-        T.StructField("_part", T.IntegerType(), False), T.StructField("_offset", T.LongType(), False),
-    ])
-    table = F.broadcast(spark.createDataFrame(offsets, schema))  # one row per partition
-    return (
-        fixed_rows.join(table, "_part")
-        .withColumn(name, F.col("_offset") + F.col("_pos"))
-        .drop("_part", "_pos", "_offset")
-    )
+    if not parts:
+        return rows.select(*df.columns, F.lit(0).cast("bigint").alias(name))
+    table = local_table(spark, _p=parts, _offset=offsets)  # one row per partition
+    return rows.join(F.broadcast(table), F.col("_part") == F.col("_p")).select(
+        *df.columns, (F.col("_offset") + F.col("_pos")).alias(name))
 
 
 def value_bounds(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
