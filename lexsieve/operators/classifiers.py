@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from lexsieve.functions import fixed
-from lexsieve.plans.scale import global_index
+from lexsieve.plans.scale import global_index, packed
 
 
 def _probability(model, rows: DataFrame, code: int) -> DataFrame:
@@ -42,7 +42,7 @@ def train_logreg(train: DataFrame, code: int = 1, label: str = "y", c: float = 1
     n = train.count()
     lr = LogisticRegression(labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter)
-    return LinearModel(lr.fit(train), code)
+    return LinearModel(lr.fit(packed(train, n)), code)
 
 
 def assign_folds(train: DataFrame, label: str, order: tuple[str, ...], folds: int = 3) -> DataFrame:
@@ -104,7 +104,7 @@ def fit_sigmoid(margins: DataFrame, label: str = "y", margin: str = "margin") ->
                           F.struct(F.lit(0.0).alias("y"), (1.0 - target).alias("w")))).alias("r"),
     ).select("features", "r.y", "r.w")
     model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, standardization=False,
-                               maxIter=1000, tol=1e-10).fit(rows)
+                               maxIter=1000, tol=1e-9).fit(packed(rows, 2 * (sizes["p"] + sizes["n"])))
     return float(model.coefficients[0]), float(model.intercept)
 
 
@@ -122,7 +122,7 @@ def train_calibrated_svc(train: DataFrame, classes: int = 2, code: int = 1, labe
             fit = folded.where(F.col("fold") != f).withColumn("_y", is_cls)
             n = fit.count()
             svc = LinearSVC(labelCol="_y", regParam=1.0 / (c * n), standardization=False,
-                            maxIter=max_iter, tol=1e-4).fit(fit)
+                            maxIter=max_iter, tol=1e-4).fit(packed(fit, n))
             held = svc.transform(folded.where(F.col("fold") == f).withColumn("_y", is_cls)).select(
                 F.col("_y").alias("y"), vector_to_array("rawPrediction")[1].alias("margin"))
             return (svc, *fit_sigmoid(held))
@@ -162,6 +162,7 @@ def train_boosted_trees(train: DataFrame, classes: int = 2, code: int = 1, label
                         trees: int = 100, depth: int = 5, step: float = 0.1) -> BoostedTrees:
     """Gradient-boosted trees; one-vs-rest beyond two classes. Hash wide features first."""
     members = {}
+    train = packed(train, train.count())
     for cls in ([code] if classes == 2 else range(classes)):
         gbt = GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=step, seed=fixed.SEED,
                             cacheNodeIds=True)

@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexsieve.plans.scale import packed
+
 
 def paired_scores(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """y_true and both scores on the rows two runs share; differing truth raises."""
@@ -30,7 +32,7 @@ def stack(pair: DataFrame, split: str = "split") -> DataFrame:
     n = val.count()
     if n == 0:
         raise ValueError("stacking needs validation rows")
-    model = LogisticRegression(labelCol="y_true", regParam=1.0 / n, standardization=False, maxIter=1000).fit(val)
+    model = LogisticRegression(labelCol="y_true", regParam=1.0 / n, standardization=False, maxIter=1000).fit(packed(val, n))
     scored = model.transform(assembled.where(F.col(split) != "val"))
     return scored.withColumn("y_score", vector_to_array("probability")[1]).select(*pair.columns, "y_score")
 

@@ -76,6 +76,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def packed(df: DataFrame, rows: int, per_partition: int = 20_000) -> DataFrame:
+    """Fewer partitions for an iterative fit on few rows, where task overhead is the whole cost.
+
+    A partition keeps up to ``per_partition`` rows; a training set that fills its partitions better
+    than that is not touched.
+    """
+    return df.coalesce(max(1, -(-rows // per_partition)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
