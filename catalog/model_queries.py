@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.text_queries import _UNI, _vocab_sql
 from catalog.views import DOCS_POSITIVE, DOCS_SCHEME, WITH_LABELLED, docs_split, r6
+from lexsieve.operators import classifiers as clf
 from lexsieve.operators import naive_bayes as nb
 from lexsieve.operators import ranking
 from lexsieve.operators.features import bag_of_words
@@ -85,13 +86,10 @@ def train_logreg(spark, sf):
 @query("train_svc")
 def train_svc(spark, sf):
     """Uncalibrated margins of the linear SVM."""
-    from pyspark.ml.classification import LinearSVC
-
     f = _features(spark, sf, "bow")
     docs = f.docs.withColumn("y", F.col("label").cast("double"))
     train = docs.where(F.col("split") == "train")
-    model = LinearSVC(labelCol="y", regParam=1.0 / train.count(), standardization=False, maxIter=200).fit(train)
-    margins = model.transform(docs.where(F.col("split") != "train"))
+    margins = clf.train_svc(train).transform(docs.where(F.col("split") != "train"))
     return _quality(f, margins.select("doc_id", vector_to_array("rawPrediction")[1].alias("y_score")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,13 @@ def train_logreg(train: DataFrame, code: int = 1, label: str = "y", c: float = 1
     return LinearModel(lr.fit(packed(train, n)), code)
 
 
+def train_svc(train: DataFrame, label: str = "y", c: float = 1.0, max_iter: int = 5000) -> LinearSVCModel:
+    """Linear SVM with hinge loss; its margins still need calibration."""
+    n = train.count()
+    svc = LinearSVC(labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=max_iter, tol=1e-4)
+    return svc.fit(packed(train, n))
+
+
 def assign_folds(train: DataFrame, label: str, order: tuple[str, ...], folds: int = 3) -> DataFrame:
     """Contiguous folds within each class in the given order, sizes equal to within one row.
 
@@ -120,9 +127,7 @@ def train_calibrated_svc(train: DataFrame, classes: int = 2, code: int = 1, labe
             cls, f = job
             is_cls = (F.col(label) == cls).cast("double")
             fit = folded.where(F.col("fold") != f).withColumn("_y", is_cls)
-            n = fit.count()
-            svc = LinearSVC(labelCol="_y", regParam=1.0 / (c * n), standardization=False,
-                            maxIter=max_iter, tol=1e-4).fit(packed(fit, n))
+            svc = train_svc(fit, "_y", c, max_iter)
             held = svc.transform(folded.where(F.col("fold") == f).withColumn("_y", is_cls)).select(
                 F.col("_y").alias("y"), vector_to_array("rawPrediction")[1].alias("margin"))
             return (svc, *fit_sigmoid(held))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from lexsieve.functions.text import whitespace_tokens
 from lexsieve.operators.vocabulary import Vocabulary, exploded, term_counts
-from lexsieve.plans.scale import lookup
+from lexsieve.plans.scale import BROADCAST_BYTES, lookup, written
 
 MAX_VECTOR_SIZE = 1 << 27  # coefficients of a linear model are held by the driver
 
@@ -71,8 +71,16 @@ def embedding_average(docs: DataFrame, dictionary: DataFrame, dictionary_rows: i
     tokens = placed.select(doc_id, whitespace_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
     counts = exploded(tokens, "tokens", "token", doc_id).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("n"))
     vectors = dictionary.select("token", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
-    joined = lookup(counts, vectors, "token", table_rows=dictionary_rows, row_bytes=16 + 8 * dim,
-                    salt_on=doc_id, how="inner", broadcast_bytes=broadcast_bytes)
+    size = dict(table_rows=dictionary_rows, row_bytes=16 + 8 * dim, how="inner",
+                broadcast_bytes=BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    if dictionary_rows * size["row_bytes"] <= size["broadcast_bytes"]:
+        joined = lookup(counts, vectors, "token", **size)
+    else:  # count the documents per token, so that only hot tokens are repeated over the salts
+        counts = written(counts, "token-counts")
+        usage = counts.groupBy("token").agg(F.count(F.lit(1)).alias("used"))
+        needed = written(vectors.join(usage, "token"), "token-vectors")
+        total = needed.agg(F.coalesce(F.sum("used"), F.lit(0))).first()[0]
+        joined = lookup(counts, needed, "token", salt_on=doc_id, weight="used", weight_total=total, **size)
     means = joined.groupBy(doc_id).agg(
         Summarizer.mean(F.col("v"), F.col("n").cast("double")).alias("m"))
     zeros = F.array_repeat(F.lit(0.0), dim)

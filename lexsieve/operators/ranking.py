@@ -93,7 +93,10 @@ def compute_metrics(df: DataFrame, by: list[str], y_true: str = "y_true", y_scor
 
     ranking = ranking_metrics(df, by, y_true=y_true, y_score=y_score)
     decisions = decision_metrics(df, by, y_true, y_pred)
-    joined = decisions.join(ranking, by) if by else decisions.crossJoin(ranking)  # one row each
+    keys = by or ["_run"]
+    if not by:  # a single run: one row on each side
+        ranking, decisions = (x.withColumn("_run", F.lit(0)) for x in (ranking, decisions))
+    joined = decisions.join(ranking, keys)
     return joined.select(
         *by, "pr_auc", "roc_auc", "f1_macro", "f1_minority", "precision_minority", "recall_minority",
         F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"))

@@ -72,12 +72,13 @@ def latest_run(summary: DataFrame, generation: str, model: str, variant: str) ->
 
 def versus_champion(predictions: DataFrame, summary: DataFrame, champion_id: str) -> DataFrame:
     """Every other run against one champion; runs without a common row are skipped."""
-    champ = summary.where(F.col("run_id") == champion_id).select(
-        F.col("run_id").alias("run_a"), F.concat_ws("__", "model", "variant").alias("champion"),
-        F.col("f1_minority").alias("champion_f1_minority"))
-    others = summary.where(F.col("run_id") != champion_id).select(
-        F.col("run_id").alias("run_b"), "model", "variant", "target_tag", "f1_minority")
-    pairs = others.join(F.broadcast(champ))  # one champion row
+    champ = summary.where(F.col("run_id") == champion_id).select("model", "variant", "f1_minority").first()
+    if champ is None:
+        raise ValueError(f"no run {champion_id!r} to compare with")
+    pairs = summary.where(F.col("run_id") != champion_id).select(
+        F.lit(champion_id).alias("run_a"), F.col("run_id").alias("run_b"), "model", "variant", "target_tag", "f1_minority",
+        F.lit(f"{champ['model']}__{champ['variant']}").alias("champion"),
+        F.lit(champ["f1_minority"]).alias("champion_f1_minority"))
     return (compare_pairs(predictions, pairs).withColumn("winner", winner("champion", "challenger"))
             .withColumn("delta_f1_minority", F.col("f1_minority") - F.col("champion_f1_minority")))
 
