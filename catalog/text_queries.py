@@ -13,7 +13,7 @@ from lexsieve.operators import features as ft
 from lexsieve.operators import vocabulary as vo
 from lexsieve.operators.cleaning import clean_aggressive as aggressive
 from lexsieve.operators.cleaning import token_dictionary
-from lexsieve.plans.scale import new_folder
+from lexsieve.plans.scale import new_folder, spread
 from lexsieve.sources.vectors import read_vectors, write_vectors
 
 _MONEY = (r"(?i)(?:R\$|US\$|\$)\s*\d+(?:[.,]\d+)*(?:\s+(?:milh[õo]es|milh[ãa]o|bilh[õo]es|bilh[ãa]o|trilh[õo]es|trilh[ãa]o"
@@ -47,7 +47,8 @@ def mask_entities(spark, sf):
     share = F.when(line % 2 == 0, " %").otherwise(",5%")
     raw = F.concat(mark, F.floor("l_extendedprice").cast("string"), size, F.lit(", desconto de "),
                    F.round(F.col("l_discount") * 100).cast("bigint").cast("string"), share)
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", tx.mask_entities(raw).alias("masked")).agg(
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    return lines.groupBy("l_orderkey", "l_linenumber", tx.mask_entities(raw).alias("masked")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

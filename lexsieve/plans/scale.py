@@ -15,7 +15,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 HOT_KEYS = 1000
