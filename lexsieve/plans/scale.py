@@ -10,6 +10,7 @@ Size rules used by the whole library:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,16 +22,25 @@ HOT_KEYS = 1000
 SALTS = 64
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates, as the session names it.
 
-    Only where the session names none (tests, a laptop) is a temporary folder taken.
+    A session that names none gets a temporary folder only where driver and executors are one process
+    (master ``local``); on a cluster such a folder would lose rows silently, so this raises instead. The
+    session's own settings are never changed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lexsieve-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="lexsieve-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -122,7 +132,7 @@ def value_bounds(df: DataFrame, column: str, buckets: int | None = None) -> list
     One mergeable sketch over one pruned column; the bounds only steer the balance, never the
     result.
     """
-    buckets = min(buckets or partitions(df.sparkSession), 256)
+    buckets = buckets or partitions(df.sparkSession)
     if buckets < 2:
         return []
     fractions = [i / buckets for i in range(1, buckets)]
