@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsieve.llm import forest_join, quality
+from lexsieve.llm import forest_join, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +45,9 @@ def op1_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op7_forest_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Class and number of links of every document."""
     return forest_join.jaccard_classes(table(spark, sf, "documents"))
+
+
+@query
+def op10_window_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document that repeated 20-word windows remove, and the digest of what is left."""
+    return substring_dedup.dedup_report(table(spark, sf, "documents"))
