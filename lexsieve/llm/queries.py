@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsieve.llm import forest_join, quality, substring_dedup
+from lexsieve.llm import decontaminate, forest_join, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +41,12 @@ def op1_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= KEEP_CUT).alias("keep"))
 
 
+@query
+def op2_template_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that holds a benchmark item, verbatim or re-parameterised, with the item."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op7_forest_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Class and number of links of every document."""
