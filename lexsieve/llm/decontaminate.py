@@ -33,6 +33,8 @@ LEAST_WORDS = 4
 COVERAGE = 0.5
 #: Benchmark windows that travel to the document scan as a sorted array; more meet all windows in a shuffle join.
 BROADCAST_WINDOWS = 4_000_000
+#: Ids of leaking documents that travel to the documents; more are joined by a shuffle.
+BROADCAST_DOCUMENTS = 500_000
 
 # Fixed values.
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
@@ -192,5 +194,6 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
 
 def without_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns; rows without an id stay."""
-    leaked = leaks(documents, items, key=key, **options).select(F.col("doc_id").alias(key)).distinct()
-    return documents.join(leaked, key, "left_anti").select(*documents.columns)
+    leaked = written(leaks(documents, items, key=key, **options).select(F.col("doc_id").alias(key)).distinct(), "leaked")
+    few = leaked.count() <= BROADCAST_DOCUMENTS
+    return documents.join(F.broadcast(leaked) if few else leaked, key, "left_anti").select(*documents.columns)

@@ -263,7 +263,8 @@ def jaccard_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "t
 
 
 def one_of_each_class(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that are the smallest id of their class, with their own columns; rows without an id stay."""
-    first = jaccard_classes(documents, key=key, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = documents.join(first, documents[key] == first["_first"], "left_semi")
-    return kept.unionByName(documents.where(F.col(key).isNull()))
+    """The documents whose id is the smallest of their class, with their own columns; rows without an id stay."""
+    classes = jaccard_classes(documents, key=key, **options).where("doc_id is not null")
+    gone = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).where("not first")
+    gone = written(gone.select(F.col("doc_id").alias(key)), "later")
+    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, key, "left_anti").select(*documents.columns)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsieve.llm import decontaminate, forest_join, quality, substring_dedup
+import public_tokenizers
+
+from lexsieve.llm import decontaminate, forest_join, packing, quality, substring_dedup, token_store
+from lexsieve.plans.scale import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +50,23 @@ def op2_template_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Position, length and checksum of the ids of every document, as read back from the store."""
+    path = new_folder(spark, "token-store")
+    token_store.write_store(table(spark, sf, "documents"), path, WORD_BPE, folds=True, end_id=2)
+    return token_store.read_store(spark, path)
+
+
+@query
+def op6_bin_completion(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.packed_sequences(table(spark, sf, "documents"), BYTE_BPE, end_id=0)
+
+
 @query
 def op7_forest_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Class and number of links of every document."""
