@@ -13,17 +13,19 @@ from lexsieve.llm import rolling
 
 @dataclass(frozen=True)
 class HashedText:
-    """Feature map of hashed byte 3-grams (style), lower-case words (vocabulary) and word echoes (repetition)."""
+    """Feature map of hashed byte 3-grams (style), lower-case words (vocabulary), their beginnings of the given
+    numbers of bytes (inflected and disguised words) and word echoes (repetition)."""
 
     bits: int = 16
     grams: bool = True
     words: bool = False
+    stems: tuple[int, ...] = ()
     echoes: bool = False
     presence: bool = False
 
     @property
     def width(self) -> int:
-        return (int(self.grams) + int(self.words) + int(self.echoes)) << self.bits
+        return (int(self.grams) + int(self.words) + len(self.stems) + int(self.echoes)) << self.bits
 
     def occurrences(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(document, feature index) of every occurrence, one pair of arrays for each kind, documents ascending."""
@@ -41,6 +43,11 @@ class HashedText:
             cut = rolling.cut_words(rolling.LOWER[data], offsets, rolling.LOWER_ALNUM)
             found.append((cut.doc, (cut.hashes >> shift).astype(np.int64) + base))
             base += 1 << self.bits
+            for size in self.stems:
+                long = np.flatnonzero(cut.ends - cut.starts > size)
+                stem = rolling.byte_hashes(cut.data, cut.starts[long], cut.starts[long] + size)
+                found.append((cut.doc[long], (stem >> shift).astype(np.int64) + base))
+                base += 1 << self.bits
         if self.echoes:
             cut = rolling.cut_words(data, offsets, rolling.GRAPHIC)
             if len(cut.doc):

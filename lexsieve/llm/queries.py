@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lexsieve.llm import decontaminate, forest_join, packing, quality, substring_dedup, token_store
+from lexsieve.llm import decontaminate, forest_join, licenses, packing, quality, substring_dedup, token_store, toxicity
 from lexsieve.plans.scale import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,48 @@ def op7_forest_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return forest_join.jaccard_classes(table(spark, sf, "documents"))
 
 
+@query
+def op8_nnpu_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside fold 0."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train_toxic(docs, table(spark, sf, "labels").where(~toxicity.held_out("doc_id")))
+    return toxicity.score_toxic(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _license_sql() -> str:
+    """The scan in SQL: words joined by spaces, places by comparing neighbours, templates as regular expressions."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    spots, base, found = [], [], []
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
+        spots.append(f"list_filter(range(1, len(w) + 1), lambda i: {same})")
+        base.append(f"CASE WHEN regexp_matches(s, ' {phrase} ') THEN ['{label}'] ELSE [] END")
+    for label, group in licenses.TEMPLATES.items():
+        hit = " OR ".join(f"regexp_matches(s, ' {licenses.template_pattern(t)}')" for t in group)
+        found.append(f"CASE WHEN {hit} THEN ['{label}'] ELSE [] END")
+    flat = lambda lists: "flatten([" + ", ".join(lists) + "])"
+    return f"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+line AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM cut),
+hits AS (SELECT doc_id, len(w) AS n_words, {flat(spots)} AS p, {flat(base)} AS b, {flat(found)} AS m FROM line)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(b)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(b, m))), ','), '') AS labels,
+  CASE WHEN len(m) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM hits"""
+
+
+@query
+def op9_template_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and accepted notices of every document."""
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+ORACLE["op9_template_licenses"] = _license_sql()
+
+
 @query
 def op10_window_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words of every document that repeated 20-word windows remove, and the digest of what is left."""
