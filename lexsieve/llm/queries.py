@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lexsieve.llm import decontaminate, forest_join, licenses, packing, quality, substring_dedup, token_store, toxicity
+from lexsieve.llm import decontaminate, forest_join, html_cut, licenses, merkle, packing, quality, substring_dedup, token_store, toxicity
 from lexsieve.plans.scale import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,19 @@ def op2_template_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op3_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and the likenesses."""
+    return merkle.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op4_cut_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf, "pages")
+    return html_cut.extract_text(pages, html_cut.train_blocks(pages))
+
+
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
