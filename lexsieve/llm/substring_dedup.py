@@ -26,8 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexsieve.llm import rolling
@@ -91,52 +90,54 @@ def surveyed(documents: DataFrame, size: int, gram: int) -> DataFrame:
                     lists = [_lists(doc[k], code[k].view(np.int64), n) for k in (new, second)]
                 else:
                     lists = [_lists(np.zeros(0, np.int64), np.zeros(0, np.int64), n)] * 2
-                sums = [hashlib.sha256(b" ".join(data[a:b].tobytes().split())).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                sums = [hashlib.sha256(b" ".join(data[a:b].tobytes().split())).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_node(words)), pa.array(np.diff(first)), pa.array(sums), *lists],
+                    [part.column(0), pa.array(_node(words)), pa.array(np.diff(first)), pa.array(sums, pa.binary()), *lists],
                     ["doc_id", "node", "n_words", "whole_sha256", "anchors", "again"])
 
     return documents.mapInArrow(
-        survey, "doc_id long, node long, n_words long, whole_sha256 string, anchors array<long>, again array<long>")
+        survey, "doc_id long, node long, n_words long, whole_sha256 binary, anchors array<long>, again array<long>")
 
 
 def windows_of(candidates: DataFrame, size: int, gram: int) -> DataFrame:
-    """Windows with a repeated anchor: a row (hash, doc_id, pos) for the first in each slice of rows, and for
-    each document the list `late` of starts that come after another one of the same slice."""
+    """Windows with a repeated anchor, told once by each slice of rows.
+
+    A row (hash, doc_id, pos) for the earliest start of a window in the slice; other starts are redundant
+    already and come as one row (doc_id, late) for each document. So a window that fills the corpus sends a row
+    for each slice at most.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in rolling.slices(batch, "text"):
                 words = rolling.cut_words(data, offsets, rolling.GRAPHIC)
                 ids, first = part.column(0).to_numpy(), words.first
                 at, found = _anchors(words, size, gram)
-                mine = _node(words) == part.column(3).to_numpy()
-                keep = mine[words.doc[at]] if len(at) else at
-                at, found = (at[keep], found[:, keep]) if len(at) else (at, found)
                 if not len(at):
                     continue
+                mine = _node(words) == part.column(3).to_numpy()
                 wanted = np.unique(part.column(2).flatten().to_numpy())
                 top = (found[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                at = at[np.isin(top, wanted)]
+                at = at[mine[words.doc[at]] & np.isin(top, wanted)]
                 if not len(at):
                     continue
                 code = rolling.range_hashes(words.hashes, at, at + size, 0xD6E8FEB86659FD93)
-                row = words.doc[at]
-                owner, pos = ids[row], at - first[row]
-                order = np.lexsort((pos, owner, code))
-                code, owner, pos, row = code[order], owner[order], pos[order], row[order]
-                head = np.concatenate(([True], code[1:] != code[:-1]))
-                lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-                late = (owner != owner[lead]) | (pos != pos[lead])
+                owner = ids[words.doc[at]]
+                order = np.lexsort((at, owner, code))
+                fresh = np.concatenate(([True], code[order][1:] != code[order][:-1]))
+                lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
+                pos = at - first[words.doc[at]]
+                late, head = np.zeros(len(at), bool), np.zeros(len(at), bool)
+                head[order[fresh]] = True
+                late[order] = (owner[order] != owner[lead]) | (pos[order] != pos[lead])
+                rows, places = words.doc[at][late], pos[late].astype(np.int32)
+                docs = np.unique(rows)
+                n = int(head.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[head].view(np.int64)), pa.array(owner[head]), pa.array(pos[head].astype(np.int32)),
-                     pa.nulls(int(head.sum()), pa.list_(pa.int32()))], ["hash", "doc_id", "pos", "late"])
-                back = np.lexsort((pos[late], row[late]))
-                some, places = row[late][back], pos[late][back].astype(np.int32)
-                rows = np.unique(some)
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(rows), pa.int64()), pa.array(ids[rows]), pa.nulls(len(rows), pa.int32()),
-                         _lists(np.searchsorted(rows, some), places, len(rows))], ["hash", "doc_id", "pos", "late"])
+                    [pa.concat_arrays([pa.array(code[head].view(np.int64)), pa.array(rolling.mix(docs.astype(np.uint64)).view(np.int64))]),
+                     pa.concat_arrays([pa.array(owner[head]), pa.array(ids[docs])]),
+                     pa.concat_arrays([pa.array(pos[head].astype(np.int32)), pa.nulls(len(docs), pa.int32())]),
+                     pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists(np.searchsorted(docs, rows), places, len(docs))])],
+                    ["hash", "doc_id", "pos", "late"])
 
     return candidates.mapInArrow(cut, "hash long, doc_id long, pos int, late array<int>")
 
@@ -147,10 +148,10 @@ def _meet(texts: DataFrame, found: DataFrame, column: str, how: str = "inner") -
     return texts.join(F.broadcast(found) if held <= BROADCAST_BYTES else found, "doc_id", how)
 
 
-def redundant_starts(documents: DataFrame, size: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The survey rows of all documents with a flag for later copies, and (doc_id, node, starts) of redundant windows.
+def removal_spans(documents: DataFrame, size: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The survey rows of all documents with a flag for later copies, and (doc_id, spans, node) of removal intervals.
 
-    documents: doc_id, text with non-null ids. Later copies are flagged and have no starts.
+    documents: doc_id, text with non-null ids. Later copies are flagged and have no spans.
     """
     survey = written(surveyed(documents, size, gram), "survey")
     firsts = survey.groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -164,29 +165,26 @@ def redundant_starts(documents: DataFrame, size: int = WINDOW, gram: int = GRAM)
     held = spots.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set(F.shiftright("anchor", 32).cast("int")).alias("wanted"))
     held = written(held.join(own, "doc_id"), "anchors")
     met = _meet(documents, held, "wanted").select("doc_id", "text", "wanted", "node")
-    windows = written(windows_of(met, size, gram), "windows")
+    # starts within a document are settled, so only the smallest id of a window is wanted
+    everywhere = Window.partitionBy("hash")
+    settled = windows_of(met, size, gram).withColumn("first_id", F.min(F.when(F.col("pos").isNotNull(), F.col("doc_id"))).over(everywhere))
+    late = settled.where("pos is null or doc_id > first_id").select("doc_id", F.coalesce("late", F.array("pos")).alias("late"))
+    merged = late.groupBy("doc_id").agg(F.flatten(F.collect_list("late")).alias("starts"))
+    return rows, written(intervals(merged, size).join(own, "doc_id"), "spans")
 
-    starts = windows.where("hash is not null").select("hash", F.struct("doc_id", "pos").alias("start"))
-    earliest = starts.groupBy("hash").agg(F.min("start").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = starts.join(earliest, "hash").where("start <> head").select("start.doc_id", "start.pos")
-    later = later.groupBy("doc_id").agg(F.collect_list("pos").alias("late"))
-    within = windows.where("hash is null").select("doc_id", "late")
-    merged = later.union(within).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("late"))).alias("starts"))
-    return rows, written(merged.join(own, "doc_id"), "starts")
 
+def intervals(starts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, spans): the maximal removal intervals that the windows at `starts` cover, as flat [from, to) pairs of words."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for k in range(batch.num_rows):
+                pos = np.unique(batch.column(1)[k].values.to_numpy())
+                gap = np.flatnonzero(np.diff(pos) > size)
+                spans.append(np.stack((pos[np.concatenate(([0], gap + 1))], pos[np.append(gap, len(pos) - 1)] + size), axis=1).reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int32()))], ["doc_id", "spans"])
 
-def _intervals(words: rolling.Words, starts: pa.ListArray, size: int) -> list[np.ndarray]:
-    """Maximal removal intervals [from, to) in words of each document."""
-    first = words.first
-    rows = np.repeat(np.arange(len(starts)), starts.value_lengths().fill_null(0).to_numpy())
-    begin = first[rows] + starts.flatten().to_numpy().astype(np.int64)
-    edge = np.bincount(begin, minlength=len(words.hashes) + 1) - np.bincount(begin + size, minlength=len(words.hashes) + 1)
-    gone = np.cumsum(edge) > 0
-    out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        own = np.concatenate(([0], gone[a:b].view(np.int8), [0]))
-        out.append(np.flatnonzero(np.diff(own)).reshape(-1, 2))
-    return out
+    return starts.mapInArrow(merge, "doc_id long, spans array<int>")
 
 
 def _without(words: rolling.Words, i: int, spans: np.ndarray) -> bytes:
@@ -199,50 +197,48 @@ def _without(words: rolling.Words, i: int, spans: np.ndarray) -> bytes:
     return b"".join([*pieces, words.data[at:end].tobytes()])
 
 
-def cut_texts(found: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n_removed, kept_sha256, kept_text, spans) of documents with redundant starts.
+def cut_texts(found: DataFrame) -> DataFrame:
+    """(doc_id, node, n_removed, kept_sha256, kept_text) of documents with removal intervals.
 
-    found: doc_id, text, starts, node. kept_text is the text without the removal intervals, everything else
-    unchanged; spans are the intervals.
+    found: doc_id, text, spans, node. kept_text is the text without the intervals, everything else unchanged.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in rolling.slices(batch, "text"):
                 words = rolling.cut_words(data, offsets, rolling.GRAPHIC)
                 node = _node(words)
-                mine = node == part.column(3).to_numpy()
-                starts = pc.if_else(pa.array(mine), part.column(2), pa.scalar([], part.column(2).type))
-                spans = _intervals(words, starts, size)
+                mine = np.flatnonzero(node == part.column(3).to_numpy())
                 removed, sums, kept = [], [], []
-                for i in np.flatnonzero(mine):
-                    left = _without(words, int(i), spans[i])
-                    removed.append(int(np.diff(spans[i]).sum()))
-                    sums.append(hashlib.sha256(b" ".join(left.split())).hexdigest())
+                for i in mine:
+                    spans = part.column(2)[int(i)].values.to_numpy().reshape(-1, 2)
+                    left = _without(words, int(i), spans)
+                    removed.append(int(np.diff(spans).sum()))
+                    sums.append(hashlib.sha256(b" ".join(left.split())).digest())
                     kept.append(left.decode())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).filter(pa.array(mine)), pa.array(node[mine]), pa.array(removed, pa.int64()),
-                     pa.array(sums, pa.string()), pa.array(kept, pa.string()),
-                     pa.array([spans[i].tolist() for i in np.flatnonzero(mine)], pa.list_(pa.list_(pa.int64())))],
-                    ["doc_id", "node", "n_removed", "kept_sha256", "kept_text", "spans"])
+                    [part.column(0).take(pa.array(mine)), pa.array(node[mine]), pa.array(removed, pa.int64()),
+                     pa.array(sums, pa.binary()), pa.array(kept, pa.string())],
+                    ["doc_id", "node", "n_removed", "kept_sha256", "kept_text"])
 
-    return found.select("doc_id", "text", "starts", "node").mapInArrow(
-        cut, "doc_id long, node long, n_removed long, kept_sha256 string, kept_text string, spans array<array<long>>")
+    return found.select("doc_id", "text", "spans", "node").mapInArrow(
+        cut, "doc_id long, node long, n_removed long, kept_sha256 binary, kept_text string")
 
 
 def dedup_report(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row; the digest is of the kept words joined by one space."""
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = spread(texts.where("doc_id is not null"), "doc_id")
-    rows, starts = redundant_starts(known, size)
-    changed = cut_texts(_meet(known, starts, "starts"), size).select("doc_id", "node", "n_removed", "kept_sha256").distinct()
-    nothing = hashlib.sha256(b"").hexdigest()
+    rows, spans = removal_spans(known, size)
+    changed = cut_texts(_meet(known, spans, "spans")).select("doc_id", "node", "n_removed", "kept_sha256").distinct()
+    nothing = hashlib.sha256(b"").digest()
+    shown = lambda digest: F.lower(F.hex(digest)).alias("kept_sha256")
     gone = F.col("copy") & (F.col("n_words") >= size)
     out = rows.join(changed, ["doc_id", "node"], "left").select(
         "doc_id", "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"))
+        shown(F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "whole_sha256"))))
     nameless = surveyed(texts.where("doc_id is null"), size, GRAM).select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), shown("whole_sha256"))
     return out.unionByName(nameless)
 
 
@@ -252,11 +248,11 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     White space inside the kept parts stays as it is. Rows are neither added nor dropped.
     """
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, starts = redundant_starts(spread(texts.where("doc_id is not null"), "doc_id"), size)
+    rows, spans = removal_spans(spread(texts.where("doc_id is not null"), "doc_id"), size)
     copies = rows.where(F.col("copy") & (F.col("n_words") >= size)).groupBy("doc_id").agg(F.collect_set("node").alias("copies"))
-    found = written(starts.join(copies, "doc_id", "full_outer").select(
-        F.col("doc_id").alias("_key"), F.struct("starts", "node", "copies").alias("_found")), "found")
-    held = found.agg(F.sum(4 * F.coalesce(F.size("_found.starts"), F.lit(0)) + 64)).first()[0] or 0
+    found = written(spans.join(copies, "doc_id", "full_outer").select(
+        F.col("doc_id").alias("_key"), F.struct("spans", "node", "copies").alias("_found")), "found")
+    held = found.agg(F.sum(8 * F.coalesce(F.size("_found.spans"), F.lit(0)) + 64)).first()[0] or 0
     both = documents.join(F.broadcast(found) if held <= BROADCAST_BYTES else found, documents[key] == found["_key"], "left").drop("_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +262,11 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
                 node = _node(words)
                 told = part.column(part.num_columns - 1).to_pylist()
                 kept = part.column(part.schema.names.index(text)).to_pylist()
-                mine = [f["starts"] if f and f["node"] == n and f["starts"] else [] for f, n in zip(told, node, strict=True)]
-                spans = _intervals(words, pa.array(mine, pa.list_(pa.int32())), size)
                 for i, f in enumerate(told):
                     if f and f["copies"] and int(node[i]) in f["copies"]:
                         kept[i] = ""
-                    elif len(spans[i]):
-                        kept[i] = _without(words, i, spans[i]).decode()
+                    elif f and f["spans"] and f["node"] == node[i]:
+                        kept[i] = _without(words, i, np.array(f["spans"]).reshape(-1, 2)).decode()
                 columns = [pa.array(kept, pa.string()) if name == text else part.column(k) for k, name in enumerate(part.schema.names[:-1])]
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
