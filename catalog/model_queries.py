@@ -102,7 +102,7 @@ def platt_calibrate(spark, sf):
 @query("train_gbt")
 def train_gbt(spark, sf):
     f = _features(spark, sf, "bow")
-    return _quality(f, matrix.score_model(f, "lightgbm", trees=5))
+    return _quality(f, matrix.score_model(f, "lightgbm"))
 
 
 @query("multiclass_to_binary")

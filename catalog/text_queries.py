@@ -16,9 +16,8 @@ from lexsieve.operators.cleaning import token_dictionary
 from lexsieve.plans.scale import new_folder, spread
 from lexsieve.sources.vectors import read_vectors, write_vectors
 
-_MONEY = (r"(?i)(?:R\$|US\$|\$)\s*\d+(?:[.,]\d+)*(?:\s+(?:milh[õo]es|milh[ãa]o|bilh[õo]es|bilh[ãa]o|trilh[õo]es|trilh[ãa]o"
-          r"|mil|tri|bi|mi)\b)?")
-_PERCENT = r"\d+(?:[.,]\d+)*\s*%"
+_MONEY = "(?i)" + fixed.MONEY_PATTERN
+_PERCENT = fixed.PERCENT_PATTERN
 
 
 def _mask_sql(column: str) -> str:

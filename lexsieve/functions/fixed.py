@@ -28,12 +28,9 @@ CLEANING_MODES = ("raw", "aggressive")
 # Masks.
 MONEY_TOKEN = "[VALOR_MONETARIO]"
 PERCENT_TOKEN = "[PERCENTUAL]"
-CURRENCY_MARKS = (r"R\$", r"US\$", r"\$")
-MAGNITUDE_WORDS = (
-    "milh[õo]es", "milh[ãa]o", "bilh[õo]es", "bilh[ãa]o", "trilh[õo]es", "trilh[ãa]o",
-    "mil", "tri", "bi", "mi",
-)
-NUMBER_PATTERN = r"\d+(?:[.,]\d+)*"
+# White space of a pattern is written \s; readers whose \s is narrower widen it (functions/text.py).
+MONEY_PATTERN = r"(?:R\$|US\$|\$)\s*\d+(?:[.,]\d+)*(?:\s+(?:milh[õo]es|milh[ãa]o|bilh[õo]es|bilh[ãa]o|trilh[õo]es|trilh[ãa]o|mil|tri|bi|mi)\b)?"
+PERCENT_PATTERN = r"\d+(?:[.,]\d+)*\s*%"
 
 # Vectorizer defaults.
 TFIDF_NGRAMS = (1, 2)
@@ -61,6 +58,7 @@ REPRESENTATIONS = ("tfidf", "bow", "fasttext")
 # Run registry.
 GENERATIONS = ("gen1", "gen2", "gen3", "ensemble")
 SLUG_REJECTED = "[^a-z0-9.+-]+"
+SLUG_KEPT = "[a-z0-9.+-]+"
 RUN_STAMP_FORMAT = "%Y%m%d-%H%M%S"
 RUN_METADATA_KEYS = (
     "run_id", "git_commit", "started_at", "finished_at", "generation", "model", "variant",

@@ -92,17 +92,19 @@ def slug(c: Column | str) -> Column:
     return F.btrim(F.regexp_replace(F.lower(strip(c)), fixed.SLUG_REJECTED, "-"), F.lit("-"))
 
 
-def slug_text(s: str) -> str:
-    return re.sub(fixed.SLUG_REJECTED, "-", s.strip().lower()).strip("-")
+def kebab(name: str) -> str:
+    """``slug`` of a plain string."""
+    return "-".join(re.findall(fixed.SLUG_KEPT, name.lower())).strip("-")
 
 
 def run_name(generation: str, model: str, variant: str, when: dt.datetime) -> str:
-    if generation not in fixed.GENERATIONS:
-        raise ValueError(f"generation must be one of {fixed.GENERATIONS}, got {generation!r}")
-    model_slug, variant_slug = slug_text(model), slug_text(variant)
-    if not model_slug or not variant_slug:
-        raise ValueError(f"model and variant need non-empty slugs, got {model!r} and {variant!r}")
-    return "__".join((when.strftime(fixed.RUN_STAMP_FORMAT), generation, model_slug, variant_slug))
+    """Time stamp, generation, model and variant; only names that ``run_name_parts`` takes apart again exist."""
+    stamp = when.strftime(fixed.RUN_STAMP_FORMAT)
+    name = "__".join([stamp, generation, *map(kebab, (model, variant))])
+    known = "|".join(map(re.escape, fixed.GENERATIONS))
+    if not re.fullmatch(rf"{re.escape(stamp)}__(?:{known})(?:__{fixed.SLUG_KEPT}){{2}}", name):
+        raise ValueError(f"no run name for generation {generation!r}, model {model!r}, variant {variant!r}; generations: {fixed.GENERATIONS}")
+    return name
 
 
 def run_name_parts(run_id: Column | str) -> dict[str, Column]:

@@ -18,11 +18,9 @@ _NFC_UNSTABLE = r"[^\x00-\u02FF\u2002-\u205E\u20A0-\u20BF]"
 _NON_ASCII = r"[^\x00-\x7F]"
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
-MONEY_PATTERN = (
-    r"(?iuU)(?:" + "|".join(fixed.CURRENCY_MARKS) + r")[\s\x1c-\x1f]*" + fixed.NUMBER_PATTERN
-    + r"(?:[\s\x1c-\x1f]+(?:" + "|".join(fixed.MAGNITUDE_WORDS) + r")\b)?"
-)
-PERCENT_PATTERN = r"(?U)" + fixed.NUMBER_PATTERN + r"[\s\x1c-\x1f]*%"
+# The fixed patterns as Java regexes: Unicode classes, and the separators that \s leaves out there.
+MONEY_PATTERN = "(?iuU)" + fixed.MONEY_PATTERN.replace(r"\s", r"[\s\x1c-\x1f]")
+PERCENT_PATTERN = "(?U)" + fixed.PERCENT_PATTERN.replace(r"\s", r"[\s\x1c-\x1f]")
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from lexsieve.functions import fixed
-from lexsieve.plans.scale import global_index, packed
+from lexsieve.plans.scale import global_index
 
 
 def _probability(model, rows: DataFrame, code: int) -> DataFrame:
@@ -21,12 +21,6 @@ def _probability(model, rows: DataFrame, code: int) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[code]).select(*keep, "p")
 
 
-def positive_code(classes: tuple, positive) -> int:
-    if positive not in classes:
-        raise ValueError(f"positive class {positive!r} is not among {tuple(classes)!r}")
-    return tuple(classes).index(positive)
-
-
 @dataclass(frozen=True)
 class LinearModel:
     model: object
@@ -42,14 +36,14 @@ def train_logreg(train: DataFrame, code: int = 1, label: str = "y", c: float = 1
     n = train.count()
     lr = LogisticRegression(labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter)
-    return LinearModel(lr.fit(packed(train, n)), code)
+    return LinearModel(lr.fit(train), code)
 
 
 def train_svc(train: DataFrame, label: str = "y", c: float = 1.0, max_iter: int = 5000) -> LinearSVCModel:
     """Linear SVM with hinge loss; its margins still need calibration."""
     n = train.count()
     svc = LinearSVC(labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=max_iter, tol=1e-4)
-    return svc.fit(packed(train, n))
+    return svc.fit(train)
 
 
 def assign_folds(train: DataFrame, label: str, order: tuple[str, ...], folds: int = 3) -> DataFrame:
@@ -111,7 +105,7 @@ def fit_sigmoid(margins: DataFrame, label: str = "y", margin: str = "margin") ->
                           F.struct(F.lit(0.0).alias("y"), (1.0 - target).alias("w")))).alias("r"),
     ).select("features", "r.y", "r.w")
     model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, standardization=False,
-                               maxIter=1000, tol=1e-9).fit(packed(rows, 2 * (sizes["p"] + sizes["n"])))
+                               maxIter=1000, tol=1e-9).fit(rows)
     return float(model.coefficients[0]), float(model.intercept)
 
 
@@ -165,9 +159,8 @@ class BoostedTrees:
 
 def train_boosted_trees(train: DataFrame, classes: int = 2, code: int = 1, label: str = "y",
                         trees: int = 100, depth: int = 5, step: float = 0.1) -> BoostedTrees:
-    """Gradient-boosted trees; one-vs-rest beyond two classes. Hash wide features first."""
+    """Gradient-boosted trees; one-vs-rest beyond two classes."""
     members = {}
-    train = packed(train, train.count())
     for cls in ([code] if classes == 2 else range(classes)):
         gbt = GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=step, seed=fixed.SEED,
                             cacheNodeIds=True)

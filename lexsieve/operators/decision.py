@@ -24,11 +24,24 @@ def check_binary(df: DataFrame, *columns: str, score: str | None = None) -> None
             raise ValueError(f"{row[name]} rows have an invalid {name}")
 
 
+def not_binary(c: Column) -> Column:
+    return c.isNull() | ~c.isin(0, 1)
+
+
+def unless_bad(count: Column | str, value: Column | str, what: str) -> Column:
+    """A count, or an error when rows outside 0/1 were counted in the same aggregate."""
+    count, value = (F.col(c) if isinstance(c, str) else c for c in (count, value))
+    return F.when(count == 0, value).otherwise(F.raise_error(F.lit(f"{what} must be 0 or 1 in every row")).cast("long"))
+
+
 def confusion(df: DataFrame, by: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """Confusion cells of each group; a label or a prediction outside 0/1 raises."""
     t, p = F.col(y_true), F.col(y_pred)
     cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
-    return df.groupBy(*by).agg(
-        *[F.count_if((t == a) & (p == b)).alias(name) for name, (a, b) in cells.items()])
+    counted = df.groupBy(*by).agg(
+        *[F.count_if((t == a) & (p == b)).alias(name) for name, (a, b) in cells.items()],
+        F.count_if(not_binary(t) | not_binary(p)).alias("_bad"))
+    return counted.select(*by, *[unless_bad("_bad", name, "labels and predictions").alias(name) for name in cells])
 
 
 def f1_positive(tp: Column, fp: Column, fn: Column) -> Column:

@@ -11,23 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexsieve.plans.scale import bucket_of, value_bounds
+from lexsieve.operators.decision import decision_metrics, not_binary
+from lexsieve.plans.scale import partitions, written
 
 
 def ranked_scores(df: DataFrame, by: list[str], y_true: str = "y_true", y_score: str = "y_score",
                   buckets: int | None = None) -> DataFrame:
-    """Per distinct score: pos, neg, cumulative tp/fp at ``score >= s`` and the totals P, N."""
+    """Per distinct score: pos, neg, cumulative tp/fp at ``score >= s`` and the totals P, N.
+
+    Every run has its own bucket bounds, sketched over its own distinct scores, so scores in a narrow band
+    spread over as many buckets as any others.
+    """
+    own = by or ["_run"]
     scored = df.select(*by, F.col(y_true).cast("int").alias("y"), F.col(y_score).cast("double").alias("s"))
-    bounds = value_bounds(scored, "s", buckets)
-    distinct = scored.groupBy(*by, bucket_of("s", bounds).alias("bucket"), "s").agg(
+    scored = scored if by else scored.withColumn("_run", F.lit(0))
+    distinct = written(scored.groupBy(*own, "s").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
-        F.count_if(F.col("s").isNull() | F.isnan("s")).alias("bad"))
+        F.count_if(F.col("s").isNull() | F.isnan("s") | not_binary(F.col("y"))).alias("bad")), "scores")
+    n = buckets or partitions(df.sparkSession)
+    cuts = distinct.groupBy(*own).agg(F.percentile_approx("s", [i / n for i in range(1, n)] or [0.5], 10000).alias("cuts"))
+    # one row for each run
+    distinct = distinct.join(F.broadcast(cuts), own).withColumn(
+        "bucket", F.coalesce(F.size(F.filter("cuts", lambda b: b <= F.col("s"))), F.lit(0))).drop("cuts", *set(own) - set(by))
     inner = W.partitionBy(*by, "bucket").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     local = (distinct.withColumn("tp_in", F.sum("pos").over(inner))
              .withColumn("fp_in", F.sum("neg").over(inner)))
     totals = distinct.groupBy(*by, "bucket").agg(
         F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), F.sum("bad").alias("bb"))
-    # at most 256 buckets per run from here on
+    # one row for each bucket of a run from here on
     above = W.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
     run = W.partitionBy(*by)
     offsets = totals.select(
@@ -48,14 +59,14 @@ def _average_precision():
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     ap = F.sum(F.col("pos") * precision) / F.max("P")
     return _defined(ap, (F.max("P") > 0) & (F.max("bad_scores") == 0),
-                    "average precision needs positives and numeric scores")
+                    "average precision needs positives, labels 0 or 1 and numeric scores")
 
 
 def _roc_auc():
     below = F.col("N") - F.col("fp") + F.col("neg") / 2
     auc = F.sum(F.col("pos") * below) / F.max("P") / F.max("N")
     return _defined(auc, (F.max("P") > 0) & (F.max("N") > 0) & (F.max("bad_scores") == 0),
-                    "ROC-AUC needs both classes and numeric scores")
+                    "ROC-AUC needs both classes, labels 0 or 1 and numeric scores")
 
 
 def average_precision(df: DataFrame, by: list[str], **kw) -> DataFrame:
@@ -89,8 +100,6 @@ def pr_curve(df: DataFrame, by: list[str], **kw) -> DataFrame:
 def compute_metrics(df: DataFrame, by: list[str], y_true: str = "y_true", y_score: str = "y_score",
                     y_pred: str = "y_pred") -> DataFrame:
     """The full metric block of each run, confusion matrix as [[TN, FP], [FN, TP]]."""
-    from lexsieve.operators.decision import decision_metrics
-
     ranking = ranking_metrics(df, by, y_true=y_true, y_score=y_score)
     decisions = decision_metrics(df, by, y_true, y_pred)
     keys = by or ["_run"]

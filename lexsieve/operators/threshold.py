@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexsieve.functions import fixed
-from lexsieve.operators.decision import f1_macro, f1_positive
+from lexsieve.operators.decision import f1_macro, f1_positive, not_binary, unless_bad
 from lexsieve.plans.scale import local_table
 
 MAX_RUNS = 10_000
@@ -49,11 +49,11 @@ def threshold_sweep(val: DataFrame, by: list[str], y_true: str = "y_true", y_sco
     """Confusion cells and both F1 objectives at every grid point, per group of ``by``."""
     y, s = F.col(y_true), F.col(y_score).cast("double")
     steps = val.groupBy(*by, _step(s).alias("k")).agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count_if(not_binary(y)).alias("bad"))
     # per group: at most 92 counters, then 91 grid points from them
     counters = steps.groupBy(*by).agg(
         F.collect_list(F.struct("k", "pos", "neg")).alias("c"),
-        F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+        unless_bad(F.sum("bad"), F.sum("pos"), "labels").alias("p"), F.sum("neg").alias("n"))
     grid = counters.withColumn("g", F.explode(F.sequence(F.lit(fixed.GRID_FIRST), F.lit(fixed.GRID_LAST))))
 
     def above(name: str) -> Column:

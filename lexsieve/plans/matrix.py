@@ -11,24 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexsieve.functions import fixed
-from lexsieve.functions.labels import (class_code, collapse_category, encode_classes, num_classes, resolve_scheme,
+from lexsieve.functions.labels import (class_code, collapse_category, encode_classes, resolve_scheme,
                                        run_name, variant_name, variant_tag)
 from lexsieve.operators import classifiers as clf
+from lexsieve.operators.cleaning import clean_aggressive
 from lexsieve.operators.features import bag_of_words, embedding_average, hashed_terms, sparse_vectors, tfidf
 from lexsieve.operators.naive_bayes import fit_naive_bayes, score_naive_bayes
 from lexsieve.operators.threshold import ThresholdDecision, decide, fit_threshold
 from lexsieve.operators.vocabulary import fit_vocabulary
 from lexsieve.plans.scale import written
 
-HASHED_COLUMNS = 4096
-
-
 @dataclass(frozen=True)
 class Features:
     """What every model of one representation reads, computed once.
 
     ``docs`` has one row per document (id, split, label, category, date, link, vector); ``long`` the
-    term table that naive Bayes and hashing use (None for embeddings).
+    term table that naive Bayes and hashing use (None for embeddings); ``cleaning`` what was done to the
+    texts before.
     """
 
     representation: str
@@ -36,6 +35,7 @@ class Features:
     long: DataFrame | None
     vocabulary: object | None
     doc_id: str
+    cleaning: str = "raw"
 
 
 @dataclass(frozen=True)
@@ -67,25 +67,31 @@ def check_models(representation: str, models: list[str], mode: str, scheme) -> N
 
 def build_features(split: DataFrame, representation: str, doc_id: str = "doc_id", text: str = "text",
                    ngram_range: tuple[int, int] | None = None, min_df: int = fixed.MIN_DF,
-                   max_df: float = fixed.MAX_DF, vectors: tuple[DataFrame, int, int] | None = None) -> Features:
-    """Fit on train, transform everything, and write the result once for all models.
+                   max_df: float = fixed.MAX_DF, vectors: tuple[DataFrame, int, int] | None = None,
+                   dictionary: tuple[DataFrame, int] | None = None) -> Features:
+    """Clean, fit on train, transform everything, and write the result once for all models.
 
-    ``vectors`` is (dictionary, counted rows, dimension) for embeddings.
+    ``dictionary`` (token table, counted rows) asks for aggressive cleaning; ``vectors`` is (dictionary,
+    counted rows, dimension) for embeddings.
     """
     attributes = [doc_id, "split", "label", "category", "date", "link"]
     docs = split.select(*attributes)
+    cleaning = "raw" if dictionary is None else "aggressive"
+    if dictionary is not None:
+        cleaned = clean_aggressive(split, *dictionary, doc_id, text)
+        split = written(docs.join(cleaned.select(doc_id, F.col("text").alias(text)), doc_id), "cleaned")
     if representation == "fasttext":
         if vectors is None:
             raise ValueError("embeddings need a dictionary")
         means = embedding_average(split, *vectors, doc_id, text)
         table = docs.join(means.select(doc_id, array_to_vector("vector").alias("features")), doc_id)
-        return Features(representation, written(table, "features"), None, None, doc_id)
+        return Features(representation, written(table, "features"), None, None, doc_id, cleaning)
     grams = ngram_range or (fixed.TFIDF_NGRAMS if representation == "tfidf" else fixed.BOW_NGRAMS)
     vocabulary = fit_vocabulary(split.where(F.col("split") == "train"), text, grams, min_df, max_df)
     build = tfidf if representation == "tfidf" else bag_of_words
     long = written(build(split, vocabulary, doc_id, ("split", "label", "category"), text), "terms")
     table = written(sparse_vectors(docs, long, vocabulary.n_terms, doc_id), "features")
-    return Features(representation, table, long, vocabulary, doc_id)
+    return Features(representation, table, long, vocabulary, doc_id, cleaning)
 
 
 def _target(mode: str, scheme, positive: str, train: DataFrame):
@@ -99,8 +105,11 @@ def _target(mode: str, scheme, positive: str, train: DataFrame):
 
 
 def score_model(features: Features, model: str, mode: str = "binary", scheme=None,
-                positive: str = fixed.POSITIVE_CATEGORY, trees: int = 100) -> DataFrame:
-    """(doc_id, y_score) over val and test for one model fitted on train."""
+                positive: str = fixed.POSITIVE_CATEGORY, trees: int = 100, tree_columns: int | None = None) -> DataFrame:
+    """(doc_id, y_score) over val and test for one model fitted on train.
+
+    ``tree_columns`` asks for terms hashed into that many columns for the trees; None takes every term.
+    """
     check_models(features.representation, [model], mode, scheme)
     key = features.doc_id
     target, classes, code, _ = _target(mode, scheme, positive, features.docs.where(F.col("split") == "train"))
@@ -112,9 +121,9 @@ def score_model(features: Features, model: str, mode: str = "binary", scheme=Non
                                  model.removesuffix("nb"), vocabulary=features.vocabulary.table)
         return score_naive_bayes(fitted, long.where(F.col("split") != "train").select(key, "term_id", "value"),
                                  rest, key, code)
-    if model == "lightgbm" and features.long is not None and features.vocabulary.n_terms > HASHED_COLUMNS:
-        folded = hashed_terms(features.long, key, HASHED_COLUMNS)
-        docs = sparse_vectors(docs.drop("features"), folded, HASHED_COLUMNS, key, "slot")
+    if model == "lightgbm" and features.long is not None and tree_columns is not None:
+        folded = hashed_terms(features.long, key, tree_columns)
+        docs = written(sparse_vectors(docs.drop("features"), folded, tree_columns, key, "slot"), "hashed")
         train, rest = docs.where(F.col("split") == "train"), docs.where(F.col("split") != "train")
     if model == "logreg":
         fitted = clf.train_logreg(train, code)
@@ -126,7 +135,7 @@ def score_model(features: Features, model: str, mode: str = "binary", scheme=Non
 
 
 def run_matrix(features: Features, models: list[str], modes: list[tuple[str, object]], started: dt.datetime,
-               cleaning: str = "aggressive", positive: str = fixed.POSITIVE_CATEGORY, trees: int = 100) -> list[Run]:
+               positive: str = fixed.POSITIVE_CATEGORY, trees: int = 100, tree_columns: int | None = None) -> list[Run]:
     """Fit, score, calibrate and decide every (model, mode); features are read, never rebuilt.
 
     The loop runs over models, a handful; each score table is written once because the threshold, the
@@ -137,9 +146,9 @@ def run_matrix(features: Features, models: list[str], modes: list[tuple[str, obj
     truth = features.docs.select(features.doc_id, "split", F.col("label").cast("int").alias("y_true"))
     runs = []
     for mode, scheme in modes:
-        variant = variant_name(features.representation, cleaning, variant_tag(mode, scheme))
+        variant = variant_name(features.representation, features.cleaning, variant_tag(mode, scheme))
         for model in models:
-            scores = score_model(features, model, mode, scheme, positive, trees)
+            scores = score_model(features, model, mode, scheme, positive, trees, tree_columns)
             scored = written(truth.where(F.col("split") != "train").join(scores, features.doc_id), "scores")
             decision = fit_threshold(scored.where(F.col("split") == "val"))
             run_id = run_name("gen1", model, variant, started)
@@ -151,13 +160,3 @@ def run_matrix(features: Features, models: list[str], modes: list[tuple[str, obj
 
 def all_predictions(runs: list[Run]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [r.predictions for r in runs])
-
-
-def target_block(mode: str, scheme, positive: str, encoding: dict[str, int] | None) -> dict:
-    """The target part of a run's metadata."""
-    if mode == "binary":
-        return {"mode": mode, "num_classes": 2, "positive_class_label": "1", "collapse_scheme": None}
-    spec = resolve_scheme(scheme, positive)
-    return {"mode": mode, "num_classes": num_classes(spec), "positive_class_label": positive,
-            "positive_class_code": encoding[positive], "collapse_scheme": scheme if isinstance(scheme, str) else None,
-            "class_encoding": encoding}

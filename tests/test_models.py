@@ -118,7 +118,7 @@ def test_matrix_runs_and_leakage(articles):
     scheme = "top7_plus_other"
     features = matrix.build_features(articles, "tfidf", min_df=1)
     runs = matrix.run_matrix(features, ["multinomialnb", "logreg"], [("binary", None), ("multiclass", scheme)], dt.datetime(2026, 1, 2, 3, 4, 5))
-    assert [r.run_id for r in runs] == [f"20260102-030405__gen1__{m}__tfidf-aggr-{t}" for t in ("bin", "mc8") for m in ("multinomialnb", "logreg")]
+    assert [r.run_id for r in runs] == [f"20260102-030405__gen1__{m}__tfidf-raw-{t}" for t in ("bin", "mc8") for m in ("multinomialnb", "logreg")]
     pred = matrix.all_predictions(runs)
     assert pred.where("split = 'test'").groupBy("run_id").count().select("count").distinct().collect()[0][0] == 20
     assert pred.where("y_score < 0 or y_score > 1 or y_pred not in (0, 1)").count() == 0

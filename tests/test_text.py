@@ -67,7 +67,7 @@ def test_slugs_and_run_names(spark):
     cases = {"LinearSVC": "linearsvc", "Encoder/base": "encoder-base", "  Foo  Bar! ": "foo-bar", "a_b": "a-b",
              "model+v2": "model+v2", "news 1.2.3": "news-1.2.3", "---edge---": "edge", "!!!": ""}
     assert column(spark, list(cases), lab.slug) == list(cases.values())
-    assert [lab.slug_text(c) for c in cases] == list(cases.values())
+    assert [lab.kebab(c) for c in cases] == list(cases.values())
     when = dt.datetime(2026, 4, 21, 14, 30, 5)
     name = lab.run_name("gen1", "LinearSVC", "tfidf-lemmatized", when)
     assert name == "20260421-143005__gen1__linearsvc__tfidf-lemmatized"
