@@ -8,6 +8,7 @@ from catalog.registry import query
 from catalog.views import RUN_IDS, WITH_DECIDED, WITH_PRED, decided, predictions, r6
 from lexsieve.operators import combine, decision, mcnemar, ranking, threshold
 from lexsieve.operators.scoring import latency_per_1k
+from lexsieve.plans.scale import written
 
 _GROUP = ["run_id", "split"]
 
@@ -41,10 +42,9 @@ def threshold_sweep(spark, sf):
   SELECT run_id, cuts.threshold AS cut_minority, round(f1_minority, 6) AS f1_minority, macro.threshold AS cut_macro FROM cuts JOIN macro USING (run_id)""")
 def threshold_fit(spark, sf):
     val = predictions(spark, sf).where(F.col("split") == "val")
-    minority = threshold.fit_thresholds(val, ["run_id"], "f1_minority")
-    macro = threshold.fit_thresholds(val, ["run_id"], "f1_macro")
-    return minority.select("run_id", F.col("threshold").alias("cut_minority"), r6(F.col("objective_value"), "f1_minority")).join(
-        macro.select("run_id", F.col("threshold").alias("cut_macro")), "run_id")
+    best = threshold.best_thresholds(val, ["run_id"])
+    return best.select("run_id", F.col("f1_minority.threshold").alias("cut_minority"), r6(F.col("f1_minority.value"), "f1_minority"),
+                       F.col("f1_macro.threshold").alias("cut_macro"))
 
 
 @query("apply_threshold", WITH_DECIDED + "SELECT run_id, split, index, y_true, y_pred FROM decided")
@@ -135,8 +135,8 @@ vcut AS (SELECT threshold FROM vcells ORDER BY coalesce(2.0::DOUBLE * tp / nulli
 @query("soft_vote", WITH_DECIDED + f", {_VOTE} SELECT split, index, y_true, round(s, 6) AS y_score, CASE WHEN s >= threshold THEN 1 ELSE 0 END AS y_pred FROM v, vcut")
 def soft_vote(spark, sf):
     pred = predictions(spark, sf)
-    a, b = (pred.where(F.col("run_id") == RUN_IDS[i]) for i in (1, 5))
-    voted = combine.soft_vote(combine.paired_scores(a, b, ["split", "index"]))
+    pair = combine.scores_of_two(pred, RUN_IDS[1], RUN_IDS[5], ["split", "index"])
+    voted = written(combine.soft_vote(pair), "voted")
     cut = threshold.fit_threshold(voted.where(F.col("split") == "val"))
     return voted.select("split", "index", "y_true", r6(F.col("y_score"), "y_score"),
                         threshold.decide("y_score", cut).alias("y_pred"))
@@ -145,8 +145,8 @@ def soft_vote(spark, sf):
 @query("stacking")
 def stacking(spark, sf):
     pred = predictions(spark, sf)
-    a, b = (pred.where(F.col("run_id") == RUN_IDS[i]) for i in (1, 5))
-    stacked = combine.stack(combine.paired_scores(a, b, ["split", "index"]))
+    pair = written(combine.scores_of_two(pred, RUN_IDS[1], RUN_IDS[5], ["split", "index"]), "pair")
+    stacked = combine.stack(pair)
     return ranking.ranking_metrics(stacked, ["split"]).withColumns(
         {c: r6(F.col(c)) for c in ("pr_auc", "roc_auc")})
 

@@ -9,13 +9,13 @@ from catalog.registry import query
 from catalog.views import RUN_IDS, RUNS, WITH_SUMMARY, decided, r6, variant
 from lexsieve.operators import ranking, reports
 from lexsieve.operators.scoring import latency_per_1k
-from lexsieve.plans.scale import durable, local_table, new_folder
+from lexsieve.plans.scale import durable, local_table, new_folder, written
 from lexsieve.sources import runs as registry
 
 
 def metadata(spark, sf, rows=None):
     """Metadata documents of the runs, their metrics taken from the test rows."""
-    rows = decided(spark, sf) if rows is None else rows
+    rows = written(decided(spark, sf), "decided") if rows is None else rows
     test = rows.where(F.col("split") == "test")
     metrics = ranking.compute_metrics(test, ["run_id"])
     facts = test.groupBy("run_id").agg(F.first("threshold").alias("cut"), F.count(F.lit(1)).alias("n_test"))

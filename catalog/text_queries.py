@@ -149,7 +149,7 @@ def embedding_source(spark, sf):
 
 
 @query("embedding_average", f"""{WITH_DOCS}, {_vocab_sql(_UNI)},
-dict AS (SELECT term AS token, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM vocab JOIN embeddings ON term_id = vec_id),
+dict AS (SELECT term AS token, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM vocab JOIN embeddings ON vec_id = term_id % (SELECT count(*) FROM embeddings)),
 words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_NON_SPACE}')) AS token FROM documents),
 means AS (SELECT doc_id, dim, avg(v) AS value FROM words JOIN dict USING (token) GROUP BY doc_id, dim)
 SELECT d.doc_id, CAST(d.dim AS INTEGER) AS dim, round(coalesce(value, 0), 6) + 0.0 AS value FROM (SELECT doc_id, unnest(range(64)) AS dim FROM documents) d
@@ -157,7 +157,9 @@ LEFT JOIN means ON means.doc_id = d.doc_id AND means.dim = d.dim""")
 def embedding_average(spark, sf):
     split = docs_split(spark, sf)
     terms = vo.fit_vocabulary(split.where(F.col("split") == "train")).table
-    dictionary = terms.join(table(spark, sf, "embeddings"), F.col("term_id") == F.col("vec_id")).select(
+    vectors = table(spark, sf, "embeddings")
+    # every term has a vector: the ids of the table over and over
+    dictionary = terms.join(vectors, F.col("term_id") % vectors.count() == F.col("vec_id")).select(
         F.col("term").alias("token"), F.col("embedding").alias("vec"))
     docs = split.select("doc_id", F.lower("text").alias("text"))
     averaged = ft.embedding_average(docs, dictionary, dictionary.count(), 64, "doc_id")
@@ -165,16 +167,17 @@ def embedding_average(spark, sf):
         "doc_id", "dim", (F.round("v", 6) + 0.0).alias("value"))
 
 
-_PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS title, a.text AS body FROM conversations u
-  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
+_PAIRS = """pairs AS (SELECT u.conv_id, u.turn, coalesce(u.text, '') AS title, coalesce(a.text, '') AS body FROM conversations u
+  LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')"""
 
 
 def conversation_pairs(spark, sf):
+    """Every turn with the assistant's direct reply, or none."""
     turns = table(spark, sf, "conversations")
-    user = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("title"))
+    said = turns.select("conv_id", "turn", F.col("text").alias("title"))
     reply = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
-    return user.join(reply, ["conv_id", "turn"])
+    return said.join(reply, ["conv_id", "turn"], "left")
 
 
 @query("render_prompt", f"""WITH {_PAIRS} SELECT conv_id, turn, 'T: ' || trim(nfc_normalize(title), {_SPACES}) || chr(10) || 'X: '

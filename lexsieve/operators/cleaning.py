@@ -42,15 +42,17 @@ def clean_aggressive(docs: DataFrame, dictionary: DataFrame, dictionary_rows: in
 
 def cleaned_table(split: DataFrame, path: str, mode: str, key: str = "link", force: bool = False,
                   dictionary: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """Cleaned text kept in a table (split, mode, key, text); reused until the keys change.
+    """Cleaned text kept in a table (split, mode, key, text); reused until the keys or the texts change.
 
-    Staleness is decided on keys, not on a row count. A stale table raises unless ``force``.
+    Each row keeps a digest of the text it was made from; keys and digests decide. A stale table raises
+    unless ``force``.
     """
     if mode not in fixed.CLEANING_MODES:
         raise ValueError(f"mode must be one of {fixed.CLEANING_MODES}, got {mode!r}")
     if mode == "aggressive" and dictionary is None:
         raise ValueError("aggressive cleaning needs a token dictionary")
     spark = split.sparkSession
+    sources = split.select("split", key, F.sha2(empty_if_null("text"), 256).alias("source_digest"))
     target = f"{path.rstrip('/')}/mode={mode}"
     if not force:
         try:
@@ -60,13 +62,13 @@ def cleaned_table(split: DataFrame, path: str, mode: str, key: str = "link", for
                 raise
             stored = None
         if stored is not None:
-            left, right = split.select("split", key), stored.select("split", key)
+            left, right = sources, stored.select("split", key, "source_digest")
             if not left.exceptAll(right).isEmpty() or not right.exceptAll(left).isEmpty():
                 raise ValueError(f"{target} was built for other rows; pass force=True")
-            return stored
+            return stored.drop("source_digest")
     if mode == "raw":
         cleaned = split.select("split", key, clean_raw("text").alias("text"))
     else:
         cleaned = split.select("split", key).join(clean_aggressive(split, *dictionary, key), key)
-    cleaned.write.mode("overwrite").partitionBy("split").parquet(target)
-    return spark.read.parquet(target)
+    cleaned.join(sources, ["split", key]).write.mode("overwrite").partitionBy("split").parquet(target)
+    return spark.read.parquet(target).drop("source_digest")

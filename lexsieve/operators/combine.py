@@ -18,6 +18,17 @@ def paired_scores(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys).select(*keys, truth.alias("y_true"), "score_a", "score_b")
 
 
+def scores_of_two(scored: DataFrame, run_a: str, run_b: str, keys: list[str], run: str = "run_id") -> DataFrame:
+    """``paired_scores`` of two runs that lie in one table, by one aggregate; every (run, key) has one row."""
+    is_a, is_b, truth = F.col(run) == run_a, F.col(run) == run_b, F.col("y_true")
+    both = scored.where(is_a | is_b).groupBy(*keys).agg(
+        F.max(F.when(is_a, F.col("y_score"))).alias("score_a"), F.max(F.when(is_b, F.col("y_score"))).alias("score_b"),
+        F.min(truth).alias("least"), F.max(truth).alias("y_true"))
+    agreed = F.when(F.col("least") == F.col("y_true"), F.col("y_true")).otherwise(
+        F.raise_error(F.lit("true labels differ between the combined runs")).cast("int"))
+    return both.where("score_a is not null and score_b is not null").select(*keys, agreed.alias("y_true"), "score_a", "score_b")
+
+
 def soft_vote(pair: DataFrame) -> DataFrame:
     """Mean of the two probabilities."""
     return pair.withColumn("y_score", (F.col("score_a") + F.col("score_b")) / 2)

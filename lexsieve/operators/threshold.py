@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexsieve.functions import fixed
 from lexsieve.operators.decision import f1_macro, f1_positive, not_binary, unless_bad
@@ -69,14 +68,21 @@ def threshold_sweep(val: DataFrame, by: list[str], y_true: str = "y_true", y_sco
                         f1_macro(tn, fp, fn, tp).alias("f1_macro"))
 
 
+def best_thresholds(val: DataFrame, by: list[str], objectives: tuple[str, ...] = fixed.THRESHOLD_OBJECTIVES,
+                    y_true: str = "y_true", y_score: str = "y_score") -> DataFrame:
+    """For each objective a struct (value, threshold) per group, all from one sweep; among equals the smallest cut."""
+    for objective in objectives:
+        _check_objective(objective)
+    best = threshold_sweep(val, by, y_true, y_score).groupBy(*by).agg(
+        *[F.max(F.struct(o, (-F.col("threshold")).alias("back"))).alias(o) for o in objectives])
+    return best.select(*by, *[F.struct(F.col(f"{o}.{o}").alias("value"), (-F.col(f"{o}.back")).alias("threshold")).alias(o) for o in objectives])
+
+
 def fit_thresholds(val: DataFrame, by: list[str], objective: str = "f1_minority",
                    y_true: str = "y_true", y_score: str = "y_score") -> DataFrame:
     """Best grid point per group; among equals the smallest."""
-    _check_objective(objective)
-    sweep = threshold_sweep(val, by, y_true, y_score)
-    best = W.partitionBy(*by).orderBy(F.desc(objective), F.asc("threshold"))  # 91 rows per group
-    return (sweep.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-            .select(*by, "threshold", F.col(objective).alias("objective_value")))
+    best = best_thresholds(val, by, (objective,), y_true, y_score)
+    return best.select(*by, f"{objective}.threshold", f"{objective}.value").toDF(*by, "threshold", "objective_value")
 
 
 def fit_threshold(val: DataFrame, objective: str = "f1_minority", y_true: str = "y_true",

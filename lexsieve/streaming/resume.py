@@ -14,7 +14,8 @@ def score_and_append(rows: DataFrame, path: str, keys: list[str], score: Callabl
                      schema: T.StructType) -> None:
     """Score the rows whose key is not in the table at ``path`` yet and append them.
 
-    Stopping and starting again continues with the rest; a batch that is replayed adds nothing.
+    Stopping and starting again continues with the rest; a batch that is replayed adds nothing, a key that a batch
+    holds twice is scored once.
     """
     spark = rows.sparkSession
     try:
@@ -23,7 +24,7 @@ def score_and_append(rows: DataFrame, path: str, keys: list[str], score: Callabl
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = spark.createDataFrame([], schema)
-    score(pending(rows, done, keys)).select(*schema.fieldNames()).write.mode("append").parquet(path)
+    score(pending(rows, done, keys).dropDuplicates(keys)).select(*schema.fieldNames()).write.mode("append").parquet(path)
 
 
 def score_stream(spark: SparkSession, source: str, source_schema: T.StructType, path: str, checkpoint: str,

@@ -114,6 +114,9 @@ def test_cleaned_table_is_reused_until_rows_change(spark, tmp_path):
     first = {r["link"]: r["text"] for r in cleaned_table(split, path, "raw").collect()}
     assert first == {"l1": "A", "l2": "", "l3": "b"}
     assert {r["link"]: r["text"] for r in cleaned_table(split, path, "raw").collect()} == first
+    edited = split.withColumn("text", F.when(F.col("link") == "l3", "c").otherwise(F.col("text")))
+    with pytest.raises(ValueError, match="force"):
+        cleaned_table(edited, path, "raw")
     fewer = split.where("link <> 'l3'")
     with pytest.raises(ValueError, match="force"):
         cleaned_table(fewer, path, "raw")
