@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,16 +99,28 @@ class Sparse:
     width: int
 
     def __post_init__(self) -> None:
-        self.row = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        self.row = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
+    def _blocks(self) -> Iterator[tuple[int, int, slice]]:
+        """Row ranges of about a million entries, so that products need little room beside the matrix."""
+        edges = np.unique(np.append(np.searchsorted(self.bounds, np.arange(0, self.bounds[-1], 1 << 20), side="right") - 1, len(self)))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(a), int(b), slice(int(self.bounds[a]), int(self.bounds[b]))
+
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.index] * self.value, minlength=len(self))
+        out = np.zeros(len(self))
+        for a, b, part in self._blocks():
+            out[a:b] = np.bincount(self.row[part] - a, weights[self.index[part]] * self.value[part], minlength=b - a)
+        return out
 
     def transposed_times(self, residual: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, residual[self.row] * self.value, minlength=self.width)
+        out = np.zeros(self.width)
+        for _, _, part in self._blocks():
+            out += np.bincount(self.index[part], residual[self.row[part]] * self.value[part], minlength=self.width)
+        return out
 
     def take(self, rows: np.ndarray) -> Sparse:
         sizes = np.diff(self.bounds)[rows]
@@ -134,7 +146,7 @@ def sparse_of(index: pa.ChunkedArray, value: pa.ChunkedArray, width: int) -> Spa
     values = [np.frombuffer(x, np.float32) for x in value.to_pylist()]
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in cells], dtype=np.int64)))
     empty = np.zeros(0)
-    return Sparse(bounds, np.concatenate([*cells, empty]).astype(np.int64), np.concatenate([*values, empty]), width)
+    return Sparse(bounds, np.concatenate([*cells, empty.astype(np.int32)]), np.concatenate([*values, empty.astype(np.float32)]), width)
 
 
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = 80,

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from lexsieve.plans.scale import spread
 
 VOCABULARY = HashedText(bits=17, grams=False, words=True, stems=(4, 5), presence=True)
 #: Confirmed documents and unlabelled documents that the fit uses at most, chosen by the hash of their id.
-POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 16_000
+POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
 LEAST_PRIOR = 1e-4
 
 
@@ -99,9 +100,12 @@ def train_toxic(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id",
 
     sample = spread(texts, key).join(F.broadcast(chosen), key).select("_set", F.xxhash64(key).alias("_key"), "_text")
     table = sample.mapInArrow(extract, "s int, k long, i binary, v binary").toArrow().sort_by([("k", "ascending"), ("s", "ascending")])
-    x, kind = sparse_of(table["i"], table["v"], features.width), table["s"].to_numpy()
-    prior = min(max(share, LEAST_PRIOR), 1 - LEAST_PRIOR)
-    weights, intercept = fit_nnpu(x.take(np.flatnonzero(kind == 1)), x.take(np.flatnonzero(kind == 0)), prior)
+    sets = []
+    for kind in (1, 0):
+        own = table.filter(pc.equal(table["s"], kind))
+        sets.append(sparse_of(own["i"], own["v"], features.width))
+    del table, own
+    weights, intercept = fit_nnpu(*sets, min(max(share, LEAST_PRIOR), 1 - LEAST_PRIOR))
     return ToxicModel(features, weights, intercept)
 
 
