@@ -35,6 +35,8 @@ CAPACITY = 2048
 SEARCH_NODES = 8_000
 #: Parts over which the pieces of one length are ranked.
 PARTS = 64
+#: Less than the encoder's own bounds: as a stage, packing shares workers with what ran before.
+CACHE_CHUNKS, SLICE_BYTES = 300_000, (1 << 19) - 1
 
 Filling = tuple[int, ...]
 
@@ -230,9 +232,9 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEA
 def encoded_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of (doc_id, text)."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_encode.encoder(vocabulary, folds=False)
+        tokens = token_encode.encoder(vocabulary, folds=False, cache=CACHE_CHUNKS)
         for batch in batches:
-            for part, data, offsets in rolling.slices(batch, "text", token_encode.SLICE_BYTES):
+            for part, data, offsets in rolling.slices(batch, "text", SLICE_BYTES):
                 ids, bounds = tokens.encode(data, offsets)
                 sizes = np.diff(bounds) + 1
                 first = np.where(sizes % capacity == 0, capacity, sizes % capacity)

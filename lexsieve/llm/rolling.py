@@ -20,8 +20,9 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes kept in one slice of work; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes kept in one slice of work; a longer document is a slice of its own. One less than a power of two, so
+#: that the tables of powers, which have an entry more, are no larger.
+SLICE_BYTES = (1 << 18) - 1
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -58,6 +58,7 @@ class ChunkEncoder:
     path: str
     folds: bool
     separator: str = "<|endoftext|>"
+    cache: int | None = None
     _index: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -109,7 +110,7 @@ class ChunkEncoder:
         n_docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_docs + 1, np.int64)
-        if self._chunks > CACHE_CHUNKS:
+        if self._chunks > (CACHE_CHUNKS if self.cache is None else self.cache):
             self._clear()
         starts = chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
@@ -140,8 +141,8 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, folds: bool) -> ChunkEncoder:
-    """The worker's encoder of a tokenizer file."""
+def encoder(path: str, folds: bool, cache: int | None = None) -> ChunkEncoder:
+    """The worker's encoder of a tokenizer file; `cache` bounds the remembered chunks in place of CACHE_CHUNKS."""
     if (path, folds) not in _ENCODERS:
-        _ENCODERS[path, folds] = ChunkEncoder(path, folds)
+        _ENCODERS[path, folds] = ChunkEncoder(path, folds, cache=cache)
     return _ENCODERS[path, folds]
