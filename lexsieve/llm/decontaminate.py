@@ -2,11 +2,14 @@
 
 Texts become token templates: numbers, names and units of measure turn into typed placeholders (slots), other
 words are lower-cased. Windows of the templates of benchmark items and documents meet in a hash join. Matches of
-one document and item on one diagonal (document position minus item position) form an alignment; its slot
-values must be consistent: a bijection between the item's values and the document's. An alignment that covers
-`coverage` of the item's template is a leak, so a question with other numbers or names is caught as well.
-
-* number: a word that begins with a digit, joined over single '.' or ',', or a spelled number
+one document and item on one diagonal (document position minus item position) form runs. Each value of the item
+stands for one value of the document (two may stand for the same): on a diagonal the most frequent one; windows
+that say otherwise are cut out, windows with the item's own values stay (conflicts="cut"), or the diagonal is
+given up (conflicts="reject"). Runs of any diagonals that follow each other in the item and the document and agree on
+their values form an alignment, so inserted or dropped words split nothing. An alignment that covers `coverage`
+of the item's template is a leak, so a question with other numbers or names is caught as well.
+
+* number: a word that begins with a digit, joined over single '.' or ',', or a spelled number, joined over ' ' or '-'
 * unit: a word of UNITS behind a number
 * name: capitalised words, not at the start of a sentence; neighbours form one name
 
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexsieve.llm import rolling
@@ -78,7 +81,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[rolling.Words, np.
     gap = words.starts - gap_from
 
     kind = np.zeros(n, np.int8)
-    kind[((first >= 48) & (first <= 57)) | np.isin(plain, _NUMBER_HASHES)] = _NUMBER
+    spelled = np.isin(plain, _NUMBER_HASHES)
+    kind[((first >= 48) & (first <= 57)) | spelled] = _NUMBER
     ascii_name = (first >= 65) & (first <= 90) & (((second >= 97) & (second <= 122)) | (second >= 128))
     latin_name = (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
     kind[(kind == 0) & long & inside & (ascii_name | latin_name)] = _NAME
@@ -87,7 +91,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[rolling.Words, np.
 
     sep = data[np.minimum(gap_from, len(data) - 1)]
     before = np.concatenate(([0], kind[:-1]))
+    spelled[1:] &= spelled[:-1]
+    spelled[:1] = False
     joined = follows & (gap == 1) & (((kind == _NUMBER) & (before == _NUMBER) & ((sep == 46) | (sep == 44)))
+                                     | (spelled & ((sep == 32) | (sep == 45)))
                                      | ((kind == _NAME) & (before == _NAME) & (sep == 32)))
     head = np.flatnonzero(~joined)
     last = np.concatenate((head[1:], [n])) - 1
@@ -155,13 +162,49 @@ def document_windows(documents: DataFrame, sizes: list[int], known: np.ndarray |
     return documents.mapInArrow(cut, _SCHEMA)
 
 
+def best_chain(item_from: np.ndarray, item_to: np.ndarray, doc_from: np.ndarray, same: np.ndarray,
+               pairs: list[dict[int, int]]) -> tuple[int, bool, int, int]:
+    """(covered item tokens, same values, doc_from, doc_to) of the best ordered chain of runs that agree on their values.
+
+    Runs come sorted by item_from. A run that overlaps the one before it counts from there on; it takes the best chain
+    before it that agrees with its values.
+    """
+    n, length = len(item_from), item_to - item_from
+    doc_to = doc_from + length
+    score, begin, chain_same, bound = length.copy(), doc_from.copy(), same.copy(), list(pairs)
+    for q in range(1, n):
+        lost = np.maximum(np.maximum(item_to[:q] - item_from[q], doc_to[:q] - doc_from[q]), 0)
+        fits = np.flatnonzero((item_from[:q] < item_from[q]) & (doc_from[:q] < doc_from[q]) & (lost < np.minimum(length[q], score[:q])))
+        gain = score[fits] - lost[fits]
+        for p in fits[np.argsort(-gain, kind="stable")].tolist():
+            if all(bound[p].get(k, v) == v for k, v in pairs[q].items()):
+                score[q] = score[p] - lost[p] + length[q]
+                begin[q], chain_same[q] = begin[p], chain_same[p] and same[q]
+                bound[q] = bound[p] | pairs[q]
+                break
+    return max((int(score[q]), bool(chain_same[q]), -int(begin[q]), int(doc_to[q])) for q in range(n))
+
+
+def _chains(table: pa.Table) -> pa.Table:
+    """One row for the runs of one document and item."""
+    table = table.sort_by([("item_from", "ascending"), ("doc_from", "ascending")])
+    arrays = [table[c].to_numpy().astype(np.int64) for c in ("item_from", "item_to", "doc_from")]
+    pairs = [{s["theirs"]: s["ours"] for s in row} for row in table["pairs"].to_pylist()]
+    covered, same, back, doc_to = best_chain(*arrays, table["same"].to_numpy().astype(bool), pairs)
+    return pa.table({"doc_id": table["doc_id"][:1], "item_id": table["item_id"][:1], "coverage": [covered / table["item_tokens"][0].as_py()],
+                     "same_values": [same], "doc_from": pa.array([-back], pa.int32()), "doc_to": pa.array([doc_to], pa.int32())})
+
+
 def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-          item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+          item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE, conflicts: str = "reject") -> DataFrame:
     """(doc_id, item_id, coverage, same_values, doc_from, doc_to) of each document that holds an item.
 
     coverage: share of the item's template tokens in the best consistent alignment; same_values: its slots hold
-    the item's own values; doc_from and doc_to: the template tokens [from, to) of the document.
+    the item's own values; doc_from and doc_to: the template tokens [from, to) of the document. conflicts: "cut" only
+    the windows whose slots disagree with their diagonal, or "reject" the diagonal.
     """
+    if conflicts not in ("cut", "reject"):
+        raise ValueError(f"conflicts is 'cut' or 'reject', not {conflicts!r}")
     named = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text"))
     bench = written(item_windows(named, size), "items")
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most `size` values
@@ -177,19 +220,29 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
         F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", "item_pos", "size", "item_tokens",
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("slots")).distinct()
     met = written(met, "matches")
-    line = ["doc_id", "item_id", "diagonal"]
-    pairs = met.select(*line, F.explode("slots").alias("s")).select(*line, "s.theirs", "s.ours").distinct()
-    slots = pairs.groupBy(*line).agg(
-        ((F.count("*") == F.countDistinct("theirs")) & (F.count("*") == F.countDistinct("ours"))).alias("consistent"),
-        F.min((F.col("theirs") == F.col("ours")).cast("int")).alias("same"))
-    covered = met.select(*line, "pos", "item_tokens", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("token"), "size")
-    lines = covered.groupBy(*line).agg(
-        (F.countDistinct("token") / F.first("item_tokens")).alias("coverage"), F.min("pos").alias("doc_from"),
-        F.max(F.col("pos") + F.col("size")).alias("doc_to"))
-    whole = lines.join(slots, line, "left").where(F.coalesce("consistent", F.lit(True)) & (F.col("coverage") >= coverage))
-    best = whole.groupBy("doc_id", "item_id").agg(F.max(F.struct(
-        "coverage", F.coalesce(F.col("same") == 1, F.lit(True)).alias("same_values"), (-F.col("doc_from")).alias("back"), "doc_to")).alias("b"))
-    return best.select("doc_id", "item_id", "b.coverage", "b.same_values", (-F.col("b.back")).alias("doc_from"), "b.doc_to")
+    pair = ["doc_id", "item_id"]
+    line = [*pair, "diagonal"]
+    # all matches of a document and item together bound every alignment of them
+    within = met.select(*pair, "item_tokens", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("token")).groupBy(*pair).agg(
+        (F.countDistinct("token") / F.first("item_tokens")).alias("most")).where(F.col("most") >= coverage).select(*pair)
+    met = written(met.join(within, pair, "left_semi").withColumn("own", F.forall("slots", lambda s: s["theirs"] == s["ours"])), "candidates")
+    votes = met.select(*line, F.explode(F.array_distinct("slots")).alias("s")).groupBy(*line, "s.theirs", "s.ours").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(*line, "theirs").agg(
+        F.max(F.struct("n", (F.col("theirs") == F.col("ours")).alias("own"), "ours")).alias("b"), F.count("*").alias("values")).groupBy(*line).agg(
+        F.map_from_entries(F.collect_list(F.struct("theirs", "b.ours"))).alias("chosen"), F.max("values").alias("values"))
+    agrees = F.forall("slots", lambda s: F.element_at("chosen", s["theirs"]) == s["ours"])
+    strict = F.lit(conflicts == "reject")
+    kept = met.join(chosen, line, "left").where(
+        F.when(strict, F.coalesce("values", F.lit(1)) == 1).otherwise(F.col("own") | agrees)).drop("chosen", "values")
+    order = Window.partitionBy(*line).orderBy("item_pos")
+    breaks = F.coalesce(F.col("item_pos") > F.max(F.col("item_pos") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    runs = kept.withColumn("breaks", breaks.cast("int")).withColumn("run", F.sum("breaks").over(order)).groupBy(*line, "run").agg(
+        F.min("item_pos").alias("item_from"), F.max(F.col("item_pos") + F.col("size")).alias("item_to"), F.min("pos").alias("doc_from"),
+        F.first("item_tokens").alias("item_tokens"), F.min("own").alias("same"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(strict | ~F.col("own"), F.col("slots"))))).alias("pairs"))
+    best = runs.drop("diagonal", "run").groupBy(*pair).applyInArrow(
+        _chains, "doc_id long, item_id long, coverage double, same_values boolean, doc_from int, doc_to int")
+    return best.where(F.col("coverage") >= coverage)
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

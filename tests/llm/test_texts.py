@@ -173,3 +173,34 @@ def test_reparameterised_questions_are_caught(spark, edge_docs, no_docs, monkeyp
     assert decontaminate.leaks(edge_docs, items).count() == 0
     assert decontaminate.leaks(no_docs, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.without_leaks(edge_docs, items).where(F.col("doc_id").isNull()).count() == 1
+
+
+def leaking(spark, texts, items, **options):
+    found = decontaminate.leaks(spark.createDataFrame(rows_of(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string"), **options)
+    return {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+
+
+def test_altered_copies_are_caught(spark):
+    words = QUESTION.split()
+    item = "the red box holds 2 small balls while the other box holds 3 large balls so which box is the heavier one now"
+    texts = [QUESTION.replace("at 40", "at 75"),  # one of two occurrences changed
+             item.replace("2", "4").replace("3", "4"),  # new values coincide
+             " ".join([*words[:8], "quite", *words[8:]]),  # a word inserted
+             " ".join([*words[:13], *words[14:]]).replace("40", "twenty five").replace("Anna", "Zoe"),
+             " ".join(words[12:] + words[:12]),  # parts in the other order
+             QUESTION.replace("at 40", "at 75").replace("with Anna", "with Zoe")[:60]]
+    found = leaking(spark, texts, [(1, QUESTION), (2, item)], conflicts="cut")
+    assert set(found) == {(0, 1), (1, 2), (2, 1), (3, 1), (4, 1)}
+    assert 0.6 < found[0, 1]["coverage"] < 1 and found[0, 1]["same_values"] and found[1, 2]["coverage"] == 1 and not found[1, 2]["same_values"]
+    assert found[2, 1]["coverage"] == 1 and found[3, 1]["coverage"] > 0.9 and found[4, 1]["coverage"] < 0.6
+    assert set(leaking(spark, texts, [(1, QUESTION), (2, item)])) == {(1, 2), (2, 1), (3, 1), (4, 1)}
+    with pytest.raises(ValueError, match="conflicts"):
+        leaking(spark, texts, [(1, QUESTION)], conflicts="none")
+
+
+def test_chains_agree_on_their_values():
+    a = np.array
+    runs = a([0, 8, 16]), a([8, 16, 24]), a([0, 9, 30])
+    assert decontaminate.best_chain(*runs, a([True, True, True]), [{}, {}, {}]) == (24, True, 0, 38)
+    assert decontaminate.best_chain(*runs, a([True, False, False]), [{}, {5: 6}, {5: 7}]) == (16, False, 0, 38)
+    assert decontaminate.best_chain(a([0, 6]), a([8, 14]), a([0, 7]), a([True, True]), [{}, {}]) == (14, True, 0, 15)
