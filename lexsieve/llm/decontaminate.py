@@ -13,8 +13,11 @@ of the item's template is a leak, so a question with other numbers or names is c
 * unit: a word of UNITS behind a number
 * name: capitalised words, not at the start of a sentence; neighbours form one name
 
-Edge cases: null texts are empty and match nothing; items with fewer than LEAST_WORDS plain words can't be
-told from chance and match nothing; items shorter than a window form one window of their own length; repeated
+A capitalised word that opens a sentence may be a name or not, so windows over one have two templates, with the
+openers as words and as names. Windows with fewer than LEAST_WORDS plain words match by their verbatim values.
+
+Edge cases: null texts are empty and match nothing; items shorter than a window that have fewer than LEAST_WORDS
+plain words can't be told from chance and match nothing; other items shorter than a window form one window of their own length; repeated
 rows give repeated evidence but one row for each (document, item); rows with a null id are left out; extra
 columns are ignored.
 """
@@ -22,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ from lexsieve.plans.scale import spread, written
 
 WINDOW = 8
 LEAST_WORDS = 4
+#: Plain words that a window needs beside its sentence openers to be hashed with these as names.
+LEAST_BESIDE_OPENERS = 2
 COVERAGE = 0.5
 #: Benchmark windows that travel to the document scan as a sorted array; more meet all windows in a shuffle join.
 BROADCAST_WINDOWS = 4_000_000
@@ -65,10 +71,15 @@ _BREAK = np.isin(np.arange(256), list(b".!?:;\n\""))
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[rolling.Words, np.ndarray, np.ndarray]:
     """Template tokens of each document, the kind of each and the hash of the text that it stands for."""
+    return _tokens(data, offsets)[:3]
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[rolling.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """As `canonical`, with the plain tokens that may be names because they open a sentence with a capital."""
     words = rolling.cut_words(data, offsets, rolling.ALNUM)
     low, n = rolling.LOWER[data], len(words.starts)
     if not n:
-        return words, np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        return words, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
     plain = rolling.byte_hashes(low, words.starts, words.ends)
     first = data[words.starts]
     second = data[np.minimum(words.starts + 1, len(data) - 1)]
@@ -85,7 +96,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[rolling.Words, np.
     kind[((first >= 48) & (first <= 57)) | spelled] = _NUMBER
     ascii_name = (first >= 65) & (first <= 90) & (((second >= 97) & (second <= 122)) | (second >= 128))
     latin_name = (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
-    kind[(kind == 0) & long & inside & (ascii_name | latin_name)] = _NAME
+    capital = (kind == 0) & long & (ascii_name | latin_name)
+    kind[capital & inside] = _NAME
     before = np.concatenate(([0], kind[:-1]))
     kind[(kind == 0) & inside & (before == _NUMBER) & (gap <= 1) & np.isin(plain, _UNIT_HASHES)] = _UNIT
 
@@ -101,28 +113,53 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[rolling.Words, np.
     value = rolling.byte_hashes(low, words.starts[head], words.ends[last])
     kind = kind[head]
     code = np.where(kind == 0, value, _CODES[kind])
-    return rolling.Words(data, offsets, words.starts[head], words.ends[last], words.doc[head], code), kind, value
+    return rolling.Words(data, offsets, words.starts[head], words.ends[last], words.doc[head], code), kind, value, (capital & ~inside)[head]
 
 
-def _window_rows(words: rolling.Words, kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Windows with enough plain words: first token, hash."""
-    at, code = rolling.window_hashes(words, size)
-    plain = np.concatenate(([0], np.cumsum(kind == 0)))
-    good = plain[at + size] - plain[at] >= LEAST_WORDS
-    return at[good], code[good]
+@dataclass
+class Windows:
+    """Windows of one size: first token, hash, whether sentence openers count as names, whether told by values alone."""
 
+    at: np.ndarray
+    code: np.ndarray
+    opened: np.ndarray
+    verbatim: np.ndarray
 
-def _batch(ids: np.ndarray, words: rolling.Words, kind: np.ndarray, value: np.ndarray, at: np.ndarray, code: np.ndarray,
+    def where(self, good: np.ndarray) -> Windows:
+        return Windows(self.at[good], self.code[good], self.opened[good], self.verbatim[good])
+
+
+def _window_rows(words: rolling.Words, kind: np.ndarray, value: np.ndarray, openers: np.ndarray, size: int, verbatim: bool) -> Windows:
+    """The windows: templates with enough plain words, and the values of the others where `verbatim` is set."""
+    at, code = rolling.window_hashes(words, size)
+    sums = [np.concatenate(([0], np.cumsum(mask))) for mask in (kind == 0, openers)]
+    plain, opening = (s[at + size] - s[at] for s in sums)
+    template = plain >= LEAST_WORDS
+    opened = template & (opening > 0) & (plain - opening >= LEAST_BESIDE_OPENERS)
+    # openers don't count here: the other text may hold them inside a sentence
+    dense = (plain - opening < LEAST_WORDS) & verbatim
+    found = [(at[template], code[template], False, False)]
+    for good, codes, own in ((opened, np.where(openers, _CODES[_NAME], words.hashes), (True, False)), (dense, value, (False, True))):
+        if good.any():
+            found.append((at[good], rolling.range_windows(codes, at[good], size), *own))
+    sizes = [len(f[0]) for f in found]
+    return Windows(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]),
+                   np.repeat([f[2] for f in found], sizes), np.repeat([f[3] for f in found], sizes))
+
+
+def _batch(ids: np.ndarray, words: rolling.Words, kind: np.ndarray, value: np.ndarray, openers: np.ndarray, found: Windows,
            size: int) -> pa.RecordBatch:
-    slots = [value[a:a + size][kind[a:a + size] > 0].view(np.int64) for a in at]
-    first, row = words.first, words.doc[at]
+    slot = kind > 0
+    slots = [value[a:a + size][(slot[a:a + size] | (openers[a:a + size] & opened)) & ~verbatim].view(np.int64)
+             for a, opened, verbatim in zip(found.at, found.opened, found.verbatim, strict=True)]
+    first, row = words.first, words.doc[found.at]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[row]), pa.array(code.view(np.int64)), pa.array((at - first[row]).astype(np.int32)),
-         pa.array(np.full(len(at), size, np.int32)), pa.array(np.diff(first)[row].astype(np.int32)),
-         pa.array(slots, pa.list_(pa.int64()))], ["id", "hash", "pos", "size", "tokens", "slots"])
+        [pa.array(ids[row]), pa.array(found.code.view(np.int64)), pa.array((found.at - first[row]).astype(np.int32)),
+         pa.array(np.full(len(row), size, np.int32)), pa.array(np.diff(first)[row].astype(np.int32)),
+         pa.array(slots, pa.list_(pa.int64())), pa.array(found.opened)], ["id", "hash", "pos", "size", "tokens", "slots", "opened"])
 
 
-_SCHEMA = "id long, hash long, pos int, size int, tokens int, slots array<long>"
+_SCHEMA = "id long, hash long, pos int, size int, tokens int, slots array<long>, opened boolean"
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -130,34 +167,34 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in rolling.slices(batch, "text"):
-                words, kind, value = canonical(data, offsets)
+                words, kind, value, openers = _tokens(data, offsets)
                 ids, lengths = part.column(0).to_numpy(), np.diff(words.first)
                 for own in [size, *np.unique(lengths[(lengths >= LEAST_WORDS) & (lengths < size)])]:
-                    at, code = _window_rows(words, kind, value, int(own))
-                    whole = lengths[words.doc[at]] == own if own < size else np.ones(len(at), bool)
-                    yield _batch(ids, words, kind, value, at[whole], code[whole], int(own))
+                    cuts = _window_rows(words, kind, value, openers, int(own), own == size)
+                    if own < size:
+                        cuts = cuts.where(lengths[words.doc[cuts.at]] == own)
+                    yield _batch(ids, words, kind, value, openers, cuts, int(own))
 
     return items.mapInArrow(cut, _SCHEMA)
 
 
-def document_windows(documents: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
-    """Template windows of (id, text), of known hashes only if these are given."""
+def document_windows(documents: DataFrame, sizes: list[int], known: np.ndarray | None, full: int = WINDOW) -> DataFrame:
+    """Template windows of (id, text), of known hashes only if these are given; those of the full size also verbatim."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
             for part, data, offsets in rolling.slices(batch, "text"):
-                words, kind, value = canonical(data, offsets)
+                words, kind, value, openers = _tokens(data, offsets)
                 ids = part.column(0).to_numpy()
                 for size in sizes:
-                    at, code = _window_rows(words, kind, value, size)
+                    cuts = _window_rows(words, kind, value, openers, size, size == full)
                     if wanted is not None:
-                        near = np.minimum(np.searchsorted(wanted, code), max(len(wanted) - 1, 0))
-                        hit = wanted[near] == code if len(wanted) else np.zeros(len(code), bool)
-                        at, code = at[hit], code[hit]
-                    if len(at):
-                        yield _batch(ids, words, kind, value, at, code, size)
+                        near = np.minimum(np.searchsorted(wanted, cuts.code), max(len(wanted) - 1, 0))
+                        cuts = cuts.where(wanted[near] == cuts.code if len(wanted) else np.zeros(len(cuts.code), bool))
+                    if len(cuts.at):
+                        yield _batch(ids, words, kind, value, openers, cuts, size)
 
     return documents.mapInArrow(cut, _SCHEMA)
 
@@ -213,11 +250,12 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     if n <= BROADCAST_WINDOWS:
         known = np.unique(bench.select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
     texts = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    found = document_windows(spread(texts, "id"), sizes, known)
+    found = document_windows(spread(texts, "id"), sizes, known, size)
     item = bench.select("hash", "size", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("tokens").alias("item_tokens"),
-                        F.col("slots").alias("item_slots"))
+                        F.col("slots").alias("item_slots"), F.col("opened").alias("item_opened"))
     met = found.join(F.broadcast(item) if known is not None else item, ["hash", "size"]).select(
         F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", "item_pos", "size", "item_tokens",
+        (F.col("opened") | F.col("item_opened")).alias("opened"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("slots")).distinct()
     met = written(met, "matches")
     pair = ["doc_id", "item_id"]
@@ -225,15 +263,19 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     # all matches of a document and item together bound every alignment of them
     within = met.select(*pair, "item_tokens", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("token")).groupBy(*pair).agg(
         (F.countDistinct("token") / F.first("item_tokens")).alias("most")).where(F.col("most") >= coverage).select(*pair)
-    met = written(met.join(within, pair, "left_semi").withColumn("own", F.forall("slots", lambda s: s["theirs"] == s["ours"])), "candidates")
-    votes = met.select(*line, F.explode(F.array_distinct("slots")).alias("s")).groupBy(*line, "s.theirs", "s.ours").agg(F.count("*").alias("n"))
+    # openers count as names only where the window does not match with them as words
+    met = met.join(within, pair, "left_semi").withColumn("sure", F.min("opened").over(Window.partitionBy(*line, "item_pos")))
+    met = met.where(F.col("opened") == F.col("sure")).drop("sure").withColumn("own", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
+    met = written(met, "candidates")
+    votes = met.select(*line, "opened", F.explode(F.array_distinct("slots")).alias("s")).groupBy(*line, "s.theirs", "s.ours").agg(
+        F.count("*").alias("n"), (F.min("opened") == F.lit(False)).cast("int").alias("sure"))
     chosen = votes.groupBy(*line, "theirs").agg(
-        F.max(F.struct("n", (F.col("theirs") == F.col("ours")).alias("own"), "ours")).alias("b"), F.count("*").alias("values")).groupBy(*line).agg(
+        F.max(F.struct("n", (F.col("theirs") == F.col("ours")).alias("own"), "ours")).alias("b"), F.sum("sure").alias("values")).groupBy(*line).agg(
         F.map_from_entries(F.collect_list(F.struct("theirs", "b.ours"))).alias("chosen"), F.max("values").alias("values"))
     agrees = F.forall("slots", lambda s: F.element_at("chosen", s["theirs"]) == s["ours"])
     strict = F.lit(conflicts == "reject")
     kept = met.join(chosen, line, "left").where(
-        F.when(strict, F.coalesce("values", F.lit(1)) == 1).otherwise(F.col("own") | agrees)).drop("chosen", "values")
+        (~strict | (F.coalesce("values", F.lit(0)) <= 1)) & (F.col("own") | agrees)).drop("chosen", "values")
     order = Window.partitionBy(*line).orderBy("item_pos")
     breaks = F.coalesce(F.col("item_pos") > F.max(F.col("item_pos") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     runs = kept.withColumn("breaks", breaks.cast("int")).withColumn("run", F.sum("breaks").over(order)).groupBy(*line, "run").agg(

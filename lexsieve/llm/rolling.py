@@ -103,6 +103,11 @@ def window_hashes(words: Words, size: int, codes: np.ndarray | None = None) -> t
     return at, range_hashes(codes, at, at + size, _WORD_BASE)
 
 
+def range_windows(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the window of `size` codes from each place of `at`."""
+    return range_hashes(codes, at, at + size, _WORD_BASE)
+
+
 def sequence_hashes(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Hash of the whole code sequence between consecutive bounds."""
     return range_hashes(codes, bounds[:-1], bounds[1:], _WORD_BASE)

@@ -204,3 +204,17 @@ def test_chains_agree_on_their_values():
     assert decontaminate.best_chain(*runs, a([True, True, True]), [{}, {}, {}]) == (24, True, 0, 38)
     assert decontaminate.best_chain(*runs, a([True, False, False]), [{}, {5: 6}, {5: 7}]) == (16, False, 0, 38)
     assert decontaminate.best_chain(a([0, 6]), a([8, 14]), a([0, 7]), a([True, True]), [{}, {}]) == (14, True, 0, 15)
+
+
+def test_sentence_openers_and_dense_items_are_caught(spark):
+    story = "Tom had 5 apples. Tom ate 2. Tom gave 1 pear to Ann. Tom has how many apples?"
+    numbers = "which of these numbers is the largest: " + ", ".join(str(k * k + 17) for k in range(20))
+    other = "which of these numbers is the largest: " + ", ".join(str(k * k + 500) for k in range(20))
+    people = "Alan Turing, Grace Hopper, Ada Lovelace, Kurt Godel, Emmy Noether, Max Born, Lise Meitner, Niels Bohr, Paul Dirac, Otto Hahn"
+    texts = ["x y. " + story.replace("Tom", "Sue").replace("5", "9"), "so " + numbers, "They met: " + people, "and " + other,
+             "Sue had 5 apples. Max ate 2. Joe gave 1 pear to Ann. Eva has how many apples?", "Tom Sue Max 3 4 5 6 7 8 9 10 11", story]
+    items = [(1, story), (2, numbers), (3, people)]
+    found = leaking(spark, texts, items, conflicts="cut")
+    assert {(0, 1), (1, 2), (2, 3), (6, 1)} <= set(found) <= {(0, 1), (1, 2), (2, 3), (4, 1), (6, 1)}
+    assert not found[0, 1]["same_values"] and all(found[k]["same_values"] and found[k]["coverage"] > 0.9 for k in [(1, 2), (2, 3), (6, 1)])
+    assert {(0, 1), (1, 2), (2, 3), (6, 1)} <= set(leaking(spark, texts, items))
