@@ -7,7 +7,8 @@ smoothness edges, weaker the farther they lie apart in the element tree. The max
 on the content side are the text.
 
 The classifier is trained here without hand labels: on a bounded sample of pages, blocks below <article> or
-<main> are positive seeds and blocks below navigation, footers, forms, adverts and the like negative ones. It sees
+<main> are positive seeds and blocks below navigation, footers, forms, adverts and the like negative ones (those told by a
+class name only on pages that have positive seeds). It sees
 only text features (length, links, punctuation, headings, place), so it also judges pages that lack such markup.
 
 Edge cases: null and empty pages have no text; comments, scripts, styles and other raw elements are never text;
@@ -35,10 +36,12 @@ from lexsieve.plans.scale import spread
 TRAIN_PAGES = 1_000
 
 # Element names of HTML and words of class names.
-RAW = frozenset("script style noscript template iframe svg math object title textarea select canvas audio video".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml object title textarea select canvas audio video".split())
+VOID = frozenset("area base br col embed hr img input link meta mprescripts mspace param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-                   "sub sup time tt u var br wbr img".split())
+                   "sub sup time tt u var br wbr img "
+                   "math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub "
+                   "msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
                      "section table ul".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -50,6 +53,8 @@ OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "notice popup modal overlay newsletter subscribe subscription comment comments reply replies disqus sidebar aside widget "
                         "related recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer header masthead "
                         "login signup pagination pager toolbar copyright legal disclaimer".split())
+#: Evidence of a word of OTHER_WORDS, once for all elements above a block; the classifier and neighbours can outvote it.
+WORD_EVIDENCE = -2.0
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -78,9 +83,13 @@ class Block:
 
 
 def evidence_of(tag: str, attributes: str, above: float) -> float:
-    """What an element says about the text below it: over 0 content, under 0 boilerplate; boilerplate is inherited."""
-    if above < 0 and above > -3 and tag in CONTENT_TAGS:
-        above = 0.0
+    """What an element says about the text below it: over 0 content, under 0 boilerplate; boilerplate is inherited.
+
+    Names of classes and ids are weaker than elements, roles and hiding: <main> undoes a name above it, <article> outweighs it.
+    """
+    named = WORD_EVIDENCE <= above < 0
+    if named and tag == "main":
+        above, named = 0.0, False
     own = 3.0 if tag in CONTENT_TAGS else 0.0
     if tag in OTHER_TAGS:
         own = -8.0
@@ -90,11 +99,13 @@ def evidence_of(tag: str, attributes: str, above: float) -> float:
         style = told.get("style", "").replace(" ", "").lower()
         if told.get("role", "").lower() in OTHER_ROLES or "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in style:
             own = -8.0
-        elif words & OTHER_WORDS and tag not in ("html", "body") and not (words & CONTENT_WORDS and tag in CONTENT_TAGS):
-            own = min(own, -8.0)
+        elif words & OTHER_WORDS and tag not in ("html", "body", "main") and not (words & CONTENT_WORDS and tag in CONTENT_TAGS and not named):
+            own = min(own, WORD_EVIDENCE)
         elif (words & CONTENT_WORDS or told.get("role") == "main") and own == 0:
             own = 1.5
-    return own if own < 0 or above >= 0 and own > above else above
+    if named and own == 3.0:
+        return own + above
+    return min(own, above) if own < 0 else own if above >= 0 and own > above else above
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -196,8 +207,10 @@ def train_blocks(pages: DataFrame, *, key: str = "page_id", page: str = "html",
                 rows = features_of(blocks, [b.text() for b in blocks])
                 told = np.array([b.parent.evidence for b in blocks])
                 # each page tells the mean of its seeds, so long pages do not outvote the others
+                # names of classes are seeds only beside content that no name is above
+                most = WORD_EVIDENCE if (told >= 3).any() else -3
                 for label in (0, 1):
-                    own = rows[told <= -3] if label == 0 else rows[told >= 3]
+                    own = rows[told <= most] if label == 0 else rows[told >= 3]
                     if len(own):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([label]), pa.array([own[np.linspace(0, len(own) - 1, min(len(own), 16)).astype(int)].reshape(-1)])], ["y", "x"])

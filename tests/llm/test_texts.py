@@ -218,3 +218,18 @@ def test_sentence_openers_and_dense_items_are_caught(spark):
     assert {(0, 1), (1, 2), (2, 3), (6, 1)} <= set(found) <= {(0, 1), (1, 2), (2, 3), (4, 1), (6, 1)}
     assert not found[0, 1]["same_values"] and all(found[k]["same_values"] and found[k]["coverage"] > 0.9 for k in [(1, 2), (2, 3), (6, 1)])
     assert {(0, 1), (1, 2), (2, 3), (6, 1)} <= set(leaking(spark, texts, items))
+
+
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "site has-sidebar", "layout header-fixed"])
+def test_one_class_word_of_a_wrapper_can_be_outvoted(wrapper):
+    text = "<h1>Title</h1><p>First para, quite long text.</p><div class=ad>Buy now!</div><p>It has <math><mi>x</mi><mo>+</mo><mn>2</mn></math> in it.</p>"
+    want = "Title\n\nFirst para, quite long text.\n\nIt has x+2 in it."
+    for tag in ("main class=content", "article"):
+        page = f"<body><nav>menu</nav><div class='{wrapper}'><{tag}>{text}</{tag.split()[0]}><div class=comments><article class=comment>I agree.</article></div></div>"
+        assert html_cut.main_text(page, NEUTRAL) == want
+    # the classifier alone outvotes the word, but not an element
+    sure = np.zeros(html_cut.FEATURES)
+    sure[3] = 12.0  # punctuation
+    page = f"<div class='{wrapper}'><p>First, quite long: text. It goes on, and on.</p><p>More</p></div>"
+    assert html_cut.main_text(page, sure).startswith("First, quite long") and html_cut.main_text(page, NEUTRAL) == ""
+    assert html_cut.main_text(f"<nav>{page}</nav>", sure) == ""
