@@ -2,8 +2,9 @@
 
 1. Texts with equal word sequences are one node; only nodes are compared, copies keep a membership row.
 2. Each node has a signature of `trees` hash paths. A path is a leaf of a prefix trie; nodes that share a
-   path prefix meet in one trie node. The matched prefix starts at `depth` values and is shortened until
-   ``1 - (1 - threshold^d)^trees`` reaches the target recall, the guarantee for the least similar wanted pair.
+   path prefix meet in one trie node. One prefix length d serves all nodes: the largest up to `depth` at which
+   ``1 - (1 - threshold^d)^trees`` reaches the target recall, the guarantee for the least similar wanted pair. It is
+   found before anything is read, so paths are hashed to d values only; deeper levels and sorted tries aren't built.
 3. Trie nodes with several members link them to their smallest member; the components of those links are the
    candidate groups.
 4. Each group is cut into blocks of bounded size, every pair of blocks is one unit of work: sparse shingle
