@@ -4,8 +4,9 @@ Documents are encoded once into pieces of at most `capacity` tokens (a longer do
 behind a first, shorter one). Only the number of pieces of each length matters for the packing, so the search
 runs on a histogram of at most `capacity` counts, whatever the size of the corpus:
 
-* the largest open length starts a bin; the undominated fillings of the gap around it with up to three further
-  lengths are enumerated, least waste first, larger lengths first; what is left is completed again;
+* the largest open length starts a bin; the search branches over at most three fillings of the gap around it, least
+  waste first: the largest single length, one pair of the largest sum above it, and, where no pair fills the gap, one
+  triple within 8 tokens of it; what is left is completed greedily. Other undominated fillings are not branched on;
 * a filling is applied as often as the counts allow at once;
 * branch and bound: a node is cut off when its bins plus the waste bound of the rest reach the incumbent; the
   first incumbent is the best-fit-decreasing packing; the search stops at the bound or after `nodes` nodes and
@@ -83,7 +84,7 @@ class _Search:
         return None
 
     def fillings(self, gap: int) -> list[Filling]:
-        """Undominated fillings of the gap: the best single length, pair and triple, least waste first."""
+        """Some undominated fillings of the gap: the best single length, one pair and one triple, least waste first."""
         one = _below(self.mask, gap)
         if not one:
             return [()]
