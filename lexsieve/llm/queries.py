@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lexsieve.llm import decontaminate, forest_join, html_cut, licenses, merkle, packing, quality, substring_dedup, token_store, toxicity
+from lexsieve.llm import (decontaminate, forest_join, grid_order_join, hard_negatives, html_cut, licenses, merkle, packing, quality,
+                          substring_dedup, token_store, toxicity, vector_codes)
 from lexsieve.plans.scale import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,74 @@ ORACLE["op9_template_licenses"] = _license_sql()
 def op10_window_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words of every document that repeated 20-word windows remove, and the digest of what is left."""
     return substring_dedup.dedup_report(table(spark, sf, "documents"))
+
+
+#: Usable vectors in SQL, as doubles.
+_USABLE = """embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
+
+@query
+def op11_grid_order_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.95."""
+    return grid_order_join.cosine_classes(table(spark, sf, "embeddings"))
+
+
+ORACLE["op11_grid_order_join"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_USABLE}),
+ok AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE list_inner_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.r),
+root AS (SELECT a AS vec_id, min(r) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN root USING (vec_id) LEFT JOIN degree USING (vec_id)"""
+
+
+@query
+def op12_anchor_tree_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Code and error of every vector by the codebooks after four rounds."""
+    return vector_codes.encode_vectors(table(spark, sf, "embeddings"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Integer k-means written out: a codebook (part, entry, components) and an assignment for each round."""
+    steps = ["book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, x AS e FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))"]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT vec_id, p, x, hit.d AS d, hit.entry AS entry FROM (
+  SELECT a.vec_id, a.p, any_value(a.x) AS x, min(struct_pack(d := list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, b.e) + list_inner_product(b.e, b.e), entry := b.entry)) AS hit
+  FROM part a JOIN book{r} b USING (p) GROUP BY a.vec_id, a.p))""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS (SELECT p, entry, list(m ORDER BY i) AS m FROM (
+  SELECT p, entry, i, floor(sum(x[i]) / count(*)) AS m FROM near{r}, range(1, (SELECT max(len(x)) FROM part) + 1) t(i) GROUP BY p, entry, i) GROUP BY p, entry),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m, e) AS e FROM book{r} b LEFT JOIN mean{r} USING (p, entry))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {_USABLE}),
+part AS MATERIALIZED (SELECT vec_id, p, list_slice(v, (p * len(v) // 4 + 1)::BIGINT, ((p + 1) * len(v) // 4)::BIGINT) AS x FROM kept, range(4) t(p)),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: x::BIGINT), ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book{rounds}),
+errors AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id) JOIN errors ON errors.label IS NOT DISTINCT FROM kept.label, digest"""
+
+
+ORACLE["op12_anchor_tree_codes"] = _codes_sql()
+
+
+@query
+def op13_spanning_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_spanning_negatives"] = f"""
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.l = c.l AS same, c.vec_id AS other, list_inner_product(a.v, c.v)::BIGINT AS s
+  FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, s AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s AND s <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) <= 5"""
