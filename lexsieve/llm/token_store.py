@@ -3,18 +3,19 @@
 File format, a folder of parquet tables written and committed by Spark tasks:
 
 * ``blocks``: documents in ascending id order. A block holds whole documents: `part` and `block` (their order is
-  the order of the documents), `doc_ids`, `lengths` (ids of each document), and two byte strings. `control` has
+  the order of the documents), `before` (ids of the part ahead of the block), `doc_ids`, `lengths` (ids of each document), and two byte strings. `control` has
   two bits for each id, four ids to a byte, the first in the low bits: the number of data bytes less one. `data`
   has the ranks of the ids, little-endian, one to four bytes each.
 * ``ranks``: id of each rank, most frequent first (ties: the smaller id), so that the 256 most frequent ids take
   one byte.
-* ``parts``: ids in each part, from which readers get global starts.
+* ``parts``: ids in each part, from which readers get global starts without moving blocks.
 
 Decoding needs no loop over ids: a table of the four lengths of each control byte gives the byte offset of every
 id by a running sum, and the ranks are gathered from there.
 
 Edge cases: null texts are empty and consist of the end id alone; rows with a null id come first; rows of equal
-id are ordered by number of ids and checksum; an empty table gives empty tables; extra columns are ignored.
+id are ordered by number of ids and checksum; an empty table gives empty tables; extra columns are ignored; a text longer
+than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -118,27 +119,27 @@ def ordered_blocks(encoded: DataFrame, ranks: DataFrame, kind: str) -> DataFrame
     dealt = encoded.withColumn("sum", F.crc32("ids")).repartitionByRange(n, *order).sortWithinPartitions(*order).select(
         F.spark_partition_id().alias("part"), "doc_id", "n_ids", "ids")
 
-    def block(part: int, number: int, docs: list, sizes: list, raw: list) -> pa.RecordBatch:
+    def block(part: int, number: int, before: int, docs: list, sizes: list, raw: list) -> pa.RecordBatch:
         control, data = encode_ranks(shared.value[np.frombuffer(b"".join(raw), kind)])
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
+            [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())),
              pa.array([sizes], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-            ["part", "block", "doc_ids", "lengths", "control", "data"])
+            ["part", "block", "before", "doc_ids", "lengths", "control", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, docs, sizes, raw, held = 0, 0, [], [], [], 0
+        part, number, before, docs, sizes, raw, held = 0, 0, 0, [], [], [], 0
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else part
             for doc, size, ids in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if held and held + size > BLOCK_IDS:
-                    yield block(part, number, docs, sizes, raw)
-                    number, docs, sizes, raw, held = number + 1, [], [], [], 0
+                    yield block(part, number, before, docs, sizes, raw)
+                    number, before, docs, sizes, raw, held = number + 1, before + held, [], [], [], 0
                 docs.append(doc), sizes.append(size), raw.append(ids)
                 held += size
         if docs:
-            yield block(part, number, docs, sizes, raw)
+            yield block(part, number, before, docs, sizes, raw)
 
-    return dealt.mapInArrow(write, "part int, block int, doc_ids array<long>, lengths array<long>, control binary, data binary")
+    return dealt.mapInArrow(write, "part int, block int, before long, doc_ids array<long>, lengths array<long>, control binary, data binary")
 
 
 def write_store(documents: DataFrame, path: str, vocabulary: str, *, folds: bool, end_id: int, key: str = "doc_id",
@@ -151,21 +152,19 @@ def write_store(documents: DataFrame, path: str, vocabulary: str, *, folds: bool
     ranks.write.parquet(f"{path}/ranks")
     blocks = ordered_blocks(encoded, ranks, kind)
     blocks.write.parquet(f"{path}/blocks")
-    sizes = encoded.sparkSession.read.schema(blocks.schema).parquet(f"{path}/blocks").select("part", "block", "lengths")
-    sizes.groupBy("part", "block").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids")).write.parquet(f"{path}/parts")
+    sizes = encoded.sparkSession.read.schema(blocks.schema).parquet(f"{path}/blocks").select("part", "lengths")
+    sizes.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids")).write.parquet(f"{path}/parts")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
     ranks = spark.read.parquet(f"{path}/ranks").toArrow().sort_by("rank")["id"].to_numpy()
     id_of = spark.sparkContext.broadcast(ranks.astype("<u4"))
-    sizes = spark.read.parquet(f"{path}/parts")
-    by_part = sizes.groupBy("part").agg(F.sum("ids").alias("n")).toArrow().sort_by("part")  # one row for each part
-    before = np.cumsum(by_part["n"].to_numpy()) - by_part["n"].to_numpy() if len(by_part) else np.zeros(0, np.int64)
-    offsets = spark.createDataFrame(pa.table({"part": by_part["part"].cast(pa.int32()), "before": before}))
-    within = sizes.select("part", "block", (F.expr("sum(ids) over (partition by part order by block)") - F.col("ids")).alias("inner"))
-    placed = within.join(F.broadcast(offsets), "part").select("part", "block", (F.col("before") + F.col("inner")).alias("start"))
-    blocks = spark.read.parquet(f"{path}/blocks").join(placed, ["part", "block"]).select("start", "doc_ids", "lengths", "control", "data")
+    by_part = spark.read.parquet(f"{path}/parts").toArrow().sort_by("part")  # one row for each part
+    ahead = np.cumsum(by_part["ids"].to_numpy()) - by_part["ids"].to_numpy() if len(by_part) else np.zeros(0, np.int64)
+    offsets = spark.createDataFrame(pa.table({"part": by_part["part"].cast(pa.int32()), "ahead": ahead}))
+    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(offsets), "part").select(
+        (F.col("ahead") + F.col("before")).alias("start"), "doc_ids", "lengths", "control", "data")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
