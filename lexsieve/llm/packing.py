@@ -4,25 +4,27 @@ Documents are encoded once into pieces of at most `capacity` tokens (a longer do
 behind a first, shorter one). Only the number of pieces of each length matters for the packing, so the search
 runs on a histogram of at most `capacity` counts, whatever the size of the corpus:
 
-* the largest open length starts a bin; the search branches over at most three fillings of the gap around it, least
-  waste first: the largest single length, one pair of the largest sum above it, and, where no pair fills the gap, one
-  triple within 8 tokens of it; what is left is completed greedily. Other undominated fillings are not branched on;
-* a filling is applied as often as the counts allow at once;
-* branch and bound: a node is cut off when its bins plus the waste bound of the rest reach the incumbent; the
-  first incumbent is the best-fit-decreasing packing; the search stops at the bound or after `nodes` nodes and
-  keeps the best packing found.
+* the largest open length starts a bin; its undominated fillings are enumerated one after the other, least waste first and
+  larger lengths first. Sets of sums that lengths up to each one can reach make every step lead to a filling. A filling is
+  dominated, and left out, if an open length could take the place of some of its own and reach at least their sum;
+* a filling is used as often as the counts allow, then fewer times; the next filling of the same length then comes later in
+  the order, so that no set of bins is tried twice and none is left out;
+* branch and bound: a node is cut off when its bins plus the waste bound of the rest (Martello and Toth's L2) reach the
+  incumbent; the first incumbent is the best-fit-decreasing packing. The search ends at the bound, when nothing is left to
+  try, or after `nodes` nodes; the result says which (`Packing.proved`).
 
 Spark then ranks the pieces of each length (hot lengths are spread over parts, with offsets of counts) and looks
 up the sequence and offset of each rank.
 
 Edge cases: null texts are empty and consist of the end token alone; repeated rows and null ids are packed like
-any other row; an empty table gives no sequences; extra columns are ignored.
+any other row; an empty table gives no sequences; extra columns are ignored; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,209 +35,187 @@ from lexsieve.llm import rolling, token_encode
 from lexsieve.plans.scale import spread, written
 
 CAPACITY = 2048
+#: Nodes of the search before it settles for its best packing.
 SEARCH_NODES = 8_000
 #: Parts over which the pieces of one length are ranked.
 PARTS = 64
-#: Less than the encoder's own bounds: as a stage, packing shares workers with what ran before.
-CACHE_CHUNKS, SLICE_BYTES = 300_000, (1 << 19) - 1
 
 Filling = tuple[int, ...]
 
 
-def _below(mask: int, limit: int) -> int:
-    """Largest set bit of the mask up to limit, or 0."""
-    return (mask & ((2 << limit) - 1)).bit_length() - 1 if limit > 0 else 0
+@dataclass(frozen=True)
+class Packing:
+    """Bins (lengths, how often), a lower bound of their number, and whether none with fewer bins exists."""
+
+    bins: list[tuple[Filling, int]]
+    bound: int
+    proved: bool
+
+    @property
+    def used(self) -> int:
+        return sum(times for _, times in self.bins)
+
+
+def _up_to(mask: int, limit: int) -> int:
+    return mask & ((2 << limit) - 1)
+
+
+def _smeared(mask: int, by: int) -> int:
+    """The mask or-ed with itself shifted by 1 to `by`."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        mask |= mask << step
+        done += step
+    return mask
+
+
+class Fillings:
+    """Undominated fillings of a gap from open counts, in falling order of (sum, lengths)."""
+
+    def __init__(self, counts: np.ndarray, gap: int) -> None:
+        self.gap = gap
+        self.lengths = np.flatnonzero(counts[:gap + 1]).tolist()
+        self.open = {n: min(int(counts[n]), gap // n) for n in self.lengths}
+        self.more = {n: int(counts[n]) for n in self.lengths}
+        reach, self.reach = 1, [1]  # sums of lengths up to each one
+        for n in self.lengths:
+            left, take = self.open[n], 1
+            while left:  # 1, 2, 4, ... copies give every number of copies
+                take = min(take, left)
+                reach = _up_to(reach | reach << n * take, gap)
+                left -= take
+                take *= 2
+            self.reach.append(reach)
+
+    def _exact(self, total: int, below: int) -> Iterator[Filling]:
+        """Fillings of this sum from the first `below` lengths, larger lengths first."""
+        if not total:
+            yield ()
+            return
+        for i in range(below - 1, -1, -1):
+            n, rest = self.lengths[i], self.reach[i]
+            if not self.reach[i + 1] >> total & 1:
+                return  # no lengths up to this one give the sum
+            for times in range(min(self.open[n], total // n), 0, -1):
+                left = total - n * times
+                if rest >> left & 1:
+                    for tail in self._exact(left, i):
+                        yield (n,) * times + tail
+
+    def dominated(self, filling: Filling) -> bool:
+        """Whether an open length outside could replace some of the filling's lengths and be no smaller than they are."""
+        waste = self.gap - sum(filling)
+        outside = sum(1 << n for n in self.lengths if self.more[n] > filling.count(n))
+        ones = some = 0
+        for n in filling:
+            some |= (some | ones) << n  # sums of two or more
+            ones |= 1 << n
+        if outside & _smeared(some, waste):
+            return True
+        return bool(waste and outside & _smeared(ones, waste - 1) << 1)
+
+    def __iter__(self) -> Iterator[Filling]:
+        reach = self.reach[-1]
+        while reach:
+            total = reach.bit_length() - 1
+            reach ^= 1 << total
+            for filling in self._exact(total, len(self.lengths)):
+                if not self.dominated(filling):
+                    yield filling
 
 
-class _Search:
-    """Open counts of each length with undo, and the fillings of a gap."""
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Martello-Toth L2: bins that the large lengths need, plus what the small ones need beyond their gaps."""
+    n, half = np.arange(capacity + 1), capacity // 2
+    number, weight = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(n * counts)))
+    k = np.arange(half + 1)
+    top = capacity - k + 1
+    large = number[top] - number[half + 1]
+    spare = large * capacity - (weight[top] - weight[half + 1])
+    small = weight[half + 1] - weight[np.maximum(k, 1)]
+    best = number[-1] - number[top] + large + np.maximum(0, -(-(small - spare) // capacity))
+    return int(max(best.max(), -(-int(weight[-1]) // capacity)))
 
-    def __init__(self, counts: np.ndarray, capacity: int) -> None:
-        self.capacity, self.counts = capacity, counts.tolist()
-        self.mask = 1 | sum(1 << n for n in range(1, capacity + 1) if counts[n])
-        self.total = int((np.arange(capacity + 1) * counts).sum())
-        self.large = int(counts[capacity // 2 + 1:].sum())
 
-    def take(self, filling: Filling, times: int) -> None:
-        for n in filling:
-            self.counts[n] -= times
-            self.total -= n * times
-            if 2 * n > self.capacity:
-                self.large -= times
-            if self.counts[n]:
-                self.mask |= 1 << n
-            else:
-                self.mask &= ~(1 << n)
-
-    def bound(self) -> int:
-        return max(-(-self.total // self.capacity), self.large)
-
-    def times(self, filling: Filling) -> int:
-        return min(self.counts[n] // filling.count(n) for n in filling)
-
-    def _pair(self, total: int, largest: int) -> Filling | None:
-        """Two open lengths of the given sum, the larger as large as possible."""
-        a = _below(self.mask, min(largest, total - 1))
-        while 2 * a >= total:
-            b = total - a
-            if self.mask >> b & 1 and (a != b or self.counts[a] > 1):
-                return a, b
-            a = _below(self.mask, a - 1)
-        return None
-
-    def fillings(self, gap: int) -> list[Filling]:
-        """Some undominated fillings of the gap: the best single length, one pair and one triple, least waste first."""
-        one = _below(self.mask, gap)
-        if not one:
-            return [()]
-        found: list[Filling] = [(one,)]
-        if one == gap:
-            return found
-        lengths = []
-        n = one
-        while n:
-            lengths.append(n)
-            n = _below(self.mask, n - 1)
-        open_ = self.mask & ~1
-        sums = 0
-        for n in lengths:
-            if 2 * n <= gap or open_ & ((2 << (gap - n)) - 1):
-                sums |= open_ << n
-        best = one
-        for total in range(gap, one, -1):
-            if sums >> total & 1 and (pair := self._pair(total, one)):
-                found.append(pair)
-                best = total
-                break
-        if best < gap:
-            for total in range(gap, max(best, gap - 8), -1):
-                if triple := self._triple(total, lengths, sums):
-                    found.append(triple)
-                    break
-        return sorted(found, key=lambda f: (gap - sum(f), len(f)))
-
-    def _triple(self, total: int, lengths: list[int], sums: int) -> Filling | None:
-        for a in lengths:
-            if 3 * a < total:
-                return None
-            if a < total and sums >> (total - a) & 1 and (rest := self._pair(total - a, a)):
-                filling = (a, *rest)
-                if all(self.counts[n] >= filling.count(n) for n in filling):
-                    return filling
-        return None
-
-    def bins_around(self, largest: int, first: Filling) -> Filling:
-        """The bin of the largest length and a filling, completed greedily while something fits."""
-        chosen = (largest, *first)
-        for n in chosen:
-            self._hold(n, -1)
-        gap = self.capacity - sum(chosen)
-        while gap and (more := self.fillings(gap)[0]):
-            for n in more:
-                self._hold(n, -1)
-            chosen += more
-            gap -= sum(more)
-        for n in chosen:
-            self._hold(n, 1)
-        return chosen
-
-    def _hold(self, n: int, by: int) -> None:
-        self.counts[n] += by
-        self.mask = self.mask | 1 << n if self.counts[n] else self.mask & ~(1 << n)
+def _times(counts: np.ndarray, filling: Filling) -> int:
+    return min(int(counts[n]) // filling.count(n) for n in set(filling))
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Martello-Toth L2: bins that the large lengths need, plus what the small ones need beyond their gaps."""
-    n = np.arange(capacity + 1)
-    best = -(-int((n * counts).sum()) // capacity)
-    for k in range(capacity // 2 + 1):
-        alone = int(counts[capacity - k + 1:].sum())
-        large = slice(capacity // 2 + 1, capacity - k + 1)
-        small = slice(max(k, 1), capacity // 2 + 1)
-        n_large = int(counts[large].sum())
-        spare = n_large * capacity - int((n * counts)[large].sum())
-        best = max(best, alone + n_large + max(0, -(-(int((n * counts)[small].sum()) - spare) // capacity)))
-    return best
+def _take(counts: np.ndarray, filling: Filling, times: int) -> None:
+    for n in filling:
+        counts[n] -= times
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
     """Fill each bin around the largest open length with the next largest that fits."""
-    open_, out = _Search(counts, capacity), []
-    while largest := _below(open_.mask, capacity):
-        chosen, gap = [], capacity
-        n = largest
-        while n:
+    left, out = counts.copy(), []
+    while left.any():
+        chosen, gap, own = [], capacity, left.copy()
+        while len(there := np.flatnonzero(own[:gap + 1])):
+            n = int(there[-1])
             chosen.append(n)
-            open_._hold(n, -1)
+            own[n] -= 1
             gap -= n
-            n = _below(open_.mask, gap)
-        for n in chosen:
-            open_._hold(n, 1)
         filling = tuple(chosen)
-        times = open_.times(filling)
-        open_.take(filling, times)
+        times = _times(left, filling)
+        _take(left, filling, times)
         out.append((filling, times))
     return out
 
 
-def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[list[tuple[Filling, int]], int]:
-    """Bins (lengths, how often) for the histogram, and a lower bound of the number of bins."""
-    state = _Search(counts, capacity)
-    bound = lower_bound(counts, capacity)
-    incumbent = best_fit_decreasing(counts, capacity)
-    fewest = sum(t for _, t in incumbent)
+def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Packing:
+    """The packing of a histogram of lengths, with the fewest bins that the search finds within `nodes` nodes."""
+    left = counts.astype(np.int64).copy()
+    bound = lower_bound(left, capacity)
+    best = best_fit_decreasing(left, capacity)
+    fewest, used = sum(t for _, t in best), 0
     chosen: list[tuple[Filling, int]] = []
-    choices: list[list[Filling]] = []
-    used = 0
-
-    def options() -> list[Filling]:
-        largest = _below(state.mask, capacity)
-        if not largest:
-            return []
-        state._hold(largest, -1)
-        fillings = state.fillings(capacity - largest)
-        state._hold(largest, 1)
-        return [state.bins_around(largest, f) for f in reversed(fillings)]
-
-    while fewest > bound and nodes > 0:
-        nodes -= 1
-        if state.total == 0:
+
+    def choices(after: tuple[int, Filling] | None) -> Iterator[tuple[Filling, int]]:
+        """Bins around the largest open length; `after` is the last filling of the same length."""
+        largest = int(np.flatnonzero(left)[-1])
+        left[largest] -= 1
+        found = Fillings(left, capacity - largest)
+        left[largest] += 1
+        for filling in found:
+            if after is not None and after[0] == largest and (sum(filling), filling) >= (sum(after[1]), after[1]):
+                continue
+            whole = (largest, *filling)
+            for times in range(_times(left, whole), 0, -1):
+                yield whole, times
+
+    stack: list[Iterator[tuple[Filling, int]]] = []
+    descend, spent = fewest > bound, 0
+    if descend:
+        stack.append(choices(None))
+    while stack and fewest > bound and spent < nodes:
+        if len(chosen) == len(stack):  # back from the subtree of the last choice
+            filling, times = chosen.pop()
+            _take(left, filling, -times)
+            used -= times
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            continue
+        spent += 1
+        _take(left, *step)
+        used += step[1]
+        chosen.append(step)
+        if not left.any():
             if used < fewest:
-                incumbent, fewest = list(chosen), used
-            descend = False
-        else:
-            descend = used + state.bound() < fewest
-        if descend:
-            choices.append(options())
-        while choices and not (descend and choices[-1]):
-            if descend:
-                descend = False
-                choices.pop()
-            if not choices:
-                break
-            if chosen and len(chosen) == len(choices):
-                filling, times = chosen.pop()
-                state.take(filling, -times)
-                used -= times
-            if choices[-1]:
-                break
-            choices.pop()
-        if not choices:
-            break
-        filling = choices[-1].pop()
-        times = state.times(filling)
-        state.take(filling, times)
-        used += times
-        chosen.append((filling, times))
-    return incumbent, bound
-
-
-def encoded_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+                best, fewest = list(chosen), used
+        elif used + lower_bound(left, capacity) < fewest:
+            stack.append(choices((step[0][0], step[0][1:])))
+    return Packing(best, bound, fewest == bound or not stack)
+
+
+def encoded_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int, cache: int, slice_bytes: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of (doc_id, text)."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_encode.encoder(vocabulary, folds=False, cache=CACHE_CHUNKS)
+        tokens = token_encode.encoder(vocabulary, folds=False, cache=cache)
         for batch in batches:
-            for part, data, offsets in rolling.slices(batch, "text", SLICE_BYTES):
+            for part, data, offsets in rolling.slices(batch, "text", slice_bytes):
                 ids, bounds = tokens.encode(data, offsets)
                 sizes = np.diff(bounds) + 1
                 first = np.where(sizes % capacity == 0, capacity, sizes % capacity)
@@ -278,15 +258,21 @@ def _slots(bins: list[tuple[Filling, int]]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def packed_sequences(documents: DataFrame, vocabulary: str, end_id: int, *, key: str = "doc_id", text: str = "text",
-                     capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece."""
+                     capacity: int = CAPACITY, nodes: int = SEARCH_NODES, cache: int = token_encode.CACHE_CHUNKS,
+                     slice_bytes: int = token_encode.SLICE_BYTES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequences, least_sequences, proved) of each piece.
+
+    The last three are the same in all rows: number of sequences, its lower bound, and whether fewer are known to be
+    impossible. `cache` and `slice_bytes` bound a worker's memory, not the result.
+    """
     spark = documents.sparkSession
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = written(encoded_pieces(spread(texts), vocabulary, end_id, capacity), "pieces")
+    pieces = written(encoded_pieces(spread(texts), vocabulary, end_id, capacity, cache, slice_bytes), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[row["length"]] = row["count"]
-    length, rank, sequence, offset = _slots(complete_bins(counts, capacity, nodes)[0])
+    packing = complete_bins(counts, capacity, nodes)
+    length, rank, sequence, offset = _slots(packing.bins)
     shared = spark.sparkContext.broadcast((length * (1 << 40) + rank, rank, sequence, offset))
 
     own = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
@@ -305,5 +291,7 @@ def packed_sequences(documents: DataFrame, vocabulary: str, end_id: int, *, key:
                 [*batch.columns[:5], pa.array(seq[at] + own_rank - first[at]), pa.array(off[at])],
                 [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(
+    placed = ranked.mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.select("*", F.lit(packing.used).cast("long").alias("sequences"), F.lit(packing.bound).cast("long").alias("least_sequences"),
+                         F.lit(packing.proved).alias("proved"))

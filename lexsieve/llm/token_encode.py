@@ -4,7 +4,8 @@ A text is cut where the tokenizers' own pre-split always cuts: before a lone spa
 visible characters, and between an ASCII letter and ASCII punctuation other than an apostrophe. Nothing that the
 tokenizers match spans such a place, so the ids of the chunks in order are the ids of the text. Distinct chunks
 of a slice of texts are looked up by hash in a bounded cache of the worker; only new ones reach the tokenizer,
-many in one call, parted by a special token.
+many in one call, parted by a special token. The cache has two generations: when the younger is full it becomes the
+older one, and chunks that are met again move on, so common chunks stay however many rare ones pass.
 
 Holds for tokenizers that never merge across white space and whose pre-split parts letters from punctuation
 (word-end BPE and byte-level BPE with leading spaces). `folds` says that the tokenizer lower-cases and drops
@@ -19,8 +20,8 @@ import numpy as np
 
 from lexsieve.llm import rolling
 
-#: Chunks that a worker remembers; when more come, it starts anew.
-CACHE_CHUNKS = 1_000_000
+#: Chunks that a worker remembers, in both generations together (some 35 bytes each).
+CACHE_CHUNKS = 2_000_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 2 << 20
 _CALL_CHUNKS = 20_000
@@ -51,6 +52,38 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Chunks:
+    """Ids of chunks by hash: hashes ascending, with the place of each chunk's ids in one array."""
+
+    def __init__(self) -> None:
+        self.codes, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self._ids, self._used = np.zeros(1 << 18, np.uint32), 0
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Position of each hash, -1 where there is none."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks at these positions in a row, and their bounds."""
+        size = self.size[at].astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        return self._ids[np.repeat(self.begin[at] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+    def add(self, codes: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Take in chunks that are not there yet, hashes ascending."""
+        while self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+        self._ids[self._used:self._used + len(ids)] = ids
+        at = np.searchsorted(self.codes, codes)
+        self.codes = np.insert(self.codes, at, codes)
+        self.begin = np.insert(self.begin, at, self._used + bounds[:-1])
+        self.size = np.insert(self.size, at, np.diff(bounds))
+        self._used += len(ids)
+
+
 @dataclass
 class ChunkEncoder:
     """One tokenizer file with its cache."""
@@ -58,60 +91,44 @@ class ChunkEncoder:
     path: str
     folds: bool
     separator: str = "<|endoftext|>"
-    cache: int | None = None
-    _index: dict[int, int] = field(default_factory=dict)
+    cache: int = CACHE_CHUNKS
+    _young: _Chunks = field(default_factory=_Chunks)
+    _old: _Chunks = field(default_factory=_Chunks)
 
     def __post_init__(self) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(self.path)
         self._separator_id = self._tokenizer.token_to_id(self.separator)
-        self._clear()
-
-    def _clear(self) -> None:
-        self._index.clear()
-        self._ids = np.zeros(1 << 20, np.uint32)
-        self._begin = np.zeros(1 << 18, np.int64)
-        self._size = np.zeros(1 << 18, np.int64)
-        self._used = self._chunks = 0
 
-    def plain(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found: list[np.ndarray] = []
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in a row, and their bounds."""
+        found, sizes = [], []
         for at in range(0, len(texts), _CALL_CHUNKS):
             part = texts[at:at + _CALL_CHUNKS]
-            whole = [t if "<|" not in t else "" for t in part]
-            ids = np.array(self.plain(self.separator.join(whole)), np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self._separator_id))
-            pieces = [pieces[0], *(p[1:] for p in pieces[1:])]
-            found += [p if "<|" not in t else np.array(self.plain(t), np.uint32) for p, t in zip(pieces, part, strict=True)]
-        return found
-
-    def _learn(self, codes: list[int], texts: list[str]) -> None:
-        pieces = self._encode(texts)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        while self._used + sizes.sum() > len(self._ids):
-            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
-        while self._chunks + len(pieces) > len(self._begin):
-            self._begin = np.concatenate((self._begin, np.zeros_like(self._begin)))
-            self._size = np.concatenate((self._size, np.zeros_like(self._size)))
-        to = slice(self._chunks, self._chunks + len(pieces))
-        self._size[to] = sizes
-        self._begin[to] = self._used + np.cumsum(sizes) - sizes
-        self._ids[self._used:self._used + int(sizes.sum())] = np.concatenate(pieces)
-        self._used += int(sizes.sum())
-        self._index.update(zip(codes, range(to.start, to.stop), strict=True))
-        self._chunks = to.stop
+            apart = [i for i, t in enumerate(part) if "<|" in t]  # may hold a special token
+            ids = self.plain(self.separator.join("" if "<|" in t else t for t in part) if apart else self.separator.join(part))
+            cuts = np.flatnonzero(ids == self._separator_id)
+            size = np.diff(cuts, prepend=-1, append=len(ids)) - 1
+            ids = np.delete(ids, cuts)
+            ends = np.cumsum(size)
+            for i in reversed(apart):  # these were left blank
+                own = self.plain(part[i])
+                ids, size[i] = np.insert(ids, ends[i], own), len(own)
+            found.append(ids)
+            sizes.append(size)
+        return np.concatenate(found), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and the bounds of each document in them."""
         n_docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_docs + 1, np.int64)
-        if self._chunks > (CACHE_CHUNKS if self.cache is None else self.cache):
-            self._clear()
+        if 2 * len(self._young.codes) >= self.cache:
+            self._old, self._young = self._young, _Chunks()
         starts = chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         if self.folds:
@@ -123,26 +140,24 @@ class ChunkEncoder:
         else:
             code = rolling.byte_hashes(data, starts, ends)
         distinct, where, back = np.unique(code, return_index=True, return_inverse=True)
-        keys, get = distinct.tolist(), self._index.get
-        slot = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
+        new = np.flatnonzero(self._young.find(distinct) < 0)
+        before = self._old.find(distinct[new])
+        if (before >= 0).any():
+            self._young.add(distinct[new[before >= 0]], *self._old.ids(before[before >= 0]))
+            new = new[before < 0]
         if len(new):
-            first = self._chunks
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[k]:ends[k]].decode() for k in where[new]])
-            slot[new] = np.arange(first, first + len(new))
-        own = slot[back]
-        size = self._size[own]
-        bounds = np.concatenate(([0], np.cumsum(size)))
-        ids = self._ids[np.repeat(self._begin[own] - bounds[:-1], size) + np.arange(bounds[-1])]
+            self._young.add(distinct[new], *self._encode([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]))
+        ids, bounds = self._young.ids(self._young.find(distinct)[back])
         return ids, bounds[np.searchsorted(starts, offsets, side="left")]
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], ChunkEncoder] = {}
 
 
-def encoder(path: str, folds: bool, cache: int | None = None) -> ChunkEncoder:
-    """The worker's encoder of a tokenizer file; `cache` bounds the remembered chunks in place of CACHE_CHUNKS."""
-    if (path, folds) not in _ENCODERS:
-        _ENCODERS[path, folds] = ChunkEncoder(path, folds, cache=cache)
-    return _ENCODERS[path, folds]
+def encoder(path: str, folds: bool, cache: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """The worker's encoder of a tokenizer file that remembers `cache` chunks."""
+    own = path, folds, cache
+    if own not in _ENCODERS:
+        _ENCODERS[own] = ChunkEncoder(path, folds, cache=cache)
+    return _ENCODERS[own]

@@ -19,15 +19,25 @@ NASTY = ["a b", "<|endoftext|>", "x<|endoftext|> y <|STARTOFTEXT|> <|StartOfText
 
 
 @pytest.mark.parametrize(("path", "folds"), [(WORD, True), (BYTE, False)])
-def test_chunks_give_the_tokenizers_ids(path, folds, monkeypatch):
+def test_chunks_give_the_tokenizers_ids(path, folds):
     whole = Tokenizer.from_file(path)
     own = token_encode.ChunkEncoder(path, folds)
     texts = [*NASTY, " ".join(NASTY), "\n".join(NASTY), "".join(NASTY)]
-    for _ in range(3):  # cold, warm, and after the cache was given up
+    for cache in (own.cache, own.cache, 0, 0, 8, 200):  # cold, warm, generations changing at every call, and now and then
+        own.cache = cache
         ids, bounds = own.encode(*rolling.text_buffer(pa.array(texts)))
         for i, text in enumerate(texts):
             assert ids[bounds[i]:bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, text
-        monkeypatch.setattr(token_encode, "CACHE_CHUNKS", 0)
+
+
+def test_common_chunks_stay_while_rare_ones_pass(monkeypatch):
+    own, seen = token_encode.ChunkEncoder(BYTE, False, cache=200), []
+    encode = token_encode.ChunkEncoder._encode
+    monkeypatch.setattr(token_encode.ChunkEncoder, "_encode", lambda self, texts: seen.extend(texts) or encode(self, texts))
+    for k in range(60):
+        own.encode(*rolling.text_buffer(pa.array(["the common words " + " ".join(f"rare{k}x{j}" for j in range(20))])))
+        assert len(own._young.codes) <= 100 + 24 and len(own._old.codes) <= 124
+    assert seen.count(" common") == 1 and seen.count(" rare59x3") == 1
 
 
 def test_variable_length_code_round_trips():
@@ -60,36 +70,78 @@ def test_store_round_trip(spark, edge_docs, no_docs):
 
 
 def fewest_bins(lengths, capacity):
-    """Smallest number of bins by trying all first bins that hold the largest length."""
-    if not lengths:
-        return 0
-    largest, rest, best = lengths[0], lengths[1:], len(lengths)
-    for k in range(len(rest) + 1):
-        for mates in combinations(range(len(rest)), k):
-            if largest + sum(rest[m] for m in mates) <= capacity:
-                best = min(best, 1 + fewest_bins([x for i, x in enumerate(rest) if i not in mates], capacity))
-    return best
-
-
-def test_bin_completion_is_optimal_on_small_sets():
+    """Smallest number of bins: for every set of pieces the fewest bins and then the least filled last bin."""
+    best = [(1, 0)] + [None] * ((1 << len(lengths)) - 1)
+    for held in range(1, 1 << len(lengths)):
+        options = []
+        for i, n in enumerate(lengths):
+            if held >> i & 1:
+                bins, last = best[held & ~(1 << i)]
+                options.append((bins, last + n) if last + n <= capacity else (bins + 1, n))
+        best[held] = min(options)
+    return best[-1][0]
+
+
+SPARE = [([994, 994, 926, 811, 444, 444, 444, 350, 313, 313], 2048), ([6, 5, 4, 3, 3, 3], 12), ([1000, 900, 300, 310, 320], 1930)]
+
+
+def check_packing(lengths, capacity):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    found = packing.complete_bins(counts, capacity)
+    held = np.zeros(capacity + 1, int)
+    for filling, times in found.bins:
+        assert sum(filling) <= capacity and times > 0
+        np.add.at(held, list(filling), times)
+    assert (held == counts).all() and found.proved
+    assert found.bound <= found.used == fewest_bins(lengths, capacity), lengths
+    return found
+
+
+def test_bin_completion_is_optimal_on_500_sets():
     rng = np.random.default_rng(9)
+    for lengths, capacity in SPARE:
+        check_packing(lengths, capacity)
+    above = 0
+    for k in range(500):
+        n, capacity = int(rng.integers(1, 13)), int(rng.choice([60, 300, 2048]))
+        lengths = rng.integers(1, capacity * (0.35 + 0.65 * (k % 3) / 2), n)
+        if k % 4 == 0:
+            lengths = rng.choice(lengths[:3], n)  # few different lengths, many times
+        found = check_packing(sorted(lengths.tolist(), reverse=True), capacity)
+        above += found.used > found.bound
+    assert above > 0  # sets whose optimum is above the bound are among them, and proved
+
+
+def test_fillings_are_all_undominated_ones_in_order():
+    rng = np.random.default_rng(5)
     for _ in range(60):
-        lengths = sorted(rng.integers(1, 60, rng.integers(1, 8)).tolist(), reverse=True)
-        counts = np.bincount(lengths, minlength=61)
-        bins, bound = packing.complete_bins(counts, 60)
-        used = sum(t for _, t in bins)
-        assert bound <= used == fewest_bins(lengths, 60)
-        held = np.zeros(61, int)
-        for filling, times in bins:
-            assert sum(filling) <= 60
-            np.add.at(held, list(filling), times)
-        assert (held == counts).all()
+        gap = int(rng.integers(5, 40))
+        lengths = sorted(rng.integers(1, gap + 5, 7).tolist())
+        counts = np.bincount(lengths, minlength=60)
+        sets = sorted({tuple(sorted((lengths[i] for i in some), reverse=True)) for k in range(8) for some in combinations(range(7), k)
+                       if sum(lengths[i] for i in some) <= gap}, key=lambda f: (sum(f), f), reverse=True)
+
+        def beaten(own):
+            left = list(lengths)
+            for n in own:
+                left.remove(n)
+            parts = {(sum(own[i] for i in t), len(t), own[t[0]]) for k in range(1, len(own) + 1) for t in combinations(range(len(own)), k)}
+            return any(s <= x <= s + gap - sum(own) and (size > 1 or x != only) for s, size, only in parts for x in left)
+
+        assert list(packing.Fillings(counts, gap)) == [f for f in sets if not beaten(f)]
+
+
+def test_a_search_that_gives_up_says_so():
+    lengths = [994, 994, 926, 811, 444, 444, 444, 350, 313, 313]
+    found = packing.complete_bins(np.bincount(lengths, minlength=2049), 2048, nodes=1)
+    assert (found.used, found.bound, found.proved) == (4, 3, False)
 
 
-def test_search_beats_its_first_incumbent():
-    counts = np.bincount([6, 5, 4, 3, 3, 3], minlength=13)  # 12 = 6+3+3 = 5+4+3; largest-first gives 6+5, ...
-    assert sum(t for _, t in packing.best_fit_decreasing(counts, 12)) == 3
-    assert sum(t for _, t in packing.complete_bins(counts, 12)[0]) == 2
+def test_large_histograms_reach_the_bound():
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(2048, np.exp(rng.normal(5.5, 1.2, 200_000)).astype(int) + 1)
+    found = packing.complete_bins(np.bincount(lengths, minlength=2049))
+    assert found.used == found.bound and found.proved
 
 
 def test_packed_sequences(spark, edge_docs, no_docs):
@@ -113,5 +165,6 @@ def test_packed_sequences(spark, edge_docs, no_docs):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(sequences) <= -(-sum(r["length"] for r in rows) // 256) + 1
+    assert {(r["sequences"], r["proved"]) for r in rows} == {(len(sequences), True)}
+    assert rows[0]["least_sequences"] >= -(-sum(r["length"] for r in rows) // 256)
     assert packing.packed_sequences(no_docs, BYTE, 0).count() == 0
