@@ -36,9 +36,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), conflicts="cut")
 
 
+#: Less than the encoder's own bounds: as a stage, packing shares workers with what ran before.
+PACK_CHUNKS, PACK_SLICE = 600_000, (1 << 19) - 1
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequence and offset of each piece of each document."""
-    return packing.packed_sequences(docs, BYTE_BPE, end_id=0)
+    return packing.packed_sequences(docs, BYTE_BPE, end_id=0, cache=PACK_CHUNKS, slice_bytes=PACK_SLICE)
 
 
 STAGES = [
