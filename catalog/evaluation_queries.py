@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.newton import newton_ctes
 from catalog.registry import query
 from catalog.views import RUN_IDS, WITH_DECIDED, WITH_PRED, decided, predictions, r6
 from lexsieve.operators import combine, decision, mcnemar, ranking, threshold
@@ -142,7 +143,20 @@ def soft_vote(spark, sf):
                         threshold.decide("y_score", cut).alias("y_pred"))
 
 
-@query("stacking")
+_STACK = f"""{WITH_PRED},
+two AS (SELECT split, index, any_value(y_true) AS y, max(y_score) FILTER (WHERE run_id = '{RUN_IDS[1]}') AS x1, max(y_score) FILTER (WHERE run_id = '{RUN_IDS[5]}') AS x2
+  FROM pred WHERE run_id IN ('{RUN_IDS[1]}', '{RUN_IDS[5]}') GROUP BY split, index),
+val AS (SELECT 0 AS grp, * FROM two WHERE split = 'val'),
+{newton_ctes("meta", "val", "logistic", penalise_intercept=False)},
+scored AS (SELECT split, y, 1 / (1 + exp(-(w1 * x1 + w2 * x2 + w0))) AS p FROM two, meta WHERE split <> 'val'),
+per AS (SELECT split, p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM scored GROUP BY split, p),
+rk AS (SELECT *, sum(pos) OVER w AS tpc, sum(neg) OVER w AS fpc, sum(pos) OVER (PARTITION BY split) AS np, sum(neg) OVER (PARTITION BY split) AS nn
+  FROM per WINDOW w AS (PARTITION BY split ORDER BY p DESC))
+SELECT split, round(sum(pos * tpc::DOUBLE / (tpc + fpc)) / any_value(np), 6) AS pr_auc, round(sum(pos * (nn - fpc + neg / 2.0::DOUBLE)) / any_value(np) / any_value(nn), 6) AS roc_auc
+FROM rk GROUP BY split"""
+
+
+@query("stacking", _STACK)
 def stacking(spark, sf):
     pred = predictions(spark, sf)
     pair = written(combine.scores_of_two(pred, RUN_IDS[1], RUN_IDS[5], ["split", "index"]), "pair")

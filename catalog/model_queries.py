@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from catalog.newton import newton_ctes, sigmoid_ctes
 from catalog.registry import query
 from catalog.text_queries import _UNI, _vocab_sql
-from catalog.views import DOCS_POSITIVE, DOCS_SCHEME, WITH_LABELLED, docs_split, r6
+from catalog.views import DOCS_POSITIVE, DOCS_SCHEME, WITH_DOCS, WITH_LABELLED, docs_split, r6
 from lexsieve.operators import classifiers as clf
 from lexsieve.operators import naive_bayes as nb
 from lexsieve.operators import ranking
 from lexsieve.operators.features import bag_of_words
+from lexsieve.operators.linear_solver import logistic, solve_linear
 from lexsieve.operators.vocabulary import fit_vocabulary
 from lexsieve.plans import matrix
 from lexsieve.plans.scale import durable
@@ -83,18 +85,78 @@ def train_logreg(spark, sf):
     return _quality(f, matrix.score_model(f, "logreg"))
 
 
-@query("train_svc")
+# ---- two features of every document, so that DuckDB can fit the same models: logarithm of the length and share of one letter
+
+_SHAPE = """shape AS (SELECT doc_id, split, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS y, link, date, ln(1 + length(coalesce(text, ''))::DOUBLE) / 4 AS x1,
+  10 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE / (1 + length(coalesce(text, ''))) AS x2 FROM split)"""
+
+
+def _shape(spark, sf):
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    letters = F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("e"), F.lit("")))
+    x1, x2 = F.log1p(size.cast("double")) / 4, 10 * (size - letters).cast("double") / (1 + size)
+    return docs_split(spark, sf).select("doc_id", "split", "date", "link", F.when(F.col("lang") == "en", 1).otherwise(0).alias("y"),
+                                        array_to_vector(F.array(x1, x2)).alias("features"))
+
+
+def _fitted_weights(solution):
+    names = ["w1", "w2", "w0"]
+    return {n: float(w) for n, w in zip(names, solution.weights[:, 0])}
+
+
+@query("train_svc", f"""{WITH_DOCS}, {_SHAPE}, fit AS (SELECT 0 AS grp, * FROM shape WHERE split = 'train'),
+{newton_ctes("w", "fit", "squared_hinge")}, {newton_ctes("half", "fit", "squared_hinge", c=0.5)},
+two AS (SELECT 1.0 AS c, w.* FROM w UNION ALL SELECT 0.5, half.* FROM half)
+SELECT c::DOUBLE AS c, name, round(value, 6) AS value, TRUE AS solved FROM (SELECT c, unnest(['w1', 'w2', 'w0']) AS name, unnest([w1, w2, w0]) AS value FROM two)""")
 def train_svc(spark, sf):
-    """Uncalibrated margins of the linear SVM."""
+    """Weights of the squared-hinge SVM on two features of all documents, for two strengths of the penalty."""
+    train = _shape(spark, sf).where("split = 'train'")
+    rows = []
+    for c in (1.0, 0.5):
+        solution = clf.train_svc(train, c=c, tol=1e-8).solution
+        rows += [(c, name, round(w, 6), bool(solution.largest_gradient[0] < 1e-4)) for name, w in _fitted_weights(solution).items()]
+    return spark.createDataFrame(rows, "c double, name string, value double, solved boolean")
+
+
+@query("svc_margins")
+def svc_margins(spark, sf):
+    """Uncalibrated margins of the linear SVM on bags of words."""
     f = _features(spark, sf, "bow")
     docs = f.docs.withColumn("y", F.col("label").cast("double"))
-    train = docs.where(F.col("split") == "train")
-    margins = clf.train_svc(train).transform(docs.where(F.col("split") != "train"))
-    return _quality(f, margins.select("doc_id", vector_to_array("rawPrediction")[1].alias("y_score")))
+    margins = clf.train_svc(docs.where(F.col("split") == "train")).transform(docs.where(F.col("split") != "train"))
+    return _quality(f, margins.select("doc_id", F.col("margin").alias("y_score")))
+
+
+@query("logreg_weights", f"""{WITH_DOCS}, {_SHAPE}, fit AS (SELECT 0 AS grp, * FROM shape WHERE split = 'train'),
+{newton_ctes("w", "fit", "logistic", penalise_intercept=False)}
+SELECT doc_id, split, y AS y_true, round(1 / (1 + exp(-(w1 * x1 + w2 * x2 + w0))), 6) AS y_score FROM shape, w WHERE split <> 'train'""")
+def logreg_weights(spark, sf):
+    """Logistic regression on two features of all documents, solved by the shared solver."""
+    rows = _shape(spark, sf)
+    train = rows.where("split = 'train'")
+    fitted = solve_linear(train, 2, [(1, None)], loss=logistic, penalise_intercept=False, tol=1e-8)
+    p = 1.0 / (1.0 + F.exp(-fitted.margins()[0]))
+    return rows.where("split <> 'train'").select("doc_id", "split", F.col("y").alias("y_true"), r6(p, "y_score"))
+
+
+@query("platt_calibrate", f"""{WITH_DOCS}, {_SHAPE}, train AS (SELECT * FROM shape WHERE split = 'train'),
+placed AS (SELECT *, floor((row_number() OVER (PARTITION BY y ORDER BY date, link) - 1) * 3 / count(*) OVER (PARTITION BY y))::INTEGER AS fold FROM train),
+fit AS (SELECT grp, x1, x2, y FROM placed, (SELECT unnest([0, 1, 2]) AS grp) WHERE fold <> grp),
+{newton_ctes("w", "fit", "squared_hinge")},
+held AS (SELECT fold AS grp, y, w1 * x1 + w2 * x2 + w0 AS m FROM placed JOIN w ON w.grp = placed.fold),
+{sigmoid_ctes("ab", "held")}
+SELECT doc_id, split, y AS y_true, round(avg(1 / (1 + exp(-(a * (w1 * x1 + w2 * x2 + w0) + b)))), 6) AS y_score
+FROM shape, w JOIN ab USING (grp) WHERE split <> 'train' GROUP BY doc_id, split, y""")
+def platt_calibrate(spark, sf):
+    """Averaged calibrated scores of three folds, on two features of all documents."""
+    rows = _shape(spark, sf)
+    model = clf.train_calibrated_svc(rows.where("split = 'train'"), tol=1e-8)
+    return model.score(rows.where("split <> 'train'")).select("doc_id", "split", F.col("y").alias("y_true"), r6("y_score"))
 
 
-@query("platt_calibrate")
-def platt_calibrate(spark, sf):
+@query("calibrated_svc")
+def calibrated_svc(spark, sf):
+    """Calibrated scores of the linear SVM on TF-IDF."""
     f = _features(spark, sf)
     return _quality(f, matrix.score_model(f, "linearsvc"))
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from lexsieve.functions import fixed
-from lexsieve.plans.scale import global_index
+from lexsieve.operators.linear_solver import Solution, row_margins, solve_linear, sparse_rows
+from lexsieve.plans.scale import global_index, local_table, written
 
 
 def _probability(model, rows: DataFrame, code: int) -> DataFrame:
@@ -39,103 +40,153 @@ def train_logreg(train: DataFrame, code: int = 1, label: str = "y", c: float = 1
     return LinearModel(lr.fit(train), code)
 
 
-def train_svc(train: DataFrame, label: str = "y", c: float = 1.0, max_iter: int = 5000) -> LinearSVCModel:
-    """Linear SVM with hinge loss; its margins still need calibration."""
-    n = train.count()
-    svc = LinearSVC(labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=max_iter, tol=1e-4)
-    return svc.fit(train)
+def width_of(rows: DataFrame, features: str = "features") -> int:
+    """Length of the feature vectors, from one row."""
+    row = rows.select(features).first()
+    if row is None:
+        raise ValueError("no rows to fit on")
+    return len(row[0])
+
+
+@dataclass(frozen=True)
+class LinearSvc:
+    """Weights with the intercept last; margins still need calibration."""
+
+    solution: Solution
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("margin", self.solution.margins()[0])
+
+
+def train_svc(train: DataFrame, label: str = "y", c: float = 1.0, tol: float = 1e-4, max_scans: int = 1000) -> LinearSvc:
+    """Linear SVM with squared hinge loss, the intercept penalised like a weight of a constant feature."""
+    return LinearSvc(solve_linear(train, width_of(train), [(1, None)], label=label, c=c, tol=tol, max_scans=max_scans))
 
 
 def assign_folds(train: DataFrame, label: str, order: tuple[str, ...], folds: int = 3) -> DataFrame:
     """Contiguous folds within each class in the given order, sizes equal to within one row.
 
-    Uses the distributed row numbering: a class may hold most of the rows.
+    Only the label and the order are numbered (a class may hold most of the rows); the first rows of the folds, at most
+    ``folds`` for each class, come back as bounds that every row is compared with. Rows equal in all of ``order`` share a fold.
     """
-    numbered = global_index(train, [label, *order], "_row")
+    numbered = global_index(train.select(label, *order), [label, *order], "_row")
     spans = numbered.groupBy(label).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
     placed = numbered.join(F.broadcast(spans), label)  # one row per class
+
+    def fold_at(position: Column) -> Column:
+        return F.floor(position * folds / F.col("_size"))
+
     position = F.col("_row") - F.col("_first")
-    return placed.withColumn("fold", F.floor(position * folds / F.col("_size")).cast("int")).drop(
-        "_row", "_first", "_size")
+    bounds = placed.where((position > 0) & (fold_at(position) > fold_at(position - 1))).groupBy(label).agg(
+        F.collect_list(F.struct(*order, (fold_at(position) - fold_at(position - 1)).alias("_by"))).alias("_bounds"))
+    own = F.struct(*order)
+    passed = F.filter(F.coalesce("_bounds", F.array()), lambda b: F.struct(*[b[c] for c in order]) <= own)
+    return train.join(F.broadcast(bounds), label, "left").withColumn(
+        "fold", F.aggregate(passed, F.lit(0).cast("long"), lambda n, b: n + b["_by"]).cast("int")).drop("_bounds")
 
 
 @dataclass(frozen=True)
 class CalibratedSvc:
-    """Averaged sigmoid-calibrated margins, one entry per fold and per one-vs-rest class."""
+    """Averaged sigmoid-calibrated margins: a problem for each class and fold, its slope and its intercept."""
 
-    members: dict[int, list] = field(default_factory=dict)
+    solution: Solution
+    sigmoids: np.ndarray  # (problems, 2), classes outside and folds inside
+    classes: tuple[int, ...]
+    folds: int
     code: int = 1
 
     def score(self, rows: DataFrame) -> DataFrame:
-        keep = rows.columns
-        out, names = rows, {}
-        for cls, pairs in self.members.items():
-            names[cls] = []
-            for i, (svc, a, b) in enumerate(pairs):
-                raw, name = f"_raw_{cls}_{i}", f"_p_{cls}_{i}"
-                out = svc.copy({svc.rawPredictionCol: raw, svc.predictionCol: f"_d_{cls}_{i}"}).transform(out)
-                margin = vector_to_array(raw)[1]
-                out = out.withColumn(name, 1.0 / (1.0 + F.exp(-(a * margin + b))))
-                names[cls].append(F.col(name))
-        if len(self.members) == 1:  # binary: one column is the probability
-            (only,) = names.values()
-            score = sum(only[1:], only[0]) / len(only)
-        else:  # one-vs-rest: each fold normalizes its own class probabilities before averaging
-            per_fold = []
-            for i in range(len(names[self.code])):
-                mass = sum((names[c][i] for c in names), F.lit(0.0))
-                even = F.lit(1.0 / len(names))
-                per_fold.append(F.when(mass > 0, names[self.code][i] / mass).otherwise(even))
-            score = sum(per_fold[1:], per_fold[0]) / len(per_fold)
-        return out.select(*keep, score.alias("y_score"))
+        weights, (slope, shift) = self.solution.weights, self.sigmoids.T
+        n, folds, wanted = len(self.classes), self.folds, self.classes.index(self.code)
+
+        @F.arrow_udf("double")
+        def score_(vectors: pa.Array) -> pa.Array:
+            z = row_margins(*sparse_rows(vectors), weights) * slope + shift
+            p = np.exp(-np.logaddexp(0.0, -z)).reshape(-1, n, folds)
+            if n > 1:  # one-vs-rest: each fold normalizes its own class probabilities before averaging
+                mass = p.sum(axis=1, keepdims=True)
+                p = np.divide(p, mass, out=np.full_like(p, 1.0 / n), where=mass > 0)
+            return pa.array(p[:, wanted].mean(axis=1))
+
+        return rows.withColumn("y_score", score_("features"))
+
+
+def fit_sigmoids(margins: DataFrame, by: list[str], label: str = "y", margin: str = "margin", max_scans: int = 200) -> dict[tuple, tuple[float, float]]:
+    """Slope and intercept of Platt scaling with smoothed targets for every group of ``by``, all from the same scans.
+
+    Newton steps with halving; a scan adds up the loss, gradient and curvature of all groups at their trial points. Groups
+    are a report dimension (classes x folds), one row of sums each.
+    """
+    sizes = margins.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")).collect()
+    spark = margins.sparkSession
+    state = {tuple(r[c] for c in by): _Sigmoid(r["_p"], r["_n"]) for r in sizes}
+    for _ in range(max_scans):
+        open_ = {k: s for k, s in state.items() if not s.done}
+        if not open_:
+            break
+        keys = list(open_)
+        trial = local_table(spark, **{c: [k[i] for k in keys] for i, c in enumerate(by)}, _high=[open_[k].high for k in keys], _low=[open_[k].low for k in keys],
+                            _a=[open_[k].trial[0] for k in keys], _b=[open_[k].trial[1] for k in keys])
+        m, target = F.col(margin), F.when(F.col(label) == 1, F.col("_high")).otherwise(F.col("_low"))
+        z = F.col("_a") * m + F.col("_b")
+        p = 1.0 / (1.0 + F.exp(-z))
+        sums = margins.join(F.broadcast(trial), by).select(*by, m.alias("m"), (p - target).alias("d"), (p * (1.0 - p)).alias("h"),
+                                                         (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - target * z).alias("f"))
+        found = sums.groupBy(*by).agg(F.sum("f").alias("f"), F.sum(F.col("d") * F.col("m")).alias("ga"), F.sum("d").alias("gb"),
+                                      F.sum(F.col("h") * F.col("m") * F.col("m")).alias("haa"), F.sum(F.col("h") * F.col("m")).alias("hab"), F.sum("h").alias("hbb"))
+        for r in found.collect():
+            open_[tuple(r[c] for c in by)].saw(r["f"], np.array([r["ga"], r["gb"]]), np.array([[r["haa"], r["hab"]], [r["hab"], r["hbb"]]]))
+    return {k: (float(s.at[0]), float(s.at[1])) for k, s in state.items()}
+
+
+class _Sigmoid:
+    """Newton state of one group; p and n are its positive and negative rows."""
+
+    def __init__(self, p: int, n: int) -> None:
+        self.high, self.low = (p + 1.0) / (p + 2.0), 1.0 / (n + 2.0)
+        self.at = np.array([0.0, np.log((p + 1.0) / (n + 1.0))])
+        self.value, self.step, self.way, self.slope, self.done = np.inf, 1.0, np.zeros(2), 0.0, p + n == 0
+
+    @property
+    def trial(self) -> np.ndarray:
+        return self.at + self.step * self.way
+
+    def saw(self, value: float, gradient: np.ndarray, curve: np.ndarray) -> None:
+        if value > self.value + 1e-4 * self.step * self.slope + 1e-12 * abs(self.value):
+            self.step /= 2
+            self.done = self.step < 1e-10
+            return
+        self.at, self.value, self.step = self.trial, value, 1.0
+        self.way = -np.linalg.solve(curve + 1e-12 * np.eye(2), gradient)
+        self.slope = float(gradient @ self.way)
+        self.done = np.abs(gradient).max() < 1e-9 * max(1.0, abs(value)) or np.abs(self.way).max() < 1e-12 * max(1.0, np.abs(self.at).max())
 
 
 def fit_sigmoid(margins: DataFrame, label: str = "y", margin: str = "margin") -> tuple[float, float]:
-    """Slope and intercept of Platt scaling with smoothed targets.
+    """Slope and intercept of Platt scaling of one column of margins."""
+    found = fit_sigmoids(margins.withColumn("_all", F.lit(0)), ["_all"], label, margin)
+    if not found:
+        raise ValueError("no margins to calibrate")
+    return found[0,]
+
+
+def train_calibrated_svc(train: DataFrame, classes: int = 2, code: int = 1, label: str = "y", order: tuple[str, ...] = ("date", "link"),
+                         c: float = 1.0, folds: int = 3, tol: float = 1e-4, max_scans: int = 1000) -> CalibratedSvc:
+    """Linear SVM per class and fold, calibrated on the fold left out; one-vs-rest beyond two classes.
 
-    A fractional target t becomes two weighted rows, t for class 1 and 1 - t for class 0, which an
-    unpenalized logistic regression fits exactly.
+    All SVMs share their scans, and all sigmoids theirs.
     """
-    sizes = margins.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    high, low = (sizes["p"] + 1.0) / (sizes["p"] + 2.0), 1.0 / (sizes["n"] + 2.0)
-    target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
-    rows = margins.select(
-        array_to_vector(F.array(margin)).alias("features"),
-        F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")),
-                          F.struct(F.lit(0.0).alias("y"), (1.0 - target).alias("w")))).alias("r"),
-    ).select("features", "r.y", "r.w")
-    model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, standardization=False,
-                               maxIter=1000, tol=1e-9).fit(rows)
-    return float(model.coefficients[0]), float(model.intercept)
-
-
-def train_calibrated_svc(train: DataFrame, classes: int = 2, code: int = 1, label: str = "y",
-                         order: tuple[str, ...] = ("date", "link"), c: float = 1.0, folds: int = 3,
-                         max_iter: int = 5000, parallelism: int = 3) -> CalibratedSvc:
-    """Linear SVM per fold, calibrated on the fold left out; one-vs-rest beyond two classes."""
-    folded = assign_folds(train, label, order, folds).persist()
-    try:
-        targets = [code] if classes == 2 else list(range(classes))
-
-        def fit_member(job: tuple[int, int]) -> tuple:
-            cls, f = job
-            is_cls = (F.col(label) == cls).cast("double")
-            fit = folded.where(F.col("fold") != f).withColumn("_y", is_cls)
-            svc = train_svc(fit, "_y", c, max_iter)
-            held = svc.transform(folded.where(F.col("fold") == f).withColumn("_y", is_cls)).select(
-                F.col("_y").alias("y"), vector_to_array("rawPrediction")[1].alias("margin"))
-            return (svc, *fit_sigmoid(held))
-
-        jobs = [(cls, f) for cls in targets for f in range(folds)]
-        # independent fits share the cached folds; a few are submitted side by side
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            fitted = list(pool.map(inheritable_thread_target(folded.sparkSession)(fit_member), jobs))
-        members: dict[int, list] = {cls: [] for cls in targets}
-        for (cls, _), member in zip(jobs, fitted):
-            members[cls].append(member)
-    finally:
-        folded.unpersist()
-    return CalibratedSvc(members, code)
+    folded = assign_folds(train, label, order, folds)
+    targets = [code] if classes == 2 else list(range(classes))
+    jobs = [(cls, f) for cls in targets for f in range(folds)]
+    solution = solve_linear(folded, width_of(train), jobs, label=label, fold="fold", c=c, tol=tol, max_scans=max_scans)
+    held = written(folded.select(F.col(label).alias("_label"), "fold", solution.margins().alias("_m")).select(
+        "_label", "fold", F.posexplode("_m").alias("problem", "margin")).where(F.col("problem") % folds == F.col("fold")).select(
+        F.col("problem").cast("long"), (F.element_at(F.array(*map(F.lit, targets)), F.floor(F.col("problem") / folds).cast("int") + 1) == F.col("_label")).cast("int").alias("y"), "margin"), "margins")
+    found = fit_sigmoids(held, ["problem"])
+    # a fold without rows (fewer rows than folds) has no margins: its sigmoid stays at even odds
+    sigmoids = np.array([found.get((k,), (0.0, 0.0)) for k in range(len(jobs))])
+    return CalibratedSvc(solution, sigmoids, tuple(targets), folds, code)
 
 
 @dataclass(frozen=True)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexsieve.operators.linear_solver import logistic, solve_linear
+
 
 def paired_scores(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """y_true and both scores on the rows two runs share; differing truth raises."""
@@ -35,15 +35,17 @@ def soft_vote(pair: DataFrame) -> DataFrame:
 
 
 def stack(pair: DataFrame, split: str = "split") -> DataFrame:
-    """Logistic meta-model on the two scores, fitted on val, applied to the other rows."""
-    assembled = VectorAssembler(inputCols=["score_a", "score_b"], outputCol="features").transform(pair)
-    val = assembled.where(F.col(split) == "val")
-    n = val.count()
-    if n == 0:
+    """Logistic meta-model on the two scores, fitted on val, applied to the other rows.
+
+    Penalty 1/2 on the squared weights of the sum of losses, intercept free, solved by Newton steps.
+    """
+    val = pair.where(F.col(split) == "val").select("y_true", array_to_vector(F.array("score_a", "score_b")).alias("features"))
+    if val.isEmpty():
         raise ValueError("stacking needs validation rows")
-    model = LogisticRegression(labelCol="y_true", regParam=1.0 / n, standardization=False, maxIter=1000).fit(val)
-    scored = model.transform(assembled.where(F.col(split) != "val"))
-    return scored.withColumn("y_score", vector_to_array("probability")[1]).select(*pair.columns, "y_score")
+    fitted = solve_linear(val, 2, [(1, None)], label="y_true", loss=logistic, penalise_intercept=False, tol=1e-9)
+    a, b, shift = (float(w) for w in fitted.weights[:, 0])
+    z = a * F.col("score_a") + b * F.col("score_b") + shift
+    return pair.where(F.col(split) != "val").withColumn("y_score", 1.0 / (1.0 + F.exp(-z)))
 
 
 def error_samples(scored: DataFrame, k: int, key: str) -> DataFrame:

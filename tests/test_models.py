@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from lexsieve.operators import classifiers as clf
+from lexsieve.operators import linear_solver as solver
 from lexsieve.operators import naive_bayes as nb
 from lexsieve.operators import ranking
 from lexsieve.plans import matrix
@@ -93,8 +94,8 @@ def test_calibrated_svc_scores_are_probabilities_and_repeatable(toy):
     folded = clf.assign_folds(train, "y", ("link",))
     sizes = {(r["y"], r["fold"]): r["count"] for r in folded.groupBy("y", "fold").count().collect()}
     assert {sizes[1, f] for f in range(3)} <= {13, 14} and {sizes[0, f] for f in range(3)} == {20}
-    one = {r["i"]: r["y_score"] for r in clf.train_calibrated_svc(train, order=("link",), max_iter=50).score(train).collect()}
-    two = {r["i"]: r["y_score"] for r in clf.train_calibrated_svc(train, order=("link",), max_iter=50).score(train).collect()}
+    one = {r["i"]: r["y_score"] for r in clf.train_calibrated_svc(train, order=("link",)).score(train).collect()}
+    two = {r["i"]: r["y_score"] for r in clf.train_calibrated_svc(train, order=("link",)).score(train).collect()}
     assert all(0 <= p <= 1 for p in one.values()) and one == pytest.approx(two)
     assert np.mean([one[i] for i in range(40)]) > np.mean([one[i] for i in range(40, 100)]) + 0.3
 
@@ -114,6 +115,84 @@ def test_platt_scaling_matches_newton(spark):
     assert (a, b) == pytest.approx(tuple(theta), abs=1e-4)
 
 
+def dense_optimum(x, y, loss, c, penalise_intercept):
+    """Weights by damped Newton steps on the whole matrix."""
+    design = np.hstack([x, np.ones((len(x), 1))])
+    sign = np.where(y, 1.0, -1.0)
+    penalty = np.append(np.ones(x.shape[1]), float(penalise_intercept))
+    w = np.zeros(design.shape[1])
+
+    def parts(w):
+        z = sign * (design @ w)
+        if loss is solver.squared_hinge:
+            short = np.maximum(0, 1 - z)
+            return 0.5 * penalty @ (w * w) + c * (short ** 2).sum(), penalty * w - 2 * c * design.T @ (sign * short), 2 * c * (short > 0)
+        p = 1 / (1 + np.exp(-z))
+        return 0.5 * penalty @ (w * w) + c * np.logaddexp(0, -z).sum(), penalty * w - c * design.T @ (sign * (1 - p)), c * p * (1 - p)
+
+    for _ in range(200):
+        f, g, h = parts(w)
+        way = -np.linalg.solve(design.T @ (design * h[:, None]) + np.diag(penalty) + 1e-12 * np.eye(len(w)), g)
+        step = 1.0
+        while parts(w + step * way)[0] > f + 1e-4 * step * g @ way and step > 1e-9:
+            step /= 2
+        w = w + step * way
+    return w
+
+
+@pytest.mark.parametrize("loss, penalised, memory", [
+    (solver.squared_hinge, True, None), (solver.logistic, False, None),  # second derivatives fit
+    (solver.squared_hinge, True, 5), (solver.logistic, False, 9)])  # five problems at a time, all at once
+def test_problems_solved_together_equal_dense_newton(toy, monkeypatch, loss, penalised, memory):
+    x, _, df, _ = toy
+    if memory:
+        monkeypatch.setattr(solver, "WEIGHT_BYTES", 8 * 21 * memory)
+    codes = np.arange(100) % 3 * (x[:, 0] > 1)
+    rows = df.withColumn("cls", F.when(F.element_at("a", 1) > 1, F.col("i") % 3).otherwise(0)).withColumn("fold", F.col("i") % 2)
+    problems = [(cls, f) for cls in range(3) for f in (None, 0, 1)]
+    found = solver.solve_linear(rows.repartition(3), 20, problems, label="cls", fold="fold", loss=loss, c=0.5, penalise_intercept=penalised, tol=1e-5)
+    assert found.converged.all() and found.largest_gradient.max() <= 1e-5 and (memory or found.scans < 20)
+    for k, (cls, f) in enumerate(problems):
+        used = np.ones(100, bool) if f is None else np.arange(100) % 2 != f
+        want = dense_optimum(x[used], codes[used] == cls, loss, 0.5, penalised)
+        assert np.allclose(found.weights[:, k], want, atol=1e-5)
+    got = {r["i"]: r["m"] for r in rows.select("i", found.margins().alias("m")).collect()}
+    assert np.allclose(np.array([got[i] for i in range(100)]), np.hstack([x, np.ones((100, 1))]) @ found.weights)
+
+
+def test_sparse_dense_and_empty_vectors_are_one_kind(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.sparse(4, [1, 3], [2.0, -1.0]), 1), (Vectors.dense([0, 2.0, 0, -1.0]), 1), (Vectors.sparse(4, [], []), 0), (Vectors.dense([1.0, 0, 0, 3.0]), 0)]
+    frame = spark.createDataFrame(rows * 3, ["features", "y"]).coalesce(1)
+    found = solver.solve_linear(frame, 4, [(1, None)], tol=1e-9)
+    want = dense_optimum(np.array([v.toArray() for v, _ in rows * 3]), np.array([y for _, y in rows * 3]), solver.squared_hinge, 1.0, True)
+    assert np.allclose(found.weights[:, 0], want, atol=1e-8)
+    nothing = solver.solve_linear(frame.where("y > 5"), 4, [(1, None)])
+    assert not nothing.weights.any()
+
+
+def test_folds_do_not_move_vectors_and_keep_equal_rows_together(spark):
+    frame = spark.createDataFrame([(i // 2, i % 7 == 0, [0.5] * 3) for i in range(100)], "k int, y boolean, features array<double>")
+    folded = clf.assign_folds(frame, "y", ("k",), 4)
+    by_key = {}
+    for r in folded.collect():
+        by_key.setdefault((r["y"], r["k"]), set()).add(r["fold"])
+    assert all(len(f) == 1 for f in by_key.values())
+    sizes = folded.groupBy("y", "fold").count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes if not r["y"]) <= 24
+    assert "features" not in str(folded._jdf.queryExecution().optimizedPlan()).split("Join")[-1].split("fold")[-1]
+
+
+def test_sigmoids_of_all_groups_equal_single_fits(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, int(rng.random() < 1 / (1 + np.exp(-(g - 1) * m - 0.3))), float(m)) for g in range(4) for m in rng.normal(size=50) * 3]
+    frame = spark.createDataFrame(rows, "g int, y int, margin double")
+    found = clf.fit_sigmoids(frame, ["g"])
+    for g in range(4):
+        assert found[g,] == pytest.approx(clf.fit_sigmoid(frame.where(F.col("g") == g)), abs=1e-7)
+
+
 def test_matrix_runs_and_leakage(articles):
     scheme = "top7_plus_other"
     features = matrix.build_features(articles, "tfidf", min_df=1)
