@@ -13,7 +13,8 @@ only text features (length, links, punctuation, headings, place), so it also jud
 
 Edge cases: null and empty pages have no text; comments, scripts, styles and other raw elements are never text;
 unclosed and crossed tags are closed as browsers do; repeated pages and null ids are extracted like any other
-row; long pages are cut whole; without seeds of both kinds the classifier is neutral and the markup decides; extra
+row; long pages are cut whole, in one pass over their characters (an unclosed quote ends the meaning of quotes, a < that
+nothing closes is text); without seeds of both kinds the classifier leans to content slightly and the markup decides; extra
 columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,9 +57,12 @@ OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "login signup pagination pager toolbar copyright legal disclaimer".split())
 #: Evidence of a word of OTHER_WORDS, once for all elements above a block; the classifier and neighbours can outvote it.
 WORD_EVIDENCE = -2.0
+#: Evidence of elements and roles that hold boilerplate, and of hidden elements, which nothing below undoes.
+OTHER_EVIDENCE, HIDDEN = -8.0, -16.0
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -68,12 +73,39 @@ class Element:
     number: int
     depth: int
     evidence: float
+    up: "Element | None"  # the element around it
+    level: int = 0  # block-level elements from the root to here
+    holder: "Element | None" = None  # the nearest block-level element, itself included
+
+    def __post_init__(self) -> None:
+        above = self.up.holder if self.up else None
+        self.holder = above if self.tag in INLINE and above else self
+        self.level = (above.level if above else 0) + (self.holder is self)
+
+    @property
+    def around(self) -> "Element | None":
+        """The block-level element around the holder."""
+        above = self.holder.up
+        return above.holder if above else None
+
+
+def apart(a: Element, b: Element) -> int:
+    """Steps between two block-level elements in the tree."""
+    steps = 0
+    while a is not b:
+        if a.level >= b.level:
+            a, steps = a.around, steps + 1
+        else:
+            b, steps = b.around, steps + 1
+        if a is None or b is None:
+            return steps
+    return steps
 
 
 @dataclass
 class Block:
-    parent: Element
-    path: tuple[int, ...]
+    holder: Element
+    evidence: float
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -82,38 +114,82 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+class Tags:
+    """Tags of a page from left to right, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes, self.last = page, True, page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends a tag; one in quotes does not, unless the page ends before the quote."""
+        if self.quotes:
+            stop = _STOP.search(self.page, at)
+            while stop and stop[0] != ">":
+                close = self.page.find(stop[0], stop.end())
+                stop = _STOP.search(self.page, close + 1) if close >= 0 else None
+            if stop:
+                return stop.start()
+            self.quotes = False  # an unclosed quote: from here on quotes are plain characters
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag or comment; the name of anything but elements is empty."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= len(page):
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if start > self.last:
+                return None  # nothing ends a tag any more: text
+            closing = page[start + 1] == "/"
+            name = _NAME.match(page, start + 1 + closing)
+            if name:
+                end = self._end(name.end())
+                return start, end + 1, closing, name[0], page[name.end():end]
+            if page[start + 1] in "!?/":
+                return start, page.find(">", start) + 1, False, "", ""
+            at = start + 1
+
+
 def evidence_of(tag: str, attributes: str, above: float) -> float:
     """What an element says about the text below it: over 0 content, under 0 boilerplate; boilerplate is inherited.
 
-    Names of classes and ids are weaker than elements, roles and hiding: <main> undoes a name above it, <article> outweighs it.
+    <article> and <main> below a form, a wrapper with a role or a name start anew, weaker than elsewhere; only what is hidden
+    stays so. A <header> inside content holds its title and says nothing of its own.
     """
-    named = WORD_EVIDENCE <= above < 0
-    if named and tag == "main":
-        above, named = 0.0, False
+    if above <= HIDDEN:
+        return above
     own = 3.0 if tag in CONTENT_TAGS else 0.0
-    if tag in OTHER_TAGS:
-        own = -8.0
+    if tag in OTHER_TAGS and not (tag == "header" and above > 0):
+        own = OTHER_EVIDENCE
     if attributes and not attributes.isspace():
         told = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         words = {w.lower() for w in _WORDS.findall(told.get("class", "") + " " + told.get("id", ""))}
         style = told.get("style", "").replace(" ", "").lower()
-        if told.get("role", "").lower() in OTHER_ROLES or "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in style:
-            own = -8.0
-        elif words & OTHER_WORDS and tag not in ("html", "body", "main") and not (words & CONTENT_WORDS and tag in CONTENT_TAGS and not named):
+        if "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in style:
+            return HIDDEN
+        if told.get("role", "").lower() in OTHER_ROLES:
+            own = OTHER_EVIDENCE
+        elif words & OTHER_WORDS and tag not in ("html", "body", "main") and not (
+                words & CONTENT_WORDS and tag in CONTENT_TAGS and not above < 0) and not (tag == "header" and above > 0):
             own = min(own, WORD_EVIDENCE)
         elif (words & CONTENT_WORDS or told.get("role") == "main") and own == 0:
             own = 1.5
-    if named and own == 3.0:
-        return own + above
+    if own == 3.0 and above < 0:
+        return 3.0 if tag == "main" and above >= WORD_EVIDENCE else 3.0 + max(above, WORD_EVIDENCE)
     return min(own, above) if own < 0 else own if above >= 0 and own > above else above
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    root = Element("", 0, 0, 0.0)
-    stack, numbers, blocks = [root], 1, []
+    root = Element("", 0, 0, 0.0, None)
+    stack, numbers, blocks, tags = [root], 1, [], Tags(page)
     current: Block | None = None
-    links, at, n = 0, 0, len(page)
+    opened: Counter[str] = Counter()
+    at, n = 0, len(page)
 
     def add(raw: str) -> None:
         nonlocal current
@@ -122,29 +198,28 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            holders = [e for e in stack if e.tag not in INLINE]
-            current = Block(holders[-1], tuple(e.number for e in holders), any(re.fullmatch("h[1-6]", e.tag) for e in holders[-2:]))
-            current.parent = Element(holders[-1].tag, holders[-1].number, len(holders), stack[-1].evidence)
+            holder = stack[-1].holder
+            near = (holder.tag, holder.around.tag if holder.around else "")
+            current = Block(holder, stack[-1].evidence, any(_HEADING.fullmatch(t) for t in near))
             blocks.append(current)
         said = html.unescape(raw)
         current.parts.append(said)
-        if links:
+        if opened["a"]:
             current.linked += len(said)
 
     def leave(to: int) -> None:
-        nonlocal links
         for e in stack[to:]:
-            links -= e.tag == "a"
+            opened[e.tag] -= 1
         del stack[to:]
 
     while at < n:
-        found = _TAG.search(page, at)
+        found = tags.after(at)
         if found is None:
             add(page[at:])
             break
-        add(page[at:found.start()])
-        at = found.end()
-        close, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        start, end, close, tag, attributes = found
+        add(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
@@ -154,32 +229,37 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             current = None
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    leave(k)
-                    break
+            if opened[tag]:  # what lies above it is closed as well
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                leave(k)
             continue
         if tag in RAW:
             if not attributes.endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                over = re.compile(rf"</{tag}\b", re.I).search(page, at)
+                end = page.find(">", over.end()) if over else -1
+                at = end + 1 if end >= 0 else n
             continue
         shut = CLOSES_SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        if shut:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut:
-                    leave(k)
+        if any(opened[t] for t in shut):
+            holder = stack[-1].holder
+            while holder is not None and holder is not root:
+                if holder.tag in shut:
+                    leave(holder.depth)
                     break
-                if stack[k].tag not in INLINE and stack[k].tag not in ("td", "th"):
+                if holder.tag not in ("td", "th"):
                     break
+                holder = holder.around
         if tag not in VOID:
-            above = stack[-1].evidence
-            stack.append(Element(tag, numbers, len(stack), evidence_of(tag, attributes, above)))
+            above = stack[-1]
+            stack.append(Element(tag, numbers, len(stack), evidence_of(tag, attributes, above.evidence), above))
+            opened[tag] += 1
             numbers += 1
-            links += tag == "a"
     return [b for b in blocks if b.text()]
 
 
+_HEADING = re.compile("h[1-6]")
 FEATURES = 8
 
 
@@ -194,6 +274,11 @@ def features_of(blocks: list[Block], texts: list[str]) -> np.ndarray:
     return out
 
 
+def neutral() -> np.ndarray:
+    """Weights without seeds: the same slight lean to content for every block, so that the markup decides."""
+    return np.where(np.arange(FEATURES) == 0, 0.1, 0.0)
+
+
 def train_blocks(pages: DataFrame, *, key: str = "page_id", page: str = "html", max_pages: int = TRAIN_PAGES) -> np.ndarray:
     """Weights of the block classifier, from the seeds of a bounded sample of pages."""
     known = pages.where(F.col(key).isNotNull())
@@ -205,7 +290,7 @@ def train_blocks(pages: DataFrame, *, key: str = "page_id", page: str = "html",
             for text in batch.column(0).to_pylist():
                 blocks = blocks_of(text or "")
                 rows = features_of(blocks, [b.text() for b in blocks])
-                told = np.array([b.parent.evidence for b in blocks])
+                told = np.array([b.evidence for b in blocks])
                 # each page tells the mean of its seeds, so long pages do not outvote the others
                 # names of classes are seeds only beside content that no name is above
                 most = WORD_EVIDENCE if (told >= 3).any() else -3
@@ -218,7 +303,7 @@ def train_blocks(pages: DataFrame, *, key: str = "page_id", page: str = "html",
     table = sample.mapInArrow(seeds, "y long, x array<double>").toArrow()
     found = [(y, np.array(x).reshape(-1, FEATURES)) for y, x in zip(table["y"].to_pylist(), table["x"].to_pylist(), strict=True)]
     if len({y for y, _ in found}) < 2:
-        return np.zeros(FEATURES)
+        return neutral()
     x = np.concatenate([r for _, r in found])
     y = np.concatenate([np.full(len(r), float(k)) for k, r in found])
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -296,16 +381,13 @@ def main_text(page: str, weights: np.ndarray, order: float = 0.4, kin: float = 0
     if not blocks:
         return ""
     texts = [b.text() for b in blocks]
-    told = np.array([b.parent.evidence for b in blocks])
+    told = np.array([b.evidence for b in blocks])
     chance = sigmoid(features_of(blocks, texts) @ weights + 2.0 * told)
     edges, last_child = [], {}
     for i, block in enumerate(blocks):
         if i:
-            before = blocks[i - 1].path
-            shared = sum(1 for a, b in zip(before, block.path, strict=False) if a == b)
-            apart = len(before) + len(block.path) - 2 * shared
-            edges.append((i - 1, i, order / (1 + apart)))
-        holder = block.path[-2:-1]
+            edges.append((i - 1, i, order / (1 + apart(blocks[i - 1].holder, block.holder))))
+        holder = block.holder.around.number if block.holder.around else -1
         if holder in last_child:
             edges.append((last_child[holder], i, kin / 2))
         last_child[holder] = i

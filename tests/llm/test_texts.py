@@ -4,6 +4,7 @@ import hashlib
 import html as html_lib
 import random
 import re
+import time
 from itertools import product
 
 import duckdb
@@ -233,3 +234,33 @@ def test_one_class_word_of_a_wrapper_can_be_outvoted(wrapper):
     page = f"<div class='{wrapper}'><p>First, quite long: text. It goes on, and on.</p><p>More</p></div>"
     assert html_cut.main_text(page, sure).startswith("First, quite long") and html_cut.main_text(page, NEUTRAL) == ""
     assert html_cut.main_text(f"<nav>{page}</nav>", sure) == ""
+
+
+@pytest.mark.parametrize("page", [
+    "a <b c " * 150_000, "a <b c " * 60_000 + ">", "<div>word, text here. " * 50_000, "<div>" * 50_000 + "text", "<a \"x> t " * 60_000, "<a '\" > t " * 60_000,
+    "<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000 + "x", "<div>" * 50_000 + "</x>" * 50_000, "<script>x" + "</script " * 60_000, "<!--" * 100_000,
+    "<td>" * 30_000 + "<p>" * 30_000])
+def test_odd_long_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_cut.main_text(page, html_cut.neutral())
+    assert time.perf_counter() - start < 5
+
+
+def test_article_and_main_outweigh_what_is_around_them():
+    cut = lambda page: html_cut.main_text(page, html_cut.neutral())
+    body = "<p>Some longer text, of many words. And more of it.</p>"
+    text = "Some longer text, of many words. And more of it."
+    assert cut(f"<form id=aspnetForm><nav>a b</nav><main><article><h1>Title</h1>{body}</article></main></form>") == "Title\n\n" + text
+    assert cut(f"<header>Site</header><article><header><h1>Title</h1></header>{body}</article><footer>end</footer>") == "Title\n\n" + text
+    assert cut(f"<div role=dialog><main>{body}</main></div>") == text
+    assert cut(f"<div class='content-sidebar-wrap'><main class=content>{body}</main><aside>side</aside></div>") == text
+    assert cut(f"<div hidden><article>{body}</article></div><p>Plain, open text.</p>") == "Plain, open text."
+    assert cut(body) == text and cut("1 < 2 and a <b") == "1 < 2 and a <b"
+    assert cut(f"<article>{body}<form>Your name</form><section class=comments><p>I disagree, said a reader.</p></section></article>") == text
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "u", "<p>One, two words here.</p>", "x", 2.0), (1, "u", "<p>One, two words here.</p>", "x", 2.0), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, page string, text double")
+    found = html_cut.extract_text(pages, html_cut.train_blocks(pages)).collect()
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in found) == [("1", "One, two words here.", 20)] * 2 + [("None", "", 0)]
