@@ -99,24 +99,28 @@ def op8_nnpu_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def _license_sql() -> str:
     """The scan in SQL: words joined by spaces, places by comparing neighbours, templates as regular expressions."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    spots, base, found = [], [], []
+    spots, base = [], []
     for phrase, label in licenses.PHRASES.items():
         parts = phrase.split()
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         spots.append(f"list_filter(range(1, len(w) + 1), lambda i: {same})")
         base.append(f"CASE WHEN regexp_matches(s, ' {phrase} ') THEN ['{label}'] ELSE [] END")
-    for label, group in licenses.TEMPLATES.items():
-        hit = " OR ".join(f"regexp_matches(s, ' {licenses.template_pattern(t)}')" for t in group)
-        found.append(f"CASE WHEN {hit} THEN ['{label}'] ELSE [] END")
+    hit = lambda template: f"regexp_matches(s, ' {licenses.template_pattern(template)}')"
+    anyof = lambda group: " OR ".join(map(hit, group))
+    notices = [f"CASE WHEN {hit(t)} THEN ['{label}'] ELSE [] END" for label, (_, t) in licenses.NOTICES.items()]
+    families = [f"CASE WHEN {hit(t)} THEN ['{family}'] ELSE [] END" for family, t in licenses.NOTICES.values()]
+    said = [f"CASE WHEN {anyof(g)} THEN ['{label}'] ELSE [] END" for label, g in licenses.STATEMENTS.items()]
+    opened = [f"CASE WHEN {anyof(g)} THEN ['{label}'] ELSE [] END" for label, g in licenses.OPENINGS.items()]
     flat = lambda lists: "flatten([" + ", ".join(lists) + "])"
     return f"""
 WITH cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 line AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM cut),
-hits AS (SELECT doc_id, len(w) AS n_words, {flat(spots)} AS p, {flat(base)} AS b, {flat(found)} AS m FROM line)
+told AS (SELECT doc_id, len(w) AS n_words, {flat(spots)} AS p, {flat(base)} AS b, {flat(notices + said)} AS m, {flat(families)} AS f, {flat(opened)} AS o FROM line),
+hits AS (SELECT *, list_filter(o, lambda x: NOT list_contains(f, x)) AS q FROM told)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(b)), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(b, m))), ','), '') AS labels,
-  CASE WHEN len(m) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+  coalesce(array_to_string(list_sort(list_distinct(flatten([b, m, q]))), ','), '') AS labels,
+  CASE WHEN len(m) > 0 THEN 1.0 WHEN len(o) > 0 THEN 0.75 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM hits"""
 
 

@@ -136,7 +136,7 @@ def test_license_scan(spark, edge_docs, no_docs):
     assert found[0] == (5, 1, 3, 3, "mit", "mit", 1.0) and found[1] == (3, 1, 1, 1, "mit", "mit", 0.5)
     assert found[2] == (12, 3, 3, 10, "apache,mit", "apache,mit", 1.0) and found[3] == (7, 0, None, None, "", "cc-by-nc", 1.0)
     assert found[4] == (12, 1, 7, 7, "gpl", "gpl", 1.0) and found[5][1:] == (0, None, None, "", "", 0.0) == found[6][1:]
-    assert found[7][5:] == ("mit", 1.0) and found[8][5:] == ("", 0.0)
+    assert found[7][5:] == ("mit", 0.75) and found[8][5:] == ("", 0.0)  # an opening alone is the weaker level
     rows = licenses.scan_licenses(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all((r["first_word"] is None) == (r["n_base"] == 0) for r in rows)
     assert licenses.scan_licenses(no_docs).count() == 0
@@ -144,6 +144,83 @@ def test_license_scan(spark, edge_docs, no_docs):
         licenses.compiled("a [b")
 
 
+# Public license texts as they are published.
+MIT = """Copyright (c) 2020 Ann Lee
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""
+MIT_0 = re.sub(r", subject to the.*?portions of the Software\.", ".", MIT, flags=re.S)
+ISC = """Copyright 2021 Bo
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZERO_BSD = re.sub(r", provided that.*?all copies\.", ".", ISC, flags=re.S)
+BSD_3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+BSD_2 = re.sub(r"3\. Neither.*?permission\.\n\n", "", BSD_3, flags=re.S)
+BSD_4 = BSD_3.replace("3. Neither", """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+This product includes software developed by the Example Project.
+
+4. Neither""")
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+LGPL = GPL.replace("General Public", "Lesser General Public").replace("This program", "This library")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You
+can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_whole_notices_are_told_apart_and_one_altered_word_loses_them(spark):
+    whole = {"mit": MIT, "mit-0": MIT_0, "isc": ISC, "0bsd": ZERO_BSD, "bsd-2-clause": BSD_2, "bsd-3-clause": BSD_3, "bsd-4-clause": BSD_4,
+             "apache-2.0": APACHE, "gpl-notice": GPL, "lgpl-notice": LGPL, "mpl-2.0": MPL}
+    altered = {"mit": "substantial", "mit-0": "furnished", "isc": "appear", "0bsd": "PERFORMANCE", "bsd-2-clause": "retain", "bsd-3-clause": "endorse",
+               "bsd-4-clause": "acknowledgement", "apache-2.0": "governing", "gpl-notice": "useful", "lgpl-notice": "useful", "mpl-2.0": "obtain"}
+    texts = ["// header\n" + t + "\nint main() {}" for t in whole.values()] + [whole[n].replace(w, "paid", 1) for n, w in altered.items()]
+    found = [r for r in sorted(licenses.scan_licenses(spark.createDataFrame(rows_of(texts), SCHEMA)).collect(), key=lambda r: r["doc_id"])]
+    for r, name in zip(found, whole):
+        assert set(r["labels"].split(",")) - {"apache", "gpl"} == {name} and r["score"] == 1.0, (name, r["labels"])
+    for r, name in zip(found[len(whole):], altered):
+        assert name not in r["labels"].split(",") or (name, r["score"]) in {("mit", 0.75), ("isc", 0.75)}, (name, r["labels"])
+        family = licenses.NOTICES[name][0]
+        assert family in r["labels"].split(","), (name, r["labels"])
+    assert all(r["score"] <= 0.75 for r, name in zip(found[len(whole):], altered) if name != "apache-2.0")
+
+
 def test_templates_get_typed_slots():
     data, offsets = rolling.text_buffer(pa.array(["Yesterday Anna Smith drove 1,250.5 km in 3 hours. Bob ran ten m."]))
     words, kind, _ = decontaminate.canonical(data, offsets)
