@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexsieve.llm import rolling
 from lexsieve.llm.graph import components
@@ -212,17 +213,12 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(work, "node long, links long, label long")
 
 
-def jaccard_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS,
-                    threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-                    target_recall: float = TARGET_RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of each row.
+def classed_rows(known: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
+                 target_recall: float = TARGET_RECALL) -> DataFrame:
+    """(doc_id, node, root, class_id, n_links, n_copies) of each row of (doc_id, text) with non-null ids.
 
-    class_id is the smallest id of the documents joined by links or equal word sequences, n_links the number
-    of different texts of similarity `threshold` or more, n_copies the rows with the same word sequence.
+    node stands for the word sequence and root for the class; class_id is the smallest id of the class.
     """
-    spark = documents.sparkSession
-    texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = spread(texts.where("doc_id is not null"), "doc_id")
     prefix = matched_depth(threshold, trees, depth, target_recall)
     rows = written(signed(known, size, trees, prefix), "forest")
 
@@ -256,16 +252,54 @@ def jaccard_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "t
         "node", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed")
     least = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = placed.join(least, "root").select("node", "class_id", "n_links", "n_copies")
-    out = rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    named = placed.join(least, "root").select("node", "root", "class_id", "n_links", "n_copies")
+    return rows.select("doc_id", "node").join(named, "node")
+
+
+def jaccard_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of each row.
+
+    class_id is the smallest id of the documents joined by links or equal word sequences, n_links the number
+    of different texts of similarity `threshold` or more, n_copies the rows with the same word sequence.
+    """
+    texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = classed_rows(spread(texts.where("doc_id is not null"), "doc_id"), **options).select("doc_id", "class_id", "n_links", "n_copies")
     nameless = texts.where("doc_id is null").select(
         "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(nameless)
 
 
-def one_of_each_class(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is the smallest of their class, with their own columns; rows without an id stay."""
-    classes = jaccard_classes(documents, key=key, **options).where("doc_id is not null")
-    gone = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first")).where("not first")
-    gone = written(gone.select(F.col("doc_id").alias(key)), "later")
-    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, key, "left_anti").select(*documents.columns)
+def _with_node(documents: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with the node of their text in a further column."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in rolling.slices(batch, text):
+                words = rolling.cut_words(rolling.LOWER[data], offsets, rolling.LOWER_ALNUM)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(words, data, offsets))], [*part.schema.names, name])
+
+    return documents.mapInArrow(add, T.StructType([*documents.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def one_of_each_class(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each class, with its own columns: of the smallest id and, under that id, of the smallest node.
+
+    Rows are told apart by id and node, so of repeated rows one stays, and texts that share an id are judged each by its own
+    class. Rows without an id stay.
+    """
+    texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = written(classed_rows(spread(texts.where("doc_id is not null"), "doc_id"), **options).select("doc_id", "node", "root"), "classed")
+    leaders = rows.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.doc_id", "first.node")
+    leads = leaders.groupBy("doc_id").agg(F.count("*").alias("leads"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).join(leads, "doc_id", "left")
+    # an id with one row is settled by its id alone; of the others those that lead a class need a look at their texts
+    unsettled = written(ids.where("leads is null or rows > 1").select(F.col("doc_id").alias(key), F.col("leads").isNotNull().alias("leads")), "later")
+    sizes = unsettled.agg(F.count("*").alias("n"), F.count_if("leads").alias("several")).first()
+    near = lambda table, n: F.broadcast(table) if n <= BROADCAST_NODES else table
+    kept = documents.join(near(unsettled, sizes["n"]), key, "left_anti").select(*documents.columns)
+    if not sizes["several"]:
+        return kept
+    name = next(n for n in ("_node" + "_" * k for k in range(len(documents.columns) + 1)) if n not in documents.columns)
+    several = documents.join(near(unsettled.where("leads").select(key), sizes["several"]), key, "left_semi").select(*documents.columns)
+    first = leaders.select(F.col("doc_id").alias(key), F.col("node").alias(name))
+    chosen = _with_node(several, text, name).join(first, [key, name], "left_semi").dropDuplicates([key, name])
+    return kept.unionByName(chosen.select(*documents.columns))

@@ -133,7 +133,8 @@ def windows_of(candidates: DataFrame, size: int, gram: int) -> DataFrame:
                 docs = np.unique(rows)
                 n = int(head.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([pa.array(code[head].view(np.int64)), pa.array(rolling.mix(docs.astype(np.uint64)).view(np.int64))]),
+                    # late rows wait for no one: a key for each document deals them out evenly
+                    [pa.concat_arrays([pa.array(code[head].view(np.int64)), pa.array(rolling.mix(ids[docs].astype(np.uint64)).view(np.int64))]),
                      pa.concat_arrays([pa.array(owner[head]), pa.array(ids[docs])]),
                      pa.concat_arrays([pa.array(pos[head].astype(np.int32)), pa.nulls(len(docs), pa.int32())]),
                      pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists(np.searchsorted(docs, rows), places, len(docs))])],
@@ -250,10 +251,11 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, spans = removal_spans(spread(texts.where("doc_id is not null"), "doc_id"), size)
     copies = rows.where(F.col("copy") & (F.col("n_words") >= size)).groupBy("doc_id").agg(F.collect_set("node").alias("copies"))
+    told = next(n for n in ("_found" + "_" * k for k in range(len(documents.columns) + 1)) if n not in documents.columns)
     found = written(spans.join(copies, "doc_id", "full_outer").select(
-        F.col("doc_id").alias("_key"), F.struct("spans", "node", "copies").alias("_found")), "found")
-    held = found.agg(F.sum(8 * F.coalesce(F.size("_found.spans"), F.lit(0)) + 64)).first()[0] or 0
-    both = documents.join(F.broadcast(found) if held <= BROADCAST_BYTES else found, documents[key] == found["_key"], "left").drop("_key")
+        F.col("doc_id").alias(key), F.struct("spans", "node", "copies").alias(told)), "found")
+    held = found.agg(F.sum(8 * F.coalesce(F.size(f"{told}.spans"), F.lit(0)) + 64)).first()[0] or 0
+    both = documents.join(F.broadcast(found) if held <= BROADCAST_BYTES else found, key, "left").select(*documents.columns, told)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lexsieve.llm import forest_join, rolling, substring_dedup
 from lexsieve.llm.graph import components
@@ -149,3 +150,29 @@ def test_anchor_of_equal_windows_is_equal():
     for c, (place, h), start in zip(codes.tolist(), found.T.tolist(), at.tolist()):
         assert by.setdefault(c, (place - start, h)) == (place - start, h)
     assert len(np.unique(codes)) < len(codes)
+
+
+def test_one_row_of_each_class_stays_whatever_ids_repeat(spark):
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    near = a.replace(a.split()[0], "zz", 1)
+    rows = [(1, a), (1, a), (2, a), (3, near), (1, b), (4, b), (5, c), (5, c), (5, near), (None, a), (6, "")]
+    schema = "doc_id long, text string, _node long, _found string, _key int, n_chars long"
+    docs = spark.createDataFrame([(i, t, 1, "f", 2, len(t)) for i, t in rows], schema).repartition(4)
+    kept = forest_join.one_of_each_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (5, c), (None, a), (6, "")], key=str)
+    cut = substring_dedup.without_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+
+
+def test_late_starts_of_many_slices_have_many_keys(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = sentence(rng, 25)
+    texts = [passage + " " + sentence(rng, 12) + " " + passage for _ in range(300)]
+    docs = spark.createDataFrame([(i * 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(20)
+    survey = substring_dedup.surveyed(docs, 20, 6)
+    anchors = survey.select("doc_id", "node", F.concat(F.transform("anchors", lambda a: F.shiftright(a, 32).cast("int"))).alias("wanted"))
+    sent = substring_dedup.windows_of(docs.join(anchors, "doc_id").select("doc_id", "text", "wanted", "node"), 20, 6)
+    keys = [r["count"] for r in sent.where("pos is null").groupBy("hash").count().collect()]
+    assert len(keys) == 300 and max(keys) == 1
