@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog.newton import newton_ctes, sigmoid_ctes
 from catalog.registry import query
-from catalog.text_queries import _UNI, _vocab_sql
+from catalog.text_queries import _UNI, _vocab_sql, term_vectors
 from catalog.views import DOCS_POSITIVE, DOCS_SCHEME, WITH_DOCS, WITH_LABELLED, docs_split, r6
 from lexsieve.operators import classifiers as clf
 from lexsieve.operators import naive_bayes as nb
@@ -17,8 +17,10 @@ from lexsieve.operators import ranking
 from lexsieve.operators.features import bag_of_words
 from lexsieve.operators.linear_solver import logistic, solve_linear
 from lexsieve.operators.vocabulary import fit_vocabulary
+from lexsieve.operators import reports
 from lexsieve.plans import matrix
-from lexsieve.plans.scale import durable
+from lexsieve.plans.experiment import Ledger, run_experiment
+from lexsieve.plans.scale import durable, new_folder
 
 
 _NB = f"""{WITH_LABELLED}, {_vocab_sql(_UNI)},
@@ -186,3 +188,66 @@ def experiment_matrix(spark, sf):
         "run_id", *[r6(F.col(c), c) for c in ("pr_auc", "roc_auc", "f1_macro", "f1_minority")])
 
 
+
+
+# ---- the whole matrix as resumable runs, one query for each representation
+
+_TARGETS = (("binary", None), ("multiclass", DOCS_SCHEME))
+_LINEAR = ("logreg", "linearsvc")
+_BAYES = ("multinomialnb", "complementnb")
+
+
+def _dictionary(spark, sf):
+    vectors = term_vectors(spark, sf)
+    return vectors, vectors.count(), 64
+
+
+def _experiment(spark, sf, representation, models):
+    """The report of an experiment that was stopped after its first target and taken up again."""
+    split = docs_split(spark, sf, labelled=True)
+    features = {}
+
+    def build():
+        if representation not in features:
+            vectors = _dictionary(spark, sf) if representation == "fasttext" else None
+            features[representation] = matrix.build_features(split, representation, vectors=vectors)
+        return features[representation]
+
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    for targets in (_TARGETS[:1], _TARGETS):
+        run_experiment(ledger, split, {representation: build}, models, targets, positive=DOCS_POSITIVE)
+    return ledger
+
+
+def _report(ledger):
+    summary = reports.run_summary(ledger.runs())
+    counted = ledger.predictions().groupBy("run_id").agg(F.count("*").alias("n_predicted"), F.sum("y_true").alias("n_positive"))
+    return summary.join(counted, "run_id")
+
+
+_EXPERIMENT_SQL = f"""{WITH_LABELLED},
+sizes AS (SELECT count(*) FILTER (WHERE split = 'test') AS n_test, count(*) FILTER (WHERE split <> 'train') AS n_processed,
+  sum(label) FILTER (WHERE split = 'test') AS n_positive FROM split),
+classes AS (SELECT count(DISTINCT CASE WHEN category IN ('en', 'fr', 'toxic') THEN category ELSE 'other' END) AS k FROM split WHERE split = 'train'),
+cells AS (SELECT unnest([{{models}}]) AS model), targets AS (SELECT unnest(['binary', 'multiclass']) AS target_mode)
+SELECT model, '{{representation}}' AS representation, 'raw' AS preprocess, target_mode, CASE WHEN target_mode = 'binary' THEN 2 ELSE k END AS num_classes,
+  n_test, n_processed, n_test AS n_predicted, CAST(n_positive AS BIGINT) AS n_positive, TRUE AS scored FROM cells, targets, sizes, classes"""
+
+
+def _register(representation, models, suffix=""):
+    sql = _EXPERIMENT_SQL.format(models=", ".join(f"'{m}'" for m in models), representation=representation)
+
+    @query(f"experiment_{representation}{suffix}", sql)
+    def run(spark, sf):
+        found = _report(_experiment(spark, sf, representation, models))
+        whole = sum((F.col(m).between(0, 1).cast("int") for m in ("pr_auc", "roc_auc", "f1_macro", "f1_minority")), F.lit(0)) == 4
+        return found.select("model", "representation", "preprocess", "target_mode", "num_classes", "n_test", "n_processed", "n_predicted",
+                            "n_positive", (whole & (F.col("latency_ms_per_1k") > 0)).alias("scored"))
+
+    run.__doc__ = f"All runs on {representation} features that an interrupted and resumed experiment left behind."
+    return run
+
+
+for _name, _models in (("bow", _BAYES + _LINEAR), ("tfidf", _BAYES + _LINEAR), ("fasttext", _LINEAR)):
+    _register(_name, _models)
+    _register(_name, ("lightgbm",), "_trees")

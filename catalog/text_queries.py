@@ -148,6 +148,15 @@ def embedding_source(spark, sf):
     return back.select("token", F.size("vec").cast("bigint").alias("dims"), F.round(total, 6).alias("total"))
 
 
+def term_vectors(spark, sf):
+    """A vector for every term of the training texts: the ids of the table over and over."""
+    split = docs_split(spark, sf)
+    terms = vo.fit_vocabulary(split.where(F.col("split") == "train")).table
+    vectors = table(spark, sf, "embeddings")
+    return terms.join(vectors, F.col("term_id") % vectors.count() == F.col("vec_id")).select(
+        F.col("term").alias("token"), F.col("embedding").alias("vec"))
+
+
 @query("embedding_average", f"""{WITH_DOCS}, {_vocab_sql(_UNI)},
 dict AS (SELECT term AS token, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM vocab JOIN embeddings ON vec_id = term_id % (SELECT count(*) FROM embeddings)),
 words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_NON_SPACE}')) AS token FROM documents),
@@ -156,11 +165,7 @@ SELECT d.doc_id, CAST(d.dim AS INTEGER) AS dim, round(coalesce(value, 0), 6) + 0
 LEFT JOIN means ON means.doc_id = d.doc_id AND means.dim = d.dim""")
 def embedding_average(spark, sf):
     split = docs_split(spark, sf)
-    terms = vo.fit_vocabulary(split.where(F.col("split") == "train")).table
-    vectors = table(spark, sf, "embeddings")
-    # every term has a vector: the ids of the table over and over
-    dictionary = terms.join(vectors, F.col("term_id") % vectors.count() == F.col("vec_id")).select(
-        F.col("term").alias("token"), F.col("embedding").alias("vec"))
+    dictionary = term_vectors(spark, sf)
     docs = split.select("doc_id", F.lower("text").alias("text"))
     averaged = ft.embedding_average(docs, dictionary, dictionary.count(), 64, "doc_id")
     return averaged.select("doc_id", F.posexplode("vector").alias("dim", "v")).select(
