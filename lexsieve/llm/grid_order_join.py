@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexsieve.llm.graph import components
-from lexsieve.llm.vectors import matrix, usable, widest
+from lexsieve.llm.vectors import matrix, usable
 from lexsieve.plans.scale import lookup, new_folder, partitions, spread, written
 
 #: Rows of a block, of a leaf interval, and blocks sent to the tasks at a time (32 MB of vectors of 64 doubles).
@@ -38,6 +38,7 @@ BLOCK, LEAF, RUN = 512, 128, 128
 AXES, SAMPLE = 16, 8192
 #: Bytes of vectors in one part of the sorted sequence at most; parts are never fewer than the session's shuffle partitions.
 PART_BYTES = 128 << 20
+LISTS = ["nodes", "copies", "h1", "h2"]
 #: Pairs verified at a time.
 PAIRS = 1 << 16
 #: Covers rounding of single precision in the projected comparison.
@@ -142,52 +143,52 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     parent[:] = root(np.arange(len(parent)))
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """One row for each distinct vector: its smallest id, number of rows, and a 128-bit key."""
-    return vectors.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("key", _key("vector"))
+def _key(vector: str) -> list:
+    """Two independent 64-bit hashes of the components; two of n vectors share both with a probability below n^2 / 2^129."""
+    return [F.xxhash64(F.lit(1), vector).alias("h1"), F.xxhash64(F.lit(2), vector).alias("h2")]
 
 
-def _key(vector: str):
-    """Two independent 64-bit hashes of the components; two of n vectors share it with a probability below n^2 / 2^129."""
-    return F.struct(F.xxhash64(F.lit(1), vector).alias("h1"), F.xxhash64(F.lit(2), vector).alias("h2"))
-
-
-def _stored_sequence(classes: DataFrame, axes: np.ndarray, width: int, eps: float) -> DataFrame:
-    """Blocks in grid order: (part, block, size, low, high, nodes, copies, units); low and high on the first axis."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(axes)
+def _stored_sequence(rows: DataFrame, axes: np.ndarray, width: int, eps: float, parts: int) -> DataFrame:
+    """Distinct vectors in grid order, in blocks: part, block, low and high on the first axis, and per vector its smallest
+    id (node), number of rows (copies), key, and components, which keep their precision."""
+    classes = rows.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    shared = rows.sparkSession.sparkContext.broadcast(axes)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = unit_rows(matrix(batch.column(2), width))
+            units = unit_rows(matrix(batch.column(4), width))
             cells = np.clip(np.floor(units @ shared.value / eps), -32768, 32767).astype(np.int16)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
-            raw = pa.array([u.tobytes() for u in units], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, raw], ["node", "copies", "cell", "unit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "cell"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                raw = b"".join(part.column(2).to_pylist())
-                first = np.frombuffer(raw).reshape(-1, width) @ shared.value[:, 0]
+                values = matrix(part.column(4), width)
+                first = unit_rows(values) @ shared.value[:, 0]
+                if pa.types.is_float32(part.column(4).type.value_type):
+                    values = values.astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3).slice(0, 1), pa.array([block], pa.int64()), pa.array([part.num_rows]), pa.array([first.min()]), pa.array([first.max()]),
-                     *(pa.array([x], pa.binary()) for x in (part.column(0).to_numpy().tobytes(), part.column(1).to_numpy().tobytes(), raw))],
-                    ["part", "block", "size", "low", "high", "nodes", "copies", "units"])
+                    [part.column(5).slice(0, 1), pa.array([block], pa.int64()), pa.array([first.min()]), pa.array([first.max()]),
+                     *(pa.array([part.column(i).to_numpy()], pa.list_(pa.int64())) for i in range(4)), pa.array([values.tobytes()], pa.binary())],
+                    ["part", "block", "low", "high", *LISTS, "vectors"])
                 block += 1
 
-    located = classes.select("node", "copies", "vector").mapInArrow(locate, "node long, copies long, cell array<smallint>, unit binary")
-    parts = max(partitions(spark), -(-classes.count() * width * 8 // PART_BYTES))
+    keyed = classes.select("node", "copies", *_key("vector"), "vector")
+    kind = keyed.schema["vector"].dataType.simpleString()
+    located = keyed.mapInArrow(locate, f"node long, copies long, h1 long, h2 long, vector {kind}, cell array<smallint>")
     laid = located.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node")
-    return written(laid.select("node", "copies", "unit", F.spark_partition_id().alias("part")).mapInArrow(
-        pack, "part int, block long, size long, low double, high double, nodes binary, copies binary, units binary"), "grid-order")
+    schema = "part int, block long, low double, high double, " + ", ".join(f"{c} array<long>" for c in LISTS) + ", vectors binary"
+    return written(laid.select("node", "copies", "h1", "h2", "vector", F.spark_partition_id().alias("part")).mapInArrow(pack, schema), "grid-order")
 
 
 def _sequence(rows: list, axes: np.ndarray, at: int, width: int) -> Sequence:
-    joined = [b"".join(r[c] for r in rows) for c in ("nodes", "copies", "units")]
-    return Sequence(np.frombuffer(joined[0], np.int64), np.frombuffer(joined[1], np.int64), np.frombuffer(joined[2]).reshape(-1, width), axes, at)
+    nodes, copies = (np.concatenate([r[c] for r in rows]).astype(np.int64) for c in LISTS[:2])
+    kinds = (np.float32 if len(r["vectors"]) == 4 * width * len(r["nodes"]) else np.float64 for r in rows)
+    values = np.concatenate([np.frombuffer(r["vectors"], kind).reshape(-1, width) for r, kind in zip(rows, kinds)])
+    return Sequence(nodes, copies, unit_rows(values.astype(np.float64)), axes, at)
 
 
 def _runs(blocks: DataFrame) -> list[tuple[tuple[int, int], tuple[int, int]]]:
@@ -220,9 +221,9 @@ def _joined_run(spark: SparkSession, blocks: DataFrame, run: tuple, axes: np.nda
     starts, at = {}, 0
     for r in own:
         starts[(r["part"] << 40) + r["block"]] = at
-        at += r["size"]
+        at += len(r["nodes"])
     low, high = min(r["low"] for r in own), max(r["high"] for r in own)
-    shared = spark.sparkContext.broadcast(([{k: r[k] for k in ("nodes", "copies", "units")} for r in own], starts, at, axes))
+    shared = spark.sparkContext.broadcast(([{k: r[k] for k in ("nodes", "copies", "vectors")} for r in own], starts, at, axes))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, offsets, n, lead = shared.value
@@ -255,7 +256,7 @@ def _joined_run(spark: SparkSession, blocks: DataFrame, run: tuple, axes: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(a.nodes[hit]), pa.array(count[hit]), pa.array(a.nodes[parent[hit]])], names)
 
     reachable = blocks.where((_place() >= first) & (F.col("low") <= high + eps + SLACK) & (F.col("high") >= low - eps - SLACK))
-    return reachable.mapInArrow(join, "node long, links long, neighbour long")
+    return reachable.drop("low", "high", "h1", "h2").mapInArrow(join, "node long, links long, neighbour long")
 
 
 def cosine_classes(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -266,13 +267,13 @@ def cosine_classes(vectors: DataFrame, *, key: str = "vec_id", vector: str = "em
     links_here = F.col(key).isNotNull() & usable(vector) & F.exists(vector, lambda x: x != 0)
     rows = spread(vectors.select(F.col(key).cast("long").alias("id"), F.when(links_here, F.col(vector)).alias("vector")))
     there = rows.where("vector is not null")
-    classes = written(_classes(there), "vector-classes")
-    width = widest(classes, "vector")
-    found = []
+    size = there.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    width, found = size["width"] or 0, []
     if width:
-        sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").collect()  # bounded
+        sample = there.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()  # bounded
         axes = principal_axes(unit_rows(matrix(pa.array([r["vector"] for r in sample], pa.list_(pa.float64())), width)), min(AXES, width))
-        blocks = _stored_sequence(classes, axes, width, math.sqrt(2 - 2 * cosine))
+        parts = max(partitions(spark), -(-size["n"] * width * 8 // PART_BYTES))
+        blocks = _stored_sequence(there, axes, width, math.sqrt(2 - 2 * cosine), parts)
         path = new_folder(spark, "vector-links")
         for run in _runs(blocks):
             _joined_run(spark, blocks, run, axes, width, cosine).write.mode("append").parquet(path)
@@ -282,11 +283,13 @@ def cosine_classes(vectors: DataFrame, *, key: str = "vec_id", vector: str = "em
     linked = spark.read.schema("node long, links long, neighbour long").parquet(path)
     roots = components(linked, "node", "neighbour")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left")
-    groups = written(classes.select("key", "node", "copies").join(counts, "node", "left").where("copies > 1 or links > 0").select(
+    classes = blocks.select(F.explode(F.arrays_zip(*LISTS)).alias("c")).select(
+        F.struct("c.h1", "c.h2").alias("key"), F.col("c.nodes").alias("node"), F.col("c.copies").alias("copies"))
+    groups = written(classes.join(counts, "node", "left").where("copies > 1 or links > 0").select(
         "key", F.col("copies").alias("size"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("root", "node").alias("root")), "vector-groups")
     n = groups.agg(F.count("*").alias("n"), F.sum("size").alias("rows")).first()
-    keyed = rows.select("id", F.when(F.col("vector").isNotNull(), _key("vector")).alias("key"))
+    keyed = rows.select("id", F.when(F.col("vector").isNotNull(), F.struct(*_key("vector"))).alias("key"))
     placed = lookup(keyed, groups, "key", table_rows=n["n"], row_bytes=64, salt_on="id", weight="size", weight_total=n["rows"])
     component = F.coalesce("root", "id")
     return placed.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
