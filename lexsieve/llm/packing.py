@@ -37,6 +37,8 @@ from lexsieve.plans.scale import spread, written
 CAPACITY = 2048
 #: Nodes of the search before it settles for its best packing.
 SEARCH_NODES = 8_000
+#: Nodes, the deepest ones, whose enumeration of fillings is kept.
+ALIVE = 32
 #: Parts over which the pieces of one length are ranked.
 PARTS = 64
 
@@ -164,6 +166,35 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Filling
     return out
 
 
+class _Level:
+    """The choices at one node: bins around its largest open length, each as often as possible and then fewer times."""
+
+    def __init__(self, left: np.ndarray, above: Filling | None) -> None:
+        self.largest = int(np.flatnonzero(left)[-1])
+        # bins of the same length come in falling order of their fillings
+        self.after = above[1:] if above and above[0] == self.largest else None
+        self.times, self.fillings = 0, None
+
+    def rest(self) -> None:
+        """Give up the enumeration; it is taken up behind the last filling when the search comes back."""
+        self.fillings = None
+
+    def next(self, left: np.ndarray, capacity: int) -> tuple[Filling, int] | None:
+        if self.times > 1:
+            self.times -= 1
+            return (self.largest, *self.after), self.times
+        if self.fillings is None:
+            left[self.largest] -= 1
+            self.fillings = iter(Fillings(left, capacity - self.largest))
+            left[self.largest] += 1
+        for filling in self.fillings:
+            if self.after is None or (sum(filling), filling) < (sum(self.after), self.after):
+                self.after = filling
+                self.times = _times(left, (self.largest, *filling))
+                return (self.largest, *filling), self.times
+        return None
+
+
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Packing:
     """The packing of a histogram of lengths, with the fewest bins that the search finds within `nodes` nodes."""
     left = counts.astype(np.int64).copy()
@@ -172,29 +203,16 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEA
     fewest, used = sum(t for _, t in best), 0
     chosen: list[tuple[Filling, int]] = []
 
-    def choices(after: tuple[int, Filling] | None) -> Iterator[tuple[Filling, int]]:
-        """Bins around the largest open length; `after` is the last filling of the same length."""
-        largest = int(np.flatnonzero(left)[-1])
-        left[largest] -= 1
-        found = Fillings(left, capacity - largest)
-        left[largest] += 1
-        for filling in found:
-            if after is not None and after[0] == largest and (sum(filling), filling) >= (sum(after[1]), after[1]):
-                continue
-            whole = (largest, *filling)
-            for times in range(_times(left, whole), 0, -1):
-                yield whole, times
-
-    stack: list[Iterator[tuple[Filling, int]]] = []
+    stack: list[_Level] = []
     descend, spent = fewest > bound, 0
     if descend:
-        stack.append(choices(None))
+        stack.append(_Level(left, None))
     while stack and fewest > bound and spent < nodes:
         if len(chosen) == len(stack):  # back from the subtree of the last choice
             filling, times = chosen.pop()
             _take(left, filling, -times)
             used -= times
-        step = next(stack[-1], None)
+        step = stack[-1].next(left, capacity)
         if step is None:
             stack.pop()
             continue
@@ -206,7 +224,9 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEA
             if used < fewest:
                 best, fewest = list(chosen), used
         elif used + lower_bound(left, capacity) < fewest:
-            stack.append(choices((step[0][0], step[0][1:])))
+            stack.append(_Level(left, step[0]))
+            if len(stack) > ALIVE:
+                stack[-ALIVE - 1].rest()
     return Packing(best, bound, fewest == bound or not stack)
 
 

@@ -24,7 +24,7 @@ from lexsieve.llm import rolling
 CACHE_CHUNKS = 2_000_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 2 << 20
-_CALL_CHUNKS = 20_000
+_CALL_CHUNKS = 4_000
 
 _VISIBLE = np.array([0x21 <= b <= 0x7E for b in range(256)])
 _LEAD_TWO = np.array([0xC3 <= b <= 0xDF for b in range(256)])
