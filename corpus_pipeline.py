@@ -37,7 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 #: Less than the encoder's own bounds: as a stage, packing shares workers with what ran before.
-PACK_CHUNKS, PACK_SLICE = 600_000, (1 << 19) - 1
+PACK_CHUNKS, PACK_SLICE = 200_000, (1 << 18) - 1
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
