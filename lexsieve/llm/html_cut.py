@@ -275,7 +275,7 @@ def features_of(blocks: list[Block], texts: list[str]) -> np.ndarray:
 
 
 def neutral() -> np.ndarray:
-    """Weights without seeds: the same slight lean to content for every block, so that the markup decides."""
+    """What untrained (zero) weights stand for: the same slight lean to content for every block, so that the markup decides."""
     return np.where(np.arange(FEATURES) == 0, 0.1, 0.0)
 
 
@@ -303,7 +303,7 @@ def train_blocks(pages: DataFrame, *, key: str = "page_id", page: str = "html",
     table = sample.mapInArrow(seeds, "y long, x array<double>").toArrow()
     found = [(y, np.array(x).reshape(-1, FEATURES)) for y, x in zip(table["y"].to_pylist(), table["x"].to_pylist(), strict=True)]
     if len({y for y, _ in found}) < 2:
-        return neutral()
+        return np.zeros(FEATURES)
     x = np.concatenate([r for _, r in found])
     y = np.concatenate([np.full(len(r), float(k)) for k, r in found])
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -382,7 +382,7 @@ def main_text(page: str, weights: np.ndarray, order: float = 0.4, kin: float = 0
         return ""
     texts = [b.text() for b in blocks]
     told = np.array([b.evidence for b in blocks])
-    chance = sigmoid(features_of(blocks, texts) @ weights + 2.0 * told)
+    chance = sigmoid(features_of(blocks, texts) @ (weights if weights.any() else neutral()) + 2.0 * told)
     edges, last_child = [], {}
     for i, block in enumerate(blocks):
         if i:
