@@ -1,15 +1,18 @@
 """N-gram Jaccard self-join of documents by a MinHash LSH forest with exact verification.
 
 1. Texts with equal word sequences are one node; only nodes are compared, copies keep a membership row.
-2. Each node has a signature of `trees` hash paths. A path is a leaf of a prefix trie; nodes that share a
-   path prefix meet in one trie node. One prefix length d serves all nodes: the largest up to `depth` at which
-   ``1 - (1 - threshold^d)^trees`` reaches the target recall, the guarantee for the least similar wanted pair. It is
-   found before anything is read, so paths are hashed to d values only; deeper levels and sorted tries aren't built.
-3. Trie nodes with several members link them to their smallest member; the components of those links are the
-   candidate groups.
+2. Each node has a signature of `trees` paths of `depth` MinHash values, kept as sortable bytes: a path is a leaf of
+   the prefix trie of its tree, and nodes whose paths begin alike lie in one trie node. Leaves that share no prefix of
+   the shortest length needed (see 3) with another one are dropped, the others are written once, ordered by tree and path.
+3. Matched prefixes are shortened from `depth` values on, one value at a time, until ``1 - (1 - threshold^d)^trees``,
+   the recall for the least similar wanted pair, reaches the target. At each length only those trie nodes are opened
+   that hold more than one group so far and more than one child, because the pairs of a child were compared
+   before. Inside an opened trie node whole signatures are compared; nodes that agree in as many values as a wanted pair
+   does, but for the recall's slack, are put into one group. So unrelated texts that share some values of a path
+   never chain into one candidate group.
 4. Each group is cut into blocks of bounded size, every pair of blocks is one unit of work: sparse shingle
    sets become 0/1 columns and exact intersections come from one matrix product. Only link counts and one
-   label per node leave a unit, never pairs.
+   label per node leave a unit, never pairs. Large trie nodes are cut into blocks in the same way.
 
 Shingles are `size` consecutive words (runs of letters, digits and non-ASCII characters, A-Z lower-cased).
 
@@ -21,11 +24,12 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +44,10 @@ DEPTH = 8
 TARGET_RECALL = 0.9999
 #: Nodes and shingles of one block; a unit of work holds two blocks.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
+#: Leaves of one block of a trie node, and of one tile whose signatures are compared at once.
+BLOCK_LEAVES, TILE = 8192, 512
+#: Bytes of one value of a path.
+VALUE_BYTES = 2
 #: Candidate nodes that are broadcast to the second text scan; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 _COLUMNS = 4096
@@ -52,6 +60,18 @@ def matched_depth(threshold: float, trees: int, depth: int, target: float) -> in
     return depth
 
 
+def least_agreement(threshold: float, trees: int, depth: int, target: float) -> int:
+    """Number of equal values of two signatures below which a pair of the threshold's similarity lies so seldom that
+    recall stays above the target (at most once in a million where prefixes leave no slack)."""
+    values, found = trees * depth, 1 - (1 - threshold ** matched_depth(threshold, trees, depth, target)) ** trees
+    slack, below = max(found - target, 1e-6), 0.0
+    for k in range(values + 1):
+        below += math.comb(values, k) * threshold ** k * (1 - threshold) ** (values - k)
+        if below > slack:
+            return k
+    return values
+
+
 def _shingles(words: rolling.Words, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each shingle occurrence, documents ascending."""
     at, codes = rolling.window_hashes(words, size)
@@ -74,39 +94,143 @@ def _nodes(words: rolling.Words, data: np.ndarray, offsets: np.ndarray) -> np.nd
     return np.where(np.diff(first) > 0, of_words, of_text).view(np.int64)
 
 
-def _paths(doc: np.ndarray, codes: np.ndarray, n_docs: int, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with shingles, and the hashed path prefix of each of their trees."""
+def _signatures(doc: np.ndarray, codes: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with shingles, and their signatures: the low bits of each minimum, tree after tree."""
     if not len(doc):
-        return np.zeros(0, np.int64), np.zeros((0, trees), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, trees * depth), np.uint16)
     bounds = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     short = (codes >> np.uint64(32)).astype(np.uint32)
     seed = np.random.default_rng(7).integers(0, 2**32, (2, trees * depth), dtype=np.uint32)
-    mins = np.empty((len(bounds), trees * depth), np.uint64)
+    values = np.empty((len(bounds), trees * depth), np.uint16)
     for k in range(trees * depth):
-        mins[:, k] = np.minimum.reduceat((short ^ seed[0, k]) * (seed[1, k] | np.uint32(1)), bounds)
-    path = np.zeros((len(bounds), trees), np.uint64)
-    for k in range(depth):
-        path = rolling.mix(path * np.uint64(0x9E3779B97F4A7C15) + mins[:, k::depth] + np.uint64(1))
-    return doc[bounds], path
+        values[:, k] = np.minimum.reduceat((short ^ seed[0, k]) * (seed[1, k] | np.uint32(1)), bounds).astype(np.uint16)
+    return doc[bounds], values
 
 
 def signed(documents: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, node, paths) of each document."""
+    """(doc_id, node, signature) of each document; the signature is null where there is no shingle."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in rolling.slices(batch, "text"):
                 low = rolling.LOWER[data]
                 words = rolling.cut_words(low, offsets, rolling.LOWER_ALNUM)
                 doc, codes = _shingles(words, part.num_rows, size)
-                some, path = _paths(doc, codes, part.num_rows, trees, depth)
-                counts = np.zeros(part.num_rows, np.int64)
-                counts[some] = trees
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32),
-                                                 pa.array(path.view(np.int64).reshape(-1)))
+                some, values = _signatures(doc, codes, trees, depth)
+                held: list[bytes | None] = [None] * part.num_rows
+                for i, row in zip(some, values, strict=True):
+                    held[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_nodes(words, data, offsets)), lists], ["doc_id", "node", "paths"])
+                    [part.column(0), pa.array(_nodes(words, data, offsets)), pa.array(held, pa.binary())],
+                    ["doc_id", "node", "signature"])
+
+    return documents.mapInArrow(sign, "doc_id long, node long, signature binary")
+
+
+def _grouped(groups: np.ndarray, values: np.ndarray, split: int | None, least: int) -> np.ndarray:
+    """Smallest group that each row's group is joined with, by rows that agree in `least` values or more.
+
+    With `split` only rows of different sides are compared, for None all with all; tile against tile, and not
+    where the two tiles are one group already.
+    """
+    now, end = groups.copy(), len(groups) if split is None else split
+    tiles = [np.arange(a, min(a + TILE, end)) for a in range(0, end, TILE)]
+    across = [np.arange(a, min(a + TILE, len(now))) for a in range(split or 0, len(now), TILE)]
+    columns = np.ascontiguousarray(values.T)
+    for i, left in enumerate(tiles):
+        for right in across[i:] if split is None else across:
+            both = left if left[0] == right[0] else np.concatenate((left, right))
+            if (now[both] == now[both[0]]).all():
+                continue
+            agree = np.zeros((len(left), len(right)), np.uint16)
+            for column in columns:
+                agree += column[left][:, None] == column[right][None, :]
+            old = now[both]
+            linked = old[:, None] == old[None, :]
+            if both is left:
+                linked |= agree >= least
+            else:
+                linked[:len(left), len(left):] |= agree >= least
+                linked[len(left):, :len(left)] |= (agree >= least).T
+            names, first = np.unique(old, return_index=True)
+            new = _smallest(old, linked)[first]
+            at = np.minimum(np.searchsorted(names, now), len(names) - 1)
+            now = np.where(names[at] == now, new[at], now)
+    return now
+
+
+def joined_groups(units: DataFrame, least: int) -> DataFrame:
+    """(grp, label) of groups that meet in a unit of work; rows arrive sorted by unit."""
+    def finish(key: tuple, held: list) -> pa.RecordBatch:
+        held.sort(key=lambda h: h[1])  # side 0 first
+        groups = np.array([h[0] for h in held], np.int64)
+        values = np.frombuffer(b"".join(h[2] for h in held), np.uint16).reshape(len(held), -1)
+        split = None if key[1] == key[2] else sum(h[1] == 0 for h in held)
+        found = np.unique(np.column_stack((groups, _grouped(groups, values, split, least))), axis=0)
+        found = found[found[:, 0] != found[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["grp", "label"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for own in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if own[:3] != key:
+                    if held:
+                        yield finish(key, held)
+                    key, held = own[:3], []
+                held.append(own[3:])
+        if held:
+            yield finish(key, held)
 
-    return documents.mapInArrow(sign, "doc_id long, node long, paths array<long>")
+    return units.mapInArrow(work, "grp long, label long")
+
+
+def _dealt(rows: DataFrame, key: str, *carried: str) -> DataFrame:
+    """(key, low, high, carried..., side, payload) of each unit of two blocks, from rows with `block` and `blocks`."""
+    mates = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("mate")
+    units = rows.select(key, *carried, "block", mates).select(
+        key, F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), carried[0],
+        (F.col("block") > F.col("mate")).cast("int").alias("side"), *carried[1:])
+    return units.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def candidate_groups(nodes: DataFrame, threshold: float, trees: int, depth: int, target: float) -> DataFrame:
+    """(node, root) of the nodes that share a group with another one, from (node, signature)."""
+    shortest, least = matched_depth(threshold, trees, depth, target), least_agreement(threshold, trees, depth, target)
+    width = depth * VALUE_BYTES
+    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("signature", t * width + 1, F.lit(width)))
+    leaves = nodes.where("signature is not null").select("node", F.posexplode(paths).alias("tree", "path"))
+
+    def prefix(d: int) -> Column:
+        return F.xxhash64("tree", F.substring("path", 1, d * VALUE_BYTES))
+
+    # equal hashes of different prefixes would only add a comparison
+    leaves = leaves.withColumn("trie", prefix(shortest))
+    shared = leaves.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1").select("trie")
+    leaves = written(leaves.join(shared, "trie").sortWithinPartitions("tree", "path"), "leaves")
+
+    groups = None
+    for level in range(depth, shortest - 1, -1):
+        own = leaves.select("node", prefix(level).alias("trie"), F.substring("path", 1, (level + 1) * VALUE_BYTES).alias("child"))
+        if groups is None:
+            own = own.withColumn("grp", F.col("node"))
+        else:
+            own = own.join(groups, "node", "left").select("node", "trie", "child", F.coalesce("root", "node").alias("grp"))
+        unsettled = F.min("grp") != F.max("grp")
+        if level < depth:
+            unsettled &= F.min("child") != F.max("child")
+        opened = own.groupBy("trie").agg(F.count("*").alias("n"), unsettled.alias("unsettled")).where("unsettled").select(
+            "trie", F.ceil(F.col("n") / BLOCK_LEAVES).alias("blocks"))
+        inside = written(own.join(opened, "trie").select("trie", "node", "grp", "blocks"), f"trie-{level}")
+        if inside.isEmpty():
+            continue
+        met = inside.join(nodes.select("node", "signature"), "node").withColumn(
+            "block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        joined = written(joined_groups(_dealt(met, "trie", "grp", "signature"), least).distinct(), f"joined-{level}")
+        edges = joined.select(F.col("grp").alias("node"), F.col("label").alias("root"))
+        if edges.isEmpty():
+            continue
+        groups = written(components(edges if groups is None else groups.union(edges), "node", "root"), f"groups-{level}")
+    return groups if groups is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -219,15 +343,11 @@ def classed_rows(known: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
 
     node stands for the word sequence and root for the class; class_id is the smallest id of the class.
     """
-    prefix = matched_depth(threshold, trees, depth, target_recall)
-    rows = written(signed(known, size, trees, prefix), "forest")
+    rows = written(signed(known, size, trees, depth), "forest")
 
     nodes = written(rows.groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("paths").alias("paths")), "nodes")
-    leaves = nodes.select("node", F.posexplode("paths").alias("tree", "path"))
-    tries = leaves.groupBy("tree", "path").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = leaves.join(tries, ["tree", "path"]).where("node <> hub").select("node", "hub")
-    groups = written(components(met, "node", "hub"), "groups")
+        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("signature").alias("signature")), "nodes")
+    groups = candidate_groups(nodes.select("node", "signature"), threshold, trees, depth, target_recall)
 
     wanted = nodes.select("node", "rep").join(groups.withColumnRenamed("root", "grp"), "node")
     wanted = written(wanted, "wanted")
@@ -239,11 +359,7 @@ def classed_rows(known: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
     sizes = sets.groupBy("grp").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("blocks"))
     own = sets.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    units = own.select("grp", "node", "shingles", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("mate"))
-    units = units.select(
-        "grp", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "node",
-        (F.col("block") > F.col("mate")).cast("int").alias("side"), "shingles")
-    dealt = units.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+    dealt = _dealt(own, "grp", "node", "shingles")
     checked = written(verified(dealt, threshold), "verified")
 
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -1,11 +1,13 @@
 """Jaccard classes, window dedup and the hash helper against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexsieve.llm import forest_join, rolling, substring_dedup
@@ -59,6 +61,64 @@ def test_depth_is_shortened_to_the_target():
     assert forest_join.matched_depth(0.99, 18, 8, 0.9999) == 8
 
 
+def test_agreement_leaves_the_target_recall():
+    least = forest_join.least_agreement(0.8, 18, 8, 0.9999)
+    below = sum(math.comb(144, k) * 0.8 ** k * 0.2 ** (144 - k) for k in range(least))
+    assert 80 < least < 100 and (1 - 0.8 ** 4) ** 18 + below <= 1e-4
+
+
+def test_unrelated_texts_do_not_chain_into_one_group(spark, monkeypatch):
+    """Texts that share a notice, 0.4 of their shingles: trie nodes link them all, whole signatures keep them apart."""
+    rng = random.Random(11)
+    notice = sentence(rng, 30)
+    texts = [notice + " " + sentence(rng, 20) for _ in range(200)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).select("doc_id", "text")
+    nodes = forest_join.signed(docs, 5, 18, 8).select("node", "signature").cache()
+    assert forest_join.candidate_groups(nodes, 0.8, 18, 8, 0.9999).count() == 0
+    monkeypatch.setattr(forest_join, "least_agreement", lambda *_: 0)
+    loose = forest_join.candidate_groups(nodes, 0.8, 18, 8, 0.9999)
+    assert loose.groupBy("root").count().agg({"count": "max"}).first()[0] > 150
+
+
+def test_large_trie_nodes_are_compared_in_blocks_and_tiles(spark, monkeypatch):
+    """Two groups that share no text and a part of their shingles, more texts than a block or a tile holds."""
+    rng = random.Random(4)
+    texts = []
+    for own in (sentence(rng, 70).split(), sentence(rng, 70).split()):
+        for _ in range(60):
+            changed = list(own)
+            changed[rng.randrange(70)] = f"q{rng.randrange(40)}"
+            texts.append(" ".join(changed))
+    texts += texts[:3]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).select("doc_id", "text")
+    want = classes_of(list(enumerate(texts)))
+    monkeypatch.setattr(forest_join, "BLOCK_LEAVES", 16)
+    monkeypatch.setattr(forest_join, "TILE", 5)
+    found = forest_join.jaccard_classes(docs).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in found} == want
+
+
+def test_grouped_rows_equal_plain_components():
+    rng = np.random.default_rng(2)
+    for split in (None, 9):
+        values = rng.integers(0, 3, (23, 12)).astype(np.uint16)
+        groups = np.sort(rng.integers(0, 15, 23)) * 7
+        want = groups.copy()
+        while True:
+            old = want.copy()
+            for i in range(23):
+                for j in range(23):
+                    apart = split is None or (i < split) != (j < split)
+                    if groups[i] == groups[j] or (apart and (values[i] == values[j]).sum() >= 7):
+                        want[i] = want[j] = min(want[i], want[j])
+            if (old == want).all():
+                break
+        for tile in (4, 512):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(forest_join, "TILE", tile)
+                assert (forest_join._grouped(groups, values, split, 7) == want).all()
+
+
 def test_classes_match_all_pairs(spark, edge_docs, edge_texts):
     found = forest_join.jaccard_classes(edge_docs).collect()
     want = classes_of([(10 + i, t) for i, t in enumerate(edge_texts)] + [(16, edge_texts[6])])
