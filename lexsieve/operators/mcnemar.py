@@ -1,71 +1,104 @@
 """Paired comparison of runs on the rows both have predicted.
 
-All pairs are answered from one pass: predictions are grouped by row into the pattern of outcomes
-of the runs (one entry per run), equal patterns are counted, and only the counted patterns are
-matched with the requested pairs. The number of entries per row is the number of compared runs, a
-report dimension; rows are never paired with rows.
+Outcomes travel as bits. The rows are numbered inside hash parts; a word holds 64 rows of one run in three masks: which rows
+it predicted, where it is right, where the truth is 1. A pair of runs is compared by AND and bit counts of
+its words. The unit of work is a chunk of rows with two groups of runs and the pairs asked for between them; only
+counts per pair and chunk leave it. Neither the number of runs nor that of pairs is limited, none is collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexsieve.functions import fixed
 from lexsieve.functions.pvalues import mcnemar_p, mcnemar_statistic
-from lexsieve.plans.scale import local_table
+from lexsieve.plans.scale import global_index, lookup, written
 
-MAX_RUNS = 700
-MAX_PAIRS = 250_000
+#: Runs of one group, words of one chunk (64 rows each) and predictions of one part of the row numbering.
+GROUP_RUNS, CHUNK_WORDS, PART_PREDICTIONS = 128, 2048, 1 << 22
+#: Words of compared pairs that are held at once.
+_HELD_WORDS = 1 << 20
+_MASKS = ("known", "correct", "truth")
 
 
-def outcome_patterns(predictions: DataFrame, numbered: DataFrame, index: str = "index") -> DataFrame:
-    """Counted patterns over the numbered runs (run_id, no).
+def outcome_words(predictions: DataFrame, numbered: DataFrame, index: str = "index") -> DataFrame:
+    """(chunk_part, chunk, word, no, known, correct, truth) from predictions of the numbered runs (run_id, no).
 
-    An outcome is one integer, 4 * no + 2 * y_true + y_pred, so a pattern is a short sorted array.
+    A run predicts a row once; an equal repeat changes nothing. Rows without truth or prediction take no part.
     """
-    outcome = F.col("no") * 4 + F.col("y_true").cast("int") * 2 + F.col("y_pred").cast("int")
-    per_row = (predictions.join(F.broadcast(numbered), "run_id")  # one row per run
-               .groupBy(index).agg(F.array_sort(F.collect_list(outcome)).alias("pattern")))
-    return per_row.groupBy("pattern").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = predictions.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    parts = max(predictions.sparkSession.sparkContext.defaultParallelism, -(-sizes // PART_PREDICTIONS))
+    own = lookup(predictions.where("y_true is not null and y_pred is not null"), numbered, "run_id",
+                 table_rows=numbered.count(), how="inner")
+    place = F.dense_rank().over(W.partitionBy("chunk_part").orderBy(index)) - 1  # a part is bounded by PART_PREDICTIONS on average
+    bits = own.select(F.pmod(F.xxhash64(index), F.lit(parts)).alias("chunk_part"), index, "no",
+                      F.col("y_true").cast("int").alias("t"), F.col("y_pred").cast("int").alias("p")).withColumn("place", place)
+    bit = F.expr("shiftleft(1L, place % 64)")
+    zero = F.lit(0).cast("long")
+    word = F.floor(F.col("place") / 64)
+    return bits.groupBy("chunk_part", F.floor(word / CHUNK_WORDS).alias("chunk"), F.pmod(word, F.lit(CHUNK_WORDS)).alias("word"), "no").agg(
+        F.bit_or(bit).alias("known"),
+        F.bit_or(F.when(F.col("t") == F.col("p"), bit).otherwise(zero)).alias("correct"),
+        F.bit_or(F.when(F.col("t") == 1, bit).otherwise(zero)).alias("truth"))
+
+
+def _counted(words: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """n_rows, b, c and conflicts of each pair in one chunk of rows."""
+    names, row = np.unique(words["no"].to_numpy(), return_inverse=True)
+    used, column = np.unique(words["word"].to_numpy(), return_inverse=True)
+    masks = {m: np.zeros((len(names), len(used)), np.uint64) for m in _MASKS}
+    for m, table in masks.items():
+        table[row, column] = words[m].to_numpy(np.int64).view(np.uint64)
+    known, correct, truth = (masks[m] for m in _MASKS)
+    pairs = pairs[pairs["no_a"].isin(names) & pairs["no_b"].isin(names)]
+    a, b = (np.searchsorted(names, pairs[c].to_numpy()) for c in ("no_a", "no_b"))
+    counts = np.zeros((len(pairs), 4), np.int64)
+    step = max(1, _HELD_WORDS // max(1, len(used)))
+    for i in range(0, len(pairs), step):
+        x, y = a[i:i + step], b[i:i + step]
+        both = known[x] & known[y]
+        for k, mask in enumerate((both, both & correct[x] & ~correct[y], both & ~correct[x] & correct[y], both & (truth[x] ^ truth[y]))):
+            counts[i:i + step, k] = np.bitwise_count(mask).sum(axis=1)
+    out = pd.DataFrame(counts, columns=["n_rows", "b", "c", "conflicts"])
+    out.insert(0, "no_a", pairs["no_a"].to_numpy())
+    out.insert(1, "no_b", pairs["no_b"].to_numpy())
+    return out[out["n_rows"] > 0]
+
+
+def pair_counts(words: DataFrame, coded: DataFrame) -> DataFrame:
+    """(no_a, no_b, n_rows, b, c, conflicts) of the coded pairs (no_a, no_b) that share a row."""
+    group = lambda c: F.floor(F.col(c) / GROUP_RUNS)
+    coded = coded.withColumns({"ga": group("no_a"), "gb": group("no_b")})
+    units = coded.select("ga", "gb").distinct()
+    roles = written(units.withColumn("g", F.explode(F.array_distinct(F.array("ga", "gb")))), "roles")
+    dealt = lookup(words.withColumn("g", group("no")), roles, "g", table_rows=roles.count(), how="inner")
+    keys = ["chunk_part", "chunk", "ga", "gb"]
+    # every unit gets its own copy of the pairs asked for; beyond the broadcast limit they have many group keys
+    asked = lookup(dealt.select(*keys).distinct(), coded, ["ga", "gb"], table_rows=coded.count(), how="inner").select(
+        *[F.col(k).alias(f"{k}_asked") for k in keys], "no_a", "no_b")
+    parts = dealt.groupBy(*keys).cogroup(asked.groupBy(*[f"{k}_asked" for k in keys])).applyInPandas(
+        _counted, "no_a long, no_b long, n_rows long, b long, c long, conflicts long")
+    return parts.groupBy("no_a", "no_b").agg(*[F.sum(c).alias(c) for c in ("n_rows", "b", "c", "conflicts")])
 
 
 def compare_pairs(predictions: DataFrame, pairs: DataFrame, index: str = "index",
                   keep_empty: bool = False) -> DataFrame:
-    """b, c, statistic, p-value and winner for each (run_a, run_b) of ``pairs``.
+    """b, c, statistic, p-value and winner for each (run_a, run_b) of ``pairs``; no pairs give an empty table.
 
-    ``pairs`` is a report table over runs; its size is counted before it is broadcast. A pair whose
-    runs disagree on the true label of a row raises. Pairs without a common row are left out unless
+    A pair whose runs disagree on the true label of a row raises. Pairs without a common row are left out unless
     ``keep_empty``.
     """
-    listed = pairs.select("run_a", "run_b").distinct().limit(MAX_PAIRS + 1).collect()
-    if len(listed) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs of runs to compare")
-    if not listed:
-        raise ValueError("no pair of runs to compare")
-    ids = {r: i for i, r in enumerate(sorted({r for pair in listed for r in pair}))}
-    spark = pairs.sparkSession
-    numbered = local_table(spark, run_id=list(ids), no=list(ids.values()))
-    codes = local_table(spark, run_a=[a for a, _ in listed], run_b=[b for _, b in listed],
-                        no_a=[ids[a] for a, _ in listed], no_b=[ids[b] for _, b in listed])
-    patterns = outcome_patterns(predictions, numbered, index)
-    entries = patterns.select("pattern", "rows", F.explode("pattern").alias("ea"))
-    matched = (entries.withColumn("no_a", F.shiftright("ea", 2))
-               .join(F.broadcast(codes), "no_a")  # at most MAX_PAIRS rows
-               .withColumn("eb", F.explode(F.expr("filter(pattern, x -> shiftright(x, 2) = no_b)"))))
-
-    def true(c: str) -> Column:
-        return F.shiftright(c, 1).bitwiseAND(F.lit(1))
-
-    def right(c: str) -> Column:
-        return true(c) == F.col(c).bitwiseAND(F.lit(1))
-
-    rows, zero = F.col("rows"), F.lit(0)
-    counts = matched.groupBy("run_a", "run_b").agg(
-        F.sum("rows").alias("n_rows"),
-        F.sum(F.when(right("ea") & ~right("eb"), rows).otherwise(zero)).alias("b"),
-        F.sum(F.when(~right("ea") & right("eb"), rows).otherwise(zero)).alias("c"),
-        F.sum(F.when(true("ea") != true("eb"), rows).otherwise(zero)).alias("conflicts"))
+    listed = pairs.select("run_a", "run_b").distinct()
+    numbered = global_index(listed.select(F.explode(F.array("run_a", "run_b")).alias("run_id")).distinct().where("run_id is not null"),
+                            ["run_id"], "no")
+    side = lambda s: numbered.select(F.col("run_id").alias(f"run_{s}"), F.col("no").alias(f"no_{s}"))
+    coded = written(listed.join(side("a"), "run_a").join(side("b"), "run_b"), "pairs")
+    words = written(outcome_words(predictions, numbered, index), "outcomes")
+    counts = coded.join(pair_counts(words, coded.select("no_a", "no_b")), ["no_a", "no_b"]).drop("no_a", "no_b")
     result = (pairs.join(counts, ["run_a", "run_b"], "left" if keep_empty else "inner"))
     guard = F.when(F.col("conflicts") > 0, F.raise_error(F.concat(
         F.lit("true labels differ between "), "run_a", F.lit(" and "), "run_b")).cast("bigint"))
@@ -83,14 +116,12 @@ def winner(name_a: str | Column, name_b: str | Column) -> Column:
 
 
 def run_pairs(runs: DataFrame) -> DataFrame:
-    """Every unordered pair of runs (run_a < run_b), from the registry, not from predictions."""
-    ids = sorted(r["run_id"] for r in runs.select("run_id").distinct().limit(MAX_RUNS + 1).collect())
-    if len(ids) > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs")
-    if len(ids) < 2:
-        raise ValueError("a comparison needs two runs")
-    both = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]]
-    return local_table(runs.sparkSession, run_a=[a for a, _ in both], run_b=[b for _, b in both])
+    """Every unordered pair of runs (run_a < run_b), from the registry, not from predictions; none for fewer than two runs."""
+    ids = global_index(runs.select("run_id").where("run_id is not null").distinct(), ["run_id"], "no")
+    last = ids.agg(F.max("no").alias("last")).first()["last"] or 0
+    first = ids.where(F.col("no") < last).select(F.col("run_id").alias("run_a"), F.explode(
+        F.sequence(F.col("no") + 1, F.lit(last).cast("long"))).alias("no"))
+    return first.join(ids.withColumnRenamed("run_id", "run_b"), "no").select("run_a", "run_b")
 
 
 def mcnemar_columns(y_true: str, y_a: str, y_b: str) -> dict[str, Column]:

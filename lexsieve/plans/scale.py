@@ -117,7 +117,7 @@ def global_index(df: DataFrame, order: list[str], name: str = "row_index") -> Da
         *df.columns, (F.col("_offset") + F.col("_pos")).alias(name))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, *, table_rows: int, row_bytes: int = 64,
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], *, table_rows: int, row_bytes: int = 64,
            salt_on: str | None = None, weight: str | None = None, weight_total: int | None = None,
            how: str = "left", broadcast_bytes: int | None = None) -> DataFrame:
     """Join ``rows`` to a table unique on ``key``.

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -160,6 +161,44 @@ def test_conflicting_truth_raises_and_disjoint_runs_are_skipped(spark):
     assert mcnemar.compare_pairs(runs(spark, {"a": {1: (0, 0)}, "b": {2: (1, 1)}}), pair).collect() == []
 
 
+def test_many_runs_in_small_groups_and_chunks(spark, monkeypatch):
+    """Parts, chunks, words and groups of runs are all crossed; equal repeats and unused runs change nothing."""
+    monkeypatch.setattr(mcnemar, "GROUP_RUNS", 3)
+    monkeypatch.setattr(mcnemar, "CHUNK_WORDS", 1)
+    monkeypatch.setattr(mcnemar, "_HELD_WORDS", 2)
+    rng = random.Random(8)
+    truth = {i: rng.randrange(2) for i in range(1500)}
+    spec = {f"r{k:02d}": {i: (t, t if rng.random() < 0.8 else 1 - t) for i, t in truth.items() if rng.random() < 0.6} for k in range(8)}
+    pred = runs(spark, spec)
+    ids = spark.createDataFrame([(r,) for r in [*spec, "unused"]], "run_id string")
+    got = {(r["run_a"], r["run_b"]): (r["n_rows"], r["b"], r["c"])
+           for r in mcnemar.compare_pairs(pred.union(pred.limit(400)), mcnemar.run_pairs(ids)).collect()}
+    want = {}
+    for a, b in itertools.combinations(sorted(spec), 2):
+        common = spec[a].keys() & spec[b].keys()
+        right = {x: {i for i in common if spec[x][i][0] == spec[x][i][1]} for x in (a, b)}
+        want[a, b] = (len(common), len(right[a] - right[b]), len(right[b] - right[a]))
+    assert got == want
+
+
+def test_two_thousand_runs_against_one(spark):
+    rows = spark.range(2000 * 70).selectExpr(
+        "concat('r', id div 70) run_id", "id % 70 index", "cast(id % 70 % 2 as int) y_true",
+        "cast(if(id % 70 = (id div 70) % 70, 1 - id % 70 % 2, id % 70 % 2) as int) y_pred")
+    pairs = spark.range(1, 2000).selectExpr("'r0' run_a", "concat('r', id) run_b")
+    got = mcnemar.compare_pairs(rows, pairs).groupBy("n_rows", "b", "c").count().collect()
+    # run k is wrong on row k mod 70 only
+    same = sum(k % 70 == 0 for k in range(1, 2000))
+    assert {tuple(r) for r in got} == {(70, 0, 0, same), (70, 1, 1, 1999 - same)}
+
+
+def test_no_pairs_give_no_rows(spark):
+    pred = runs(spark, {"a": {1: (0, 0)}})
+    assert mcnemar.run_pairs(spark.createDataFrame([("a",)], "run_id string")).collect() == []
+    none = spark.createDataFrame([], "run_a string, run_b string")
+    assert mcnemar.compare_pairs(pred, none).collect() == [] and mcnemar.compare_pairs(pred.limit(0), none).collect() == []
+
+
 def test_ensembles(spark):
     a = frame(spark, TRUE, SCORE)
     b = frame(spark, TRUE, [1 - s for s in SCORE])
