@@ -30,10 +30,10 @@ def outcome_words(predictions: DataFrame, numbered: DataFrame, index: str = "ind
 
     A run predicts a row once; an equal repeat changes nothing. Rows without truth or prediction take no part.
     """
-    sizes = predictions.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    parts = max(predictions.sparkSession.sparkContext.defaultParallelism, -(-sizes // PART_PREDICTIONS))
-    own = lookup(predictions.where("y_true is not null and y_pred is not null"), numbered, "run_id",
-                 table_rows=numbered.count(), how="inner")
+    present = predictions.where("y_true is not null and y_pred is not null")
+    own = lookup(present, numbered, "run_id", table_rows=numbered.count(), how="inner").select(index, "no", "y_true", "y_pred")
+    own = written(own, "predicted")  # evaluated once, then counted
+    parts = max(predictions.sparkSession.sparkContext.defaultParallelism, -(-own.count() // PART_PREDICTIONS))
     place = F.dense_rank().over(W.partitionBy("chunk_part").orderBy(index)) - 1  # a part is bounded by PART_PREDICTIONS on average
     bits = own.select(F.pmod(F.xxhash64(index), F.lit(parts)).alias("chunk_part"), index, "no",
                       F.col("y_true").cast("int").alias("t"), F.col("y_pred").cast("int").alias("p")).withColumn("place", place)
