@@ -77,3 +77,6 @@ CSV_MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+
+# Columns that name a run, in the order in which reports are sorted.
+REPORT_ORDER = ("representation", "model", "target_tag")

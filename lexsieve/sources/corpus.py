@@ -8,21 +8,21 @@ from pyspark.sql import types as T
 
 from lexsieve.functions import fixed
 from lexsieve.functions.labels import binary_label
+from lexsieve.sources.csv_records import read_csv
 
 
 def read_corpus_csv(spark: SparkSession, path: str, date_format: str | None = None) -> DataFrame:
     """Typed rows of a quoted CSV with a header; ``subcategory`` is dropped.
 
-    Column names come from the header, types are never inferred. Malformed records and dates raise.
-    Quoted newlines force one task per file, so a large corpus should arrive as many files.
+    Column names come from the header of the first file, types are never inferred. Malformed records and dates
+    raise. Quoted newlines may stand anywhere: ``csv_records`` finds the records of a block by its quotes.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    header = spark.read.options(**options).csv(path).columns
+    header = spark.read.options(**options).csv(path).columns  # reads one record
     missing = [c for c in fixed.CSV_REQUIRED_COLUMNS if c not in header]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.options(**options, mode="FAILFAST").schema(schema).csv(path)
+    raw = read_csv(spark, path, header)
     value = {c: F.when(~F.col(c).isin(*fixed.CSV_MISSING), F.col(c)) for c in fixed.CSV_REQUIRED_COLUMNS}
     parse = F.to_timestamp_ntz(value["date"], F.lit(date_format)) if date_format else value["date"].cast("timestamp_ntz")
     columns = {**value, "date": parse}
@@ -97,6 +97,11 @@ def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def write_report(table: DataFrame, path: str) -> None:
-    """A report as one CSV file with a header; reports are a few rows per run."""
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report(table: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A report as one CSV file with a header; reports are a few rows per run.
+
+    Rows are sorted by ``order``; by default by whichever of the columns that name a run the report has.
+    """
+    keys = [c for c in fixed.REPORT_ORDER if c in table.columns] if order is None else order
+    rows = table.repartition(1)
+    (rows.sortWithinPartitions(*keys) if keys else rows).write.mode("overwrite").option("header", True).csv(path)

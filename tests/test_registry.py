@@ -117,3 +117,8 @@ def test_split_table_roundtrip_and_report(spark, tiny_corpus, tmp_path):
     assert {r["split"]: r["n"] for r in sp.split_windows(back).collect()} == {"train": 25, "val": 3, "test": 2}
     src.write_report(sp.describe_split(split), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3
+    runs = spark.createDataFrame([("tfidf", "b", 1), ("bow", "z", 2), ("bow", "a", 3)], "representation string, model string, n int").repartition(3)
+    src.write_report(runs, str(tmp_path / "o"))
+    src.write_report(runs, str(tmp_path / "p"), ["n"])
+    lines = {x: next((tmp_path / x).glob("*.csv")).read_text().split() for x in "op"}
+    assert lines == {"o": ["representation,model,n", "bow,a,3", "bow,z,2", "tfidf,b,1"], "p": ["representation,model,n", "tfidf,b,1", "bow,z,2", "bow,a,3"]}
