@@ -14,6 +14,7 @@ from lexsieve.operators import vocabulary as vo
 from lexsieve.operators.cleaning import clean_aggressive as aggressive
 from lexsieve.operators.cleaning import token_dictionary
 from lexsieve.plans.scale import new_folder, spread
+from lexsieve.sources.cleaned_versions import cleaned_rows, refresh_cleaned
 from lexsieve.sources.vectors import read_vectors, write_vectors
 
 _MONEY = "(?i)" + fixed.MONEY_PATTERN
@@ -61,6 +62,18 @@ def clean_raw(spark, sf):
     return documents(spark, sf).select("doc_id", tx.clean_raw("text").alias("text"))
 
 
+@query("cleaned_versions", f"""SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 3 WHEN doc_id % 11 = 2 OR doc_id % 5 = 0 THEN 2 ELSE 1 END AS added_in,
+  trim(nfc_normalize(coalesce(text, '') || CASE WHEN doc_id % 11 = 2 THEN ' emenda' ELSE '' END), {_SPACES}) AS text FROM documents""")
+def cleaned_versions(spark, sf):
+    """The whole table after it grew, was edited and lost rows, which then came back: three refreshes."""
+    path, number = new_folder(spark, "cleaned"), F.col("doc_id")
+    before = documents(spark, sf).select(F.lit("all").alias("split"), "doc_id", "text")
+    after = before.withColumn("text", F.when(number % 11 == 2, F.concat(tx.empty_if_null("text"), F.lit(" emenda"))).otherwise(F.col("text")))
+    for state in (before.where(number % 5 != 0), after.where(number % 7 != 1), after):
+        refresh_cleaned(state, path, "raw", "doc_id", compact_at=None)
+    return cleaned_rows(after, path, "raw", "doc_id").select("doc_id", F.col("added_in").cast("int").alias("added_in"), "text")
+
+
 # stop words and lemmas are user tables; here both come from the words of the benchmark texts
 _DICT_SQL = """bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark),
 dict AS (SELECT w AS token, CASE WHEN length(w) > 4 AND w LIKE '%s' THEN substr(w, 1, length(w) - 1) END AS lemma, length(w) <= 2 AS is_stop FROM bw)"""
