@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lexsieve.functions import fixed
 from lexsieve.functions.text import all_tokens, clean_raw, empty_if_null, mask_entities, nfc
-from lexsieve.plans.scale import durable, lookup
+from lexsieve.plans.scale import BROADCAST_BYTES, durable, lookup
+
+#: A broadcast row of the dictionary.
+ENTRY_BYTES = 80
 
 
 def token_dictionary(stopwords: DataFrame, lemmas: DataFrame) -> tuple[DataFrame, int]:
@@ -19,6 +22,16 @@ def token_dictionary(stopwords: DataFrame, lemmas: DataFrame) -> tuple[DataFrame
     return table, table.count()
 
 
+def _used_entries(tokens: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, int]:
+    """The entries of all tokens in use with their number of uses, and the number of tokens.
+
+    Tokens without an entry are kept too: one that is frequent must be salted like any other.
+    """
+    uses = tokens.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    used = durable(uses.join(dictionary, "token", "left"))
+    return used, used.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+
+
 def clean_aggressive(docs: DataFrame, dictionary: DataFrame, dictionary_rows: int, doc_id: str,
                      text: str = "text", mask: bool = True, broadcast_bytes: int | None = None) -> DataFrame:
     """(doc_id, text): lower-cased lemmas without stop words and punctuation, joined by a space.
@@ -31,8 +44,13 @@ def clean_aggressive(docs: DataFrame, dictionary: DataFrame, dictionary_rows: in
     prepared = mask_entities(prepared) if mask else prepared
     placed = docs.select(doc_id, prepared.alias("_text")).repartition(doc_id)
     tokens = placed.select(doc_id, F.posexplode_outer(all_tokens("_text")).alias("pos", "token"))
-    joined = lookup(tokens, dictionary, "token", table_rows=dictionary_rows, row_bytes=80,
-                    salt_on="pos", how="left", broadcast_bytes=broadcast_bytes)
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if dictionary_rows * ENTRY_BYTES <= limit:
+        joined = lookup(tokens, dictionary, "token", table_rows=dictionary_rows, row_bytes=ENTRY_BYTES, broadcast_bytes=limit)
+    else:
+        used, n_tokens = _used_entries(tokens, dictionary)
+        joined = lookup(tokens, used, "token", table_rows=dictionary_rows, row_bytes=ENTRY_BYTES, salt_on="pos",
+                        weight="uses", weight_total=n_tokens, broadcast_bytes=limit)
     lemma = F.coalesce("lemma", "token")
     kept = F.when(F.col("token").isNotNull() & ~F.coalesce("is_stop", F.lit(False)) & (F.trim(lemma) != ""),
                   F.struct("pos", lemma.alias("lemma")))

@@ -33,11 +33,9 @@ def split_summary(split: DataFrame) -> DataFrame:
 def _category_counts(split: DataFrame) -> DataFrame:
     """Counts per category and split, pivoted, with split totals alongside."""
     counts = split.groupBy("category").pivot("split", list(fixed.SPLITS)).agg(_rows())
-    # categories are a label set after the aggregate; the window over it yields the split totals
-    whole = W.partitionBy()
-    for s in fixed.SPLITS:
-        counts = (counts.withColumn(s, F.coalesce(s, F.lit(0)))
-                  .withColumn(f"_{s}", F.sum(s).over(whole)))
+    counts = counts.na.fill(0, list(fixed.SPLITS))
+    totals = counts.agg(*[F.sum(s).alias(f"_{s}") for s in fixed.SPLITS])  # one row, from the same counts
+    counts = counts.join(F.broadcast(totals))
     return counts.where(F.col("category").isNotNull()).withColumn(
         "total_n", sum((F.col(s) for s in fixed.SPLITS), F.lit(0)).cast("bigint"))
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,11 +140,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], *, table_row
         salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int"))
     else:
         is_hot = F.col(weight) > F.lit(weight_total / HOT_KEYS)
+        no_key = reduce(or_, [F.col(k).isNull() for k in ([key] if isinstance(key, str) else key)])  # matches nothing
         hot = table.where(is_hot).select(key, F.lit(True).alias("_hot"))
         salted_table = table.withColumn("_salt", F.explode(
             F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
         salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int")).otherwise(0),
+            F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int")).otherwise(0),
         ).drop("_hot")
     return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")

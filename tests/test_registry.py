@@ -114,7 +114,7 @@ def test_split_table_roundtrip_and_report(spark, tiny_corpus, tmp_path):
     split = sp.split_out_of_time(tiny_corpus)
     src.write_splits(split, str(tmp_path / "s"))
     back = src.read_splits(spark, str(tmp_path / "s"))
-    assert {r["split"]: r["n"] for r in sp.split_windows(back).collect()} == {"train": 25, "val": 3, "test": 2}
+    assert {r["split"]: r["n"] for r in sp.split_windows(back).collect()} == {"train": 34, "val": 4, "test": 2}
     src.write_report(sp.describe_split(split), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3
     runs = spark.createDataFrame([("tfidf", "b", 1), ("bow", "z", 2), ("bow", "a", 3)], "representation string, model string, n int").repartition(3)

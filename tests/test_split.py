@@ -15,13 +15,13 @@ def links(df, name):
 def test_sizes_ties_and_conservation(tiny_corpus):
     got = sp.split_out_of_time(tiny_corpus)
     parts = {s: links(got, s) for s in ("train", "val", "test")}
-    assert [len(parts[s]) for s in ("train", "val", "test")] == [25, 3, 2]
-    assert {x for x in parts["train"] if "/d8_" in x} == {f"https://example.com/d8_{j}" for j in range(4)}
-    assert all("/d9_" in x for x in parts["val"]) and all("/d10_" in x for x in parts["test"])
+    assert [len(parts[s]) for s in ("train", "val", "test")] == [34, 4, 2]
+    assert {x for x in parts["train"] if x.startswith("08-")} == {f"08-{n}" for n in range(28, 34)}
+    assert all(x.startswith("09-") for x in parts["val"]) and all(x.startswith("10-") for x in parts["test"])
     assert set().union(*parts.values()) == {r["link"] for r in tiny_corpus.collect()}
     described = {r["split"]: r for r in sp.describe_split(got).collect()}
-    assert [described[s]["pos_count"] for s in ("train", "val", "test")] == [3, 1, 1]
-    assert described["train"]["pos_ratio"] == 0.12
+    assert [described[s]["pos_count"] for s in ("train", "val", "test")] == [4, 1, 1]
+    assert described["val"]["pos_ratio"] == 0.25
 
 
 def test_same_split_after_shuffling(spark, tiny_corpus):
@@ -84,10 +84,10 @@ def test_invariants_hold(tiny_corpus):
 def test_profile_totals_and_audit(tiny_corpus):
     split = sp.split_out_of_time(tiny_corpus)
     summary = {r["split"]: r for r in profile.split_summary(split).collect()}
-    assert summary["total"]["n"] == 30 and summary["total"]["date_min"] is None
-    assert summary["train"]["days_span"] == 8
+    assert summary["total"]["n"] == 40 and summary["total"]["date_min"] is None
+    assert summary["train"]["days_span"] == 25
     audit = {r["split"]: r for r in profile.positive_audit(split).collect()}
-    assert audit["train"]["all_positive_in_class"] and audit["train"]["n_positive_cat"] == 3
+    assert audit["train"]["all_positive_in_class"] and audit["train"]["n_positive_cat"] == 4
     none = {r["split"]: r for r in profile.positive_audit(split.withColumn("label", F.lit(0))).collect()}
     assert none["val"]["all_positive_in_class"] and none["val"]["positive_category_value"] is None
     dense = profile.densify(profile.weekday_distribution(split), "weekday")
