@@ -111,3 +111,17 @@ def test_vector_file(spark, tmp_path):
         read_vectors(spark, str(path), dim=50)
     write_vectors(read_vectors(spark, str(path), dim=3), str(tmp_path / "out"))
     assert {r["token"]: list(r["vec"]) for r in read_vectors(spark, str(tmp_path / "out"), dim=3).collect()} == everything
+
+
+def test_texts_are_placed_by_their_size(docs, monkeypatch):
+    """The partitions that documents are taken apart in follow the bytes of text, whatever the session's number is."""
+    from lexsieve.operators.cleaning import clean_aggressive
+    from lexsieve.plans import scale
+
+    monkeypatch.setattr(scale, "TEXT_BYTES", 4)
+    fitted = vo.fit_vocabulary(docs.where("split = 'train'"), min_df=1, max_df=1.0)
+    size = sum(len(t.encode()) for t in TRAIN + VAL)
+    spark = docs.sparkSession
+    stops = spark.createDataFrame([("bolsa", None, True)], "token string, lemma string, is_stop boolean")
+    for found in (ft.bag_of_words(docs, fitted, "doc_id"), ft.tfidf(docs, fitted, "doc_id"), clean_aggressive(docs, stops, 1, "doc_id")):
+        assert found.rdd.getNumPartitions() == -(-size // 4) > 32
