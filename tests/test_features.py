@@ -125,3 +125,22 @@ def test_texts_are_placed_by_their_size(docs, monkeypatch):
     stops = spark.createDataFrame([("bolsa", None, True)], "token string, lemma string, is_stop boolean")
     for found in (ft.bag_of_words(docs, fitted, "doc_id"), ft.tfidf(docs, fitted, "doc_id"), clean_aggressive(docs, stops, 1, "doc_id")):
         assert found.rdd.getNumPartitions() == -(-size // 4) > 32
+
+
+def test_averages_by_cells_copy_no_vector_to_its_documents(spark, monkeypatch):
+    """Several cells of tokens and documents; one token in every document, repeated tokens, a document twice, string ids."""
+    monkeypatch.setattr(ft, "VECTOR_BYTES", 8 * 3 * 5)
+    monkeypatch.setattr(ft, "CELL_ROWS", 20)
+    dictionary = spark.createDataFrame([(f"w{i}", [float(i), -1.0, i / 7]) for i in range(30)], "token string, vec array<double>")
+    texts = {f"d{k}": " ".join(["w0"] + [f"w{(k * j) % 37}" for j in range(k % 9)]) for k in range(60)}
+    docs = spark.createDataFrame([*texts.items(), ("d7", texts["d7"])], "doc_id string, text string")
+    made = []
+    seen = ft._partial_sums
+    monkeypatch.setattr(ft, "_partial_sums", lambda *a: made.append(seen(*a)) or made[-1])
+    got = ft.embedding_average(docs, dictionary, 30, 3, "doc_id", broadcast_bytes=0).collect()
+    assert len(got) == 61
+    for r in got:
+        ids = [int(w[1:]) for w in texts[r["doc_id"]].split() if int(w[1:]) < 30]
+        assert list(r["vector"]) == pytest.approx([sum(ids) / len(ids), -1.0, sum(ids) / len(ids) / 7])
+    sizes = made[0].groupBy("doc_id").count().collect()
+    assert 1 < max(r["count"] for r in sizes) <= 6  # a row for each cell of tokens, not for each token
