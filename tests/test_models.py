@@ -240,3 +240,34 @@ def test_one_versus_rest_calibration(articles):
 def test_matrix_checks(args):
     with pytest.raises(ValueError):
         matrix.check_models(*args)
+
+
+def test_length_of_a_step_is_where_the_slope_is_gone():
+    """Slopes 4 (t - at): beyond the whole step, before it, near enough to it, and a minimum beyond all lengths."""
+    at = np.array([2.3, 0.07, 1.01, 50.0, 1e-5])
+    slopes, values = 4 * (solver.LENGTHS[:, None] - at), 2 * (solver.LENGTHS[:, None] - at) ** 2
+    assert np.allclose(solver._best_lengths(values, slopes), [2.3, 0.07, 1.0, 8.0, 1e-5])
+
+
+def test_logistic_regression_on_classes_is_the_softmax_optimum(spark, toy):
+    x, _, df, _ = toy
+    code = np.arange(100) % 3 * (x[:, 0] > 0)
+    rows = df.join(spark.createDataFrame([(i, int(k)) for i, k in enumerate(code)], "i int, code int"), "i")
+    model = clf.train_logreg(rows.coalesce(1), 2, label="code", tol=0.05)
+    design, hit = np.hstack([x, np.ones((100, 1))]), np.eye(3)[code]
+    w = model.model.weights
+    p = np.exp(design @ w)
+    p /= p.sum(axis=1, keepdims=True)
+    gradient = design.T @ (p - hit) + np.vstack([w[:-1], np.zeros(3)])
+    assert np.abs(gradient).max() <= 0.051  # the problem is convex
+    got = {r["i"]: r["y_score"] for r in model.score(rows).collect()}
+    assert np.allclose([got[i] for i in range(100)], p[:, 2])
+
+
+def test_rows_of_one_class_have_a_certain_score(toy):
+    _, _, df, _ = toy
+    for label, code, want in ((1, 1, 1.0), (0, 0, 1.0), (2, 0, 0.0)):
+        model = clf.train_logreg(df.limit(9).withColumn("y", F.lit(label)), code)
+        assert {r["y_score"] for r in model.score(df.limit(5)).collect()} == {want}
+    with pytest.raises(ValueError):
+        clf.train_logreg(df.where("i < 0"))
