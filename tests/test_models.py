@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from lexsieve.operators import boosted_trees
 from lexsieve.operators import classifiers as clf
 from lexsieve.operators import linear_solver as solver
 from lexsieve.operators import naive_bayes as nb
@@ -271,3 +272,45 @@ def test_rows_of_one_class_have_a_certain_score(toy):
         assert {r["y_score"] for r in model.score(df.limit(5)).collect()} == {want}
     with pytest.raises(ValueError):
         clf.train_logreg(df.where("i < 0"))
+
+
+def wide_rows(spark, n=120, parts=1):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((n, 12)) < 0.4, rng.integers(-2, 6, (n, 12)), 0).astype(float)
+    x[:, 0], x[:, 11] = rng.normal(size=n), x[:, 10]  # many values; two equal columns
+    y = (x[:, 1] + 2 * x[:, 0] + rng.normal(size=n) > 1.2).astype(int)
+    rows = [(i, [float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "i int, a array<double>, y int").withColumn("features", array_to_vector("a")).repartition(parts).cache()
+
+
+def test_boosted_trees_equal_those_of_spark(spark, monkeypatch):
+    """Negative, repeated and many values; in several parts, ranges and with margins written on the way too."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    df = wide_rows(spark)
+    fitted = GBTClassifier(labelCol="_y", maxIter=4, maxDepth=3, stepSize=0.1).fit(df.withColumn("_y", F.col("y").cast("double")))
+    wanted = dict(fitted.transform(df).select("i", vector_to_array("probability")[1]).collect())
+    for k in range(2):
+        got = dict(clf.train_boosted_trees(df, trees=4, depth=3).score(df.select("i", "features")).select("i", "y_score").collect())
+        assert max(abs(got[i] - wanted[i]) for i in wanted) < 1e-9
+        df = wide_rows(spark, parts=3)
+        for name, value in (("PART_BYTES", 1), ("RANGE_BINS", 40), ("REFRESH", 2), ("BLOCK_ROWS", 10)):
+            monkeypatch.setattr(boosted_trees, name, value)
+
+
+def test_rows_of_boosted_trees_take_room_by_their_terms(spark):
+    """A row of 50,000 columns with one term is packed into one bin, not into one for each column; one class only is no error."""
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(i, i % 2, Vectors.sparse(50_000, [7 + i % 2], [1.0])) for i in range(20)], ["i", "y", "features"])
+    bins = boosted_trees.find_bins(df, 20, 50_000)
+    packed = boosted_trees._packed(df, "y", spark.sparkContext.broadcast(bins))
+    assert len(bins.thresholds) == 50_002 and sum(len(r["bins"]) for r in packed.collect()) == 4 * 20
+    model = clf.train_boosted_trees(df, trees=2, depth=2)
+    scores = {r["i"] % 2: r["y_score"] for r in model.score(df).collect()}
+    assert scores[1] > 0.85 and scores[0] < 0.15
+    same = clf.train_boosted_trees(df.where("y = 1"), trees=2, depth=2).score(df).collect()
+    assert all(r["y_score"] > 0.85 for r in same)
+    with pytest.raises(ValueError):
+        clf.train_boosted_trees(df.withColumn("y", F.lit(None).cast("int")), trees=1)
