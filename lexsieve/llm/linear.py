@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -140,13 +141,32 @@ def sparse_batch(features: HashedText, batch: pa.RecordBatch, text: str) -> tupl
     return pa.array(index, pa.binary()), pa.array(value, pa.binary())
 
 
-def sparse_of(index: pa.ChunkedArray, value: pa.ChunkedArray, width: int) -> Sparse:
-    """The matrix of collected `sparse_batch` columns."""
-    cells = [np.frombuffer(x, np.int32) for x in index.to_pylist()]
-    values = [np.frombuffer(x, np.float32) for x in value.to_pylist()]
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in cells], dtype=np.int64)))
-    empty = np.zeros(0)
-    return Sparse(bounds, np.concatenate([*cells, empty.astype(np.int32)]), np.concatenate([*values, empty.astype(np.float32)]), width)
+def _cells(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers of each row of a binary column, as views of its buffers."""
+    rows = []
+    for chunk in column.chunks:
+        wide = pa.types.is_large_binary(chunk.type)
+        at = np.frombuffer(chunk.buffers()[1], np.int64 if wide else np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        data = chunk.buffers()[2]
+        rows += [np.frombuffer(data, kind, (b - a) // kind().itemsize, a) if b > a else np.zeros(0, kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return rows
+
+
+def sparse_of(index: pa.ChunkedArray, value: pa.ChunkedArray, width: int, order: np.ndarray | None = None) -> Sparse:
+    """The matrix of collected `sparse_batch` columns, its rows in `order`; no row is copied but into the matrix."""
+    def whole(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, list[int]]:
+        rows = _cells(column, kind)
+        rows = rows if order is None else [rows[i] for i in order]
+        return np.concatenate([*rows, np.zeros(0, kind)]), [len(r) for r in rows]
+
+    cells, sizes = whole(index, np.int32)
+    return Sparse(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), cells, whole(value, np.float32)[0], width)
+
+
+def release_unused() -> None:
+    """Give back what Arrow holds of tables that are gone; the driver keeps only the matrix and the weights."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = 80,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexsieve.llm import rolling
-from lexsieve.llm.linear import HashedText, Sparse, minimise, sigmoid, sparse_batch, sparse_of
+from lexsieve.llm.linear import HashedText, Sparse, minimise, release_unused, sigmoid, sparse_batch, sparse_of
 from lexsieve.plans.scale import spread
 
 STYLE = HashedText(bits=15, grams=True, echoes=True)
@@ -89,12 +89,17 @@ def train_ordinal(documents: DataFrame, ratings: DataFrame, *, key: str = "doc_i
 
     texts = documents.where(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("_text"))
     sample = spread(texts, key).join(F.broadcast(chosen), key).select("_grade", F.xxhash64(key).alias("_key"), "_text")
-    table = sample.mapInArrow(extract, "g double, k long, i binary, v binary").toArrow().sort_by([("k", "ascending"), ("g", "ascending")])
-    x, given = sparse_of(table["i"], table["v"], features.width), table["g"].to_numpy()
+    table = sample.mapInArrow(extract, "g double, k long, i binary, v binary").toArrow()
+    order = np.lexsort((table["g"].to_numpy(), table["k"].to_numpy()))
+    x, given = sparse_of(table["i"], table["v"], features.width, order), table["g"].to_numpy()[order]
+    del table
+    release_unused()
     grades, y = np.unique(given, return_inverse=True)
     if len(grades) < 2:
         return OrdinalModel(features, grades.tolist() or [0.0], np.zeros(features.width), np.zeros(0))
     weights, cuts = fit_ordinal(x, y, len(grades))
+    del x
+    release_unused()
     return OrdinalModel(features, grades.tolist(), weights, cuts)
 
 

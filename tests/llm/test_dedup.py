@@ -10,8 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexsieve.llm import forest_join, rolling, substring_dedup
+from lexsieve.llm import forest_join, graph, rolling, substring_dedup
 from lexsieve.llm.graph import components
+from lexsieve.plans.scale import written
 from tests.llm.conftest import SCHEMA, rows_of, sentence
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -56,6 +57,18 @@ def test_components_with_hub_loops_and_nulls(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_take_few_rounds_and_few_tasks(spark, monkeypatch):
+    """Edges that are stars already need no round; a chain's rounds read tables, not checkpoints of one task a partition."""
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or written(df, name))
+    star = spark.createDataFrame([(k, 1) for k in range(2, 40)] + [(k, 50) for k in range(60, 70)], "a long, b long")
+    assert dict(components(star, "a", "b").collect()) == {1: 1, **dict.fromkeys(range(2, 40), 1), 50: 50, **dict.fromkeys(range(60, 70), 50)}
+    assert len(tables) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 9)], "a long, b long")
+    assert set(dict(components(chain, "a", "b").collect()).values()) == {1}
+    assert 1 < len(tables) <= 6
+
+
 def test_depth_is_shortened_to_the_target():
     assert forest_join.matched_depth(0.8, 18, 8, 0.9999) == 4
     assert forest_join.matched_depth(0.99, 18, 8, 0.9999) == 8

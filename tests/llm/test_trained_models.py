@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexsieve.llm import quality, toxicity
+from lexsieve.llm import linear, quality, toxicity
 from lexsieve.llm.linear import HashedText, Sparse, minimise, sigmoid
 from tests.llm.conftest import SCHEMA, rows_of, sentence
 
@@ -113,3 +114,14 @@ def test_toxicity_edge_cases(spark, edge_docs, no_docs):
     none = toxicity.train_toxic(edge_docs, labels.where("toxic = 0 and doc_id = 14"))
     assert {r["score"] for r in toxicity.score_toxic(edge_docs, none).collect()} == {0.0}
     assert toxicity.train_toxic(no_docs, labels.where("false")).intercept == -np.inf
+
+
+def test_the_matrix_copies_no_row_but_into_itself():
+    """Rows of the collected columns are views, in chunks, slices and any order; empty rows stay."""
+    rows = [np.array(r, np.int32) for r in ([3, 5], [], [7], [1, 2, 4])]
+    index = pa.chunked_array([pa.array([r.tobytes() for r in rows[:2]], pa.binary()), pa.array([b"xxxx"] + [r.tobytes() for r in rows[2:]], pa.binary())[1:]])
+    value = pa.chunked_array([pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())])
+    assert all(not r.flags.owndata for r in linear._cells(index, np.int32) if len(r))
+    x = linear.sparse_of(index, value, 8, np.array([3, 1, 0, 2]))
+    assert x.index.tolist() == [1, 2, 4, 3, 5, 7] and x.bounds.tolist() == [0, 3, 3, 5, 6] and x.value.tolist() == x.index.tolist()
+    assert linear.sparse_of(index, value, 8).index.tolist() == [3, 5, 7, 1, 2, 4]
