@@ -123,3 +123,15 @@ def test_cleaned_table_is_reused_until_rows_change(spark, tmp_path):
     assert cleaned_table(fewer, path, "raw", force=True).count() == 2
     with pytest.raises(ValueError):
         cleaned_table(split, path, "other")
+
+
+def test_counted_terms_equal_the_arrays_and_are_not_interpreted(spark):
+    """Words and pairs are laid out by generated code, without an array of joined pairs for each document."""
+    from lexsieve.operators import vocabulary as vo
+
+    docs = spark.createDataFrame([("aa bb aa bb",), ("aa",), ("",), (None,), ("Cc a bb cc",)], "text string")
+    found = vo.counted_terms(docs, "text", (1, 2))
+    assert dict(found.collect()) == {"aa": 3, "bb": 3, "cc": 2, "aa bb": 2, "bb aa": 1, "cc bb": 1, "bb cc": 1}
+    assert sorted(vo.counted_terms(docs, "text", (1, 3)).where("term like '% % %'").collect()) == [("aa bb aa", 1), ("bb aa bb", 1), ("cc bb cc", 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "zip_with" not in plan and plan.count("regexp_extract_all") == 1
