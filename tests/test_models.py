@@ -314,3 +314,19 @@ def test_rows_of_boosted_trees_take_room_by_their_terms(spark):
     assert all(r["y_score"] > 0.85 for r in same)
     with pytest.raises(ValueError):
         clf.train_boosted_trees(df.withColumn("y", F.lit(None).cast("int")), trees=1)
+
+
+@pytest.mark.parametrize("loss, c, scans", [(solver.squared_hinge, 100.0, 220), (solver.logistic, 1.0, 150)])
+def test_long_rows_do_not_lengthen_the_way(spark, monkeypatch, loss, c, scans):
+    """Counts of texts of very different lengths, for the hinge in unit rows: the estimate from rows and the rising c keep the scans few."""
+    draw = np.random.default_rng(5)
+    share = 1.0 / np.arange(1, 121)
+    x = np.stack([draw.poisson(n * share / share.sum()) for n in np.exp(draw.uniform(2, 9, 240))]).astype(float)
+    y = x[:, 50:60].sum(axis=1) + draw.poisson(1.0, 240) > 0.05 * x.sum(axis=1)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if loss is solver.squared_hinge else x
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "a array<double>, y int").select("y", array_to_vector("a").alias("features"))
+    monkeypatch.setattr(solver, "WEIGHT_BYTES", 8 * 121)
+    found = solver.solve_linear(rows.repartition(2), 120, [(1, None)], loss=loss, c=c, tol=1e-6)
+    assert found.converged.all() and found.scans < scans
+    want = dense_optimum(x, y, loss, c, True)
+    assert np.allclose(found.weights[:, 0], want, atol=1e-5)
